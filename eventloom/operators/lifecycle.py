@@ -7,9 +7,9 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from eventloom.functions.jsontext import strict_json
+from eventloom.functions.jsontext import strict_json, unquote
 from eventloom.functions.paths import string_at
-from eventloom.operators.nodes import json_nodes
+from eventloom.operators.nodes import is_text, json_nodes
 from eventloom.operators.settle import settle
 from eventloom.session import scratch_path
 
@@ -31,10 +31,10 @@ def mentions_user(df: DataFrame, user: str, keep: tuple[str, ...], levels: int |
     Only events whose text holds the id or an escape are taken apart.
     """
     may = F.contains("raw", F.lit(user)) | F.contains("raw", F.lit("\\"))
-    parsed = settle(df.where(may).withColumn("doc", strict_json(F.col("raw"))), "doc")
+    valid = strict_json(F.col("raw")).isNotNull()
+    parsed = settle(df.where(may).withColumn("raw", F.when(valid, F.col("raw"))), "raw")
     nodes = json_nodes(parsed, keep=keep, levels=levels).where(F.col("key") == "user_id")
-    same = (F.schema_of_variant("value") == "STRING") & (F.col("value").cast("string") == user)
-    return nodes.where(same).select(*keep).distinct()
+    return nodes.where(is_text(F.col("value")) & (unquote(F.col("value")) == user)).select(*keep).distinct()
 
 
 def user_rows(df: DataFrame, user: str, keep: tuple[str, ...], levels: int | None = None) -> DataFrame:

@@ -13,48 +13,58 @@ from eventloom.session import cut_lineage
 # Levels planned in one go; deeper documents go on from a written intermediate table.
 _LEVELS_PER_PLAN = 16
 
-_NODE = ("struct<path: string, plain: string, key: string, depth: int, value: variant, open: boolean>")
+_NODE = "struct<path: string, plain: string, key: string, depth: int, value: string, open: boolean>"
 
 
 def json_nodes(
     df: DataFrame,
-    doc: str = "doc",
+    text: str = "raw",
     keep: tuple[str, ...] = (),
     levels: int | None = None,
     closed: Callable[[Column, Column], Column] | None = None,
 ) -> DataFrame:
     """Rows ``(keep..., path, plain, key, depth, value)``, one per node, the root included.
 
-    ``path`` carries array indexes (``a.b[0]``), ``plain`` leaves them out (``a.b``); ``key`` is
-    NULL for the root and for array elements.  ``closed(key, plain)`` names members whose inside is
-    not wanted.  Each level is one ``explode`` of the nodes still open; nodes already final pass
-    through, so the whole walk is narrow: no shuffle, no self-union.
+    ``text`` holds valid JSON or NULL.  ``path`` carries array indexes (``a.b[0]``), ``plain``
+    leaves them out (``a.b``); ``key`` is NULL for the root and for array elements; ``value`` is
+    compact JSON text.  ``closed(key, plain)`` names members whose inside is not wanted.
+
+    Each level is one ``explode`` of the nodes that are still open; final nodes pass through, so the
+    whole walk is narrow: no shuffle, no self-union.  Nodes carry text, not VARIANT: every VARIANT
+    brings the key dictionary of its whole document along, which makes wide documents quadratic.
 
     ``levels`` is the greatest depth to expect, e.g. the depth limit of a governed table.  Left
     out, it is measured with one extra pass.
     """
     if levels is None:
-        deepest = df.agg(F.max(max_depth(F.to_json(F.col(doc)))).alias("d")).first()["d"]
+        deepest = df.agg(F.max(max_depth(F.col(text))).alias("d")).first()["d"]
         levels = deepest or 1
     root = F.struct(
         F.lit("").alias("path"), F.lit("").alias("plain"), F.lit(None).cast("string").alias("key"),
-        F.lit(1).alias("depth"), F.col(doc).alias("value"), F.lit(True).alias("open"),
+        F.lit(1).alias("depth"), F.ltrim(F.col(text), F.lit(" \t\r\n")).alias("value"), F.lit(True).alias("open"),
     )
-    nodes = df.where(F.col(doc).isNotNull()).select(*keep, root.cast(_NODE).alias("node"))
+    nodes = df.where(F.col(text).isNotNull()).select(*keep, root.cast(_NODE).alias("node"))
+    one_level = F.explode(_opened(F.col("node"), closed)).alias("node")
     for level in range(1, levels):
         if level % _LEVELS_PER_PLAN == 0:
             nodes = cut_lineage(nodes)
-        nodes = nodes.select(*keep, F.explode(_opened(F.col("node"), closed)).alias("node"))
+        nodes = nodes.select(*keep, one_level)
     return nodes.select(*keep, "node.path", "node.plain", "node.key", "node.depth", "node.value")
 
 
+def is_text(value: Column) -> Column:
+    """Whether a node is a JSON string."""
+    return F.startswith(value, F.lit('"'))
+
+
 def _opened(node: Column, closed: Callable[[Column, Column], Column] | None) -> Column:
     """The node itself, final, followed by its children."""
+    first = F.substring(node["value"], 1, 1)
 
     def child(path: Column, plain: Column, key: Column, value: Column, opens: Column) -> Column:
         return F.struct(
             path.alias("path"), plain.alias("plain"), key.alias("key"), (node["depth"] + 1).alias("depth"),
-            value.alias("value"), opens.alias("open"),
+            F.to_json(value).alias("value"), opens.alias("open"),
         )
 
     def below(base: Column, key: Column) -> Column:
@@ -70,11 +80,12 @@ def _opened(node: Column, closed: Callable[[Column, Column], Column] | None) ->
         path = F.concat(node["path"], F.lit("["), index.cast("string"), F.lit("]"))
         return child(path, node["plain"], F.lit(None).cast("string"), value, F.lit(True))
 
-    none = F.array().cast(f"array<{_NODE}>")
-    # ``members`` is NULL for anything but an object, ``elements`` for anything but an array.
-    children = F.when(node["open"], F.coalesce(
-        F.transform(F.map_entries(members(node["value"])), member).cast(f"array<{_NODE}>"),
-        F.transform(elements(node["value"]), element).cast(f"array<{_NODE}>"),
-    ))
-    itself = node.withField("open", F.lit(False))
-    return F.concat(F.array(itself), F.coalesce(children, none))
+    itself = F.array(node.withField("open", F.lit(False)))
+    parsed = F.try_parse_json(node["value"])
+    return (
+        F.when(node["open"] & (first == "{"), F.concat(
+            itself, F.transform(F.map_entries(members(parsed)), member).cast(f"array<{_NODE}>")))
+        .when(node["open"] & (first == "["), F.concat(
+            itself, F.transform(elements(parsed), element).cast(f"array<{_NODE}>")))
+        .otherwise(itself)
+    )

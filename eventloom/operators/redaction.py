@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from eventloom.config import Limits, Privacy
 from eventloom.functions import jsontext as jt
 from eventloom.functions import sensitive
-from eventloom.operators.nodes import json_nodes
+from eventloom.operators.nodes import is_text, json_nodes
 from eventloom.operators.settle import settle
 
 
@@ -158,7 +158,7 @@ def _mentions(raw: Column, patterns: tuple[str, ...]) -> Column:
 
 
 def redaction_audit(df: DataFrame, privacy: Privacy, keep: tuple[str, ...], levels: int | None = None) -> DataFrame:
-    """One row ``(keep..., message, field)`` per member the processor step hides."""
+    """One row ``(keep..., message, field)`` per member of ``raw`` the processor step hides."""
     if privacy.allowlist:
         def hidden(key: Column, plain: Column) -> Column:
             return key.isNotNull() & ~match_pattern(plain, key, privacy.allowlist)
@@ -188,10 +188,10 @@ def pii_audit(
     rows = df.limit(limit) if limit else df
     names = sorted({n.strip().lower().replace("-", "_").replace(".", "_") for n in blocklist})
     hint = sensitive.raw_text_hint(sensitive.blocked_key_token(blocklist), False) + "|" + _scoped(secret)
-    marked = rows.where(F.col("raw").rlike(hint)).withColumn("doc", jt.strict_json(jt.trim(F.col("raw"))))
-    marked = settle(marked, "doc")
+    valid = jt.strict_json(jt.trim(F.col("raw"))).isNotNull()
+    marked = settle(rows.where(F.col("raw").rlike(hint)).withColumn("raw", F.when(valid, F.col("raw"))), "raw")
     nodes = json_nodes(marked, keep=keep, levels=levels).where(F.col("key").isNotNull())
-    text = F.when(F.substring(F.to_json("value"), 1, 1) == '"', F.col("value").cast("string"))
+    text = F.when(is_text(F.col("value")), jt.unquote(F.col("value")))
     classes = F.array_compact(F.array(
         F.when(sensitive.normal_key(F.col("key")).isin(*names), F.lit("restricted")),
         F.when(text.rlike(secret), F.lit("confidential")),

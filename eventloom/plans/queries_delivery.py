@@ -90,7 +90,7 @@ def retry_wait(spark, sf_dir):
 def _acked(spark, sf_dir) -> DataFrame:
     """Acknowledged events: refused by governance, or rejected where the primary sink failed."""
     failed = F.when(F.pmod("eid", F.lit(7)) == 0, F.lit("primary down"))
-    rows = govern(wide_events(spark, sf_dir)).withColumns(
+    rows = govern(wide_events(spark, sf_dir).withColumn("came", F.col("raw"))).withColumns(
         {"delivery_error": failed, "duplicate": F.col("copy") == 1})
     return acks(rows)
 
@@ -123,8 +123,9 @@ def rates(spark, sf_dir):
 SELECT CAST(sum(strlen(raw) + 1) AS BIGINT) AS backlog_bytes, count(*) AS events, false AS healthy
 FROM acked WHERE status = 'rejected'""")
 def backlog(spark, sf_dir):
-    """Bytes of the events that no sink took yet."""
-    return backlog_bytes(_acked(spark, sf_dir).where(F.col("status") == "rejected"), limit=1000)
+    """Bytes, as they came, of the events that no sink took yet."""
+    waiting = _acked(spark, sf_dir).where(F.col("status") == "rejected")
+    return backlog_bytes(waiting.withColumn("raw", F.col("came")), limit=1000)
 
 
 @query("loki_batches", f"""WITH {WIDE_SQL}

@@ -10,14 +10,14 @@ from eventloom.config import (
     DEFAULT_BLOCKLIST, DEFAULT_REGISTRY, DedupeRules, Identity, Limits, Privacy, SchemaRules, Settings,
 )
 from eventloom.functions import crypto, sensitive
-from eventloom.functions.jsontext import field_count, max_depth
+from eventloom.functions.jsontext import field_count, max_depth, unquote
 from eventloom.functions.paths import extract_tenant, string_at
 from eventloom.operators import governance as gov
 from eventloom.operators import projection as proj
 from eventloom.operators import redaction as red
 from eventloom.operators import registry as reg
 from eventloom.operators.dedupe import dedupe_window
-from eventloom.operators.nodes import json_nodes
+from eventloom.operators.nodes import is_text, json_nodes
 from eventloom.plans.catalog import query
 from eventloom.plans.pipeline import run_batch
 from eventloom.plans.wide_events import CODES_SQL, NODES_SQL, OBJECTS_SQL, WIDE_SQL, read_table, wide_events
@@ -302,10 +302,8 @@ WHERE t.blocked OR t.secret OR t.type = 'VARCHAR'""")
 def redact_block(spark, sf_dir):
     """All text leaves after the collector step, on every object."""
     rows = gov.redact_events(wide_events(spark, sf_dir), Privacy(), Limits(enabled=False))
-    again = rows.where(F.col("doc").isNotNull()).withColumn("doc", F.try_parse_json("raw"))
-    leaves = json_nodes(again, keep=ROW)
-    return leaves.where(F.schema_of_variant("value") == "STRING").select(
-        *ROW, "path", F.col("value").cast("string").alias("text"))
+    leaves = json_nodes(rows.where(F.col("doc").isNotNull()), keep=ROW)
+    return leaves.where(is_text(F.col("value"))).select(*ROW, "path", unquote(F.col("value")).alias("text"))
 
 
 @query("secret_scan", f"""WITH {NODES_SQL}
@@ -314,8 +312,8 @@ WHERE type = 'VARCHAR' AND regexp_matches(value ->> '$', {_SECRET_SQL}) GROUP BY
 def secret_scan(spark, sf_dir):
     """Strings with a secret, in members and in arrays alike."""
     marked = objects(spark, sf_dir).where(sensitive.secret_match(F.col("raw")) | F.contains("raw", F.lit("\\")))
-    texts = json_nodes(marked, keep=ROW).where(F.schema_of_variant("value") == "STRING")
-    hits = texts.where(sensitive.secret_match(F.col("value").cast("string")))
+    texts = json_nodes(marked, keep=ROW).where(is_text(F.col("value")))
+    hits = texts.where(sensitive.secret_match(unquote(F.col("value"))))
     return hits.groupBy("path").agg(F.count("*").alias("hits"))
 
 

@@ -15,7 +15,13 @@ _ITEMS = ('{"token":"t1","n":1},"' + _BEARER + '",{"inner":{"Set.Cookie":[1,2]}}
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Small inputs in one file would keep a single core busy; large ones have splits enough."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def _text(*parts: object) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -25,12 +26,27 @@ RUNTIME_SETTINGS = {
 }
 
 
+_shipped: set[str] = set()
+
+
 def configure(spark: SparkSession) -> SparkSession:
     for key, value in RUNTIME_SETTINGS.items():
         spark.conf.set(key, value)
+    ship_package(spark)
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Makes this package importable in Python workers, wherever the driver was started."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="eventloom-package-"), "eventloom")
+    context.addPyFile(shutil.make_archive(target, "zip", os.path.dirname(here), os.path.basename(here)))
+    _shipped.add(context.applicationId)
+
+
 def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "eventloom") -> SparkSession:
     """A single-machine session for tests and benchmarks; a cluster brings its own."""
     spark = (

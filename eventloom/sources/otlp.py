@@ -9,6 +9,7 @@ from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StringType
 
 from eventloom.functions.jsontext import is_blank, strict_json, trim
 from eventloom.functions.paths import elements, is_json_string, members
@@ -48,7 +49,7 @@ def any_value(value: Column) -> Column:
     )
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def decode_nested(texts: pd.Series) -> pd.Series:
     """Lists, key-value lists and bytes of any depth as plain JSON; NULL passes through."""
     return texts.map(lambda t: None if t is None else json.dumps(_plain(json.loads(t)), ensure_ascii=False))
@@ -86,7 +87,7 @@ def kv_merge(base: Column, record: Column) -> Column:
     return F.map_from_entries(F.concat(base, record))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _plain_attributes(texts: pd.Series) -> pd.Series:
     def flat(text):
         if text is None:
@@ -130,7 +131,7 @@ def event_name(body: Column, decoded: Column) -> Column:
 def _decimal_text(number: Column) -> Column:
     """A double as the shortest plain decimal: no exponent, no trailing ``.0``."""
     plain = F.regexp_replace(number.cast("decimal(38,17)").cast("string"), r"\.?0+$", "")
-    return F.when(F.abs(number) < 1e15, plain).otherwise(F.format_string("%.0f", number))
+    return F.when(F.abs(number) < 1e15, plain).when(number.isNotNull(), F.format_string("%.0f", number))
 
 
 def flatten_otlp_logs(df: DataFrame, settings: OtlpSettings = OtlpSettings(), payload: str = "payload",

@@ -44,16 +44,15 @@ def array_texts(text: Column, parsed: Column) -> Column:
     """
     written = F.regexp_extract_all(_inside(text), F.lit(_ITEM), F.lit(1))
     values = elements(parsed)
-    return F.when(F.size(written) == F.size(values), written).otherwise(F.transform(values, F.to_json))
+    return F.when(F.size(written) == F.size(values), written).otherwise(F.transform(values, lambda v: F.to_json(v)))
 
 
 def _last_member(text: Column, name: str) -> Column:
     """The text of the last top-level member with that name, in any case."""
     keys = F.regexp_extract_all(_inside(text), F.lit(_MEMBER), F.lit(1))
     values = F.regexp_extract_all(_inside(text), F.lit(_MEMBER), F.lit(2))
-    pairs = F.filter(F.arrays_zip(keys.alias("key"), values.alias("value")),
-                     lambda pair: F.lower(pair["key"]) == f'"{name}"')
-    return F.try_element_at(pairs, F.lit(-1))["value"]
+    pairs = F.zip_with(keys, values, lambda key, text: F.when(F.lower(key) == f'"{name}"', text))
+    return F.try_element_at(F.array_compact(pairs), F.lit(-1))
 
 
 def _may_be(doc: Column, path: str, kind: str) -> Column:
