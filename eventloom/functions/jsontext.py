@@ -72,7 +72,10 @@ def strict_json(text: Column) -> Column:
 
 
 def occurrences(text: Column, characters: str) -> Column:
-    return F.length(text) - F.length(F.translate(text, characters, ""))
+    """How often any of some one-byte characters occurs."""
+    size = F.octet_length(text)
+    counts = [size - F.octet_length(F.replace(text, F.lit(c), F.lit(""))) for c in characters]
+    return sum(counts[1:], counts[0])
 
 
 def field_count(compact: Column) -> Column:
@@ -97,8 +100,10 @@ def max_depth(compact: Column) -> Column:
 
 
 def unquote(token: Column) -> Column:
-    """The text a JSON string token stands for."""
-    return F.try_variant_get(F.try_parse_json(token), "$", "string")
+    """The text a JSON string token stands for; only tokens with an escape are parsed."""
+    escaped = F.contains(token, F.lit("\\"))
+    return F.when(escaped, F.try_variant_get(F.try_parse_json(token), "$", "string")).otherwise(
+        F.substring(token, F.lit(2), F.length(token) - 2))
 
 
 def has_long_string(compact: Column, limit: int) -> Column:

@@ -45,27 +45,31 @@ def measure(df: DataFrame, limits: Limits) -> DataFrame:
     Counting colons, brackets and bytes of the raw text bounds all three from above; only events
     over such a bound are measured, the others get NULL.
     """
-    raw, doc = F.col("raw"), F.col("doc")
-    sized = (F.octet_length(raw) <= limits.max_event_bytes) if limits.max_event_bytes else F.lit(True)
-    many = sized & (jt.occurrences(raw, ":") > limits.max_attr_count)
-    deep = sized & (jt.occurrences(raw, "{[") + 1 > limits.max_attr_depth)
+    raw, doc, size = F.col("raw"), F.col("doc"), F.octet_length("raw")
+    sized = (size <= limits.max_event_bytes) if limits.max_event_bytes else F.lit(True)
+    # A member takes at least five bytes with its comma, so a short text cannot have too many.
+    many = (size > 4 * limits.max_attr_count) & (jt.occurrences(raw, ":") > limits.max_attr_count)
+    deep = jt.occurrences(raw, "{[") + 1 > limits.max_attr_depth
     # An escape shortens a string, never lengthens it, so the raw text is at least as long.
-    long = sized & (F.octet_length(raw) > limits.max_string_length)
-    off = F.lit(False)
-    many = many if limits.enabled and limits.max_attr_count else off
-    deep = deep if limits.enabled and limits.max_attr_depth else off
-    long = long if limits.enabled and limits.max_string_length else off
-    text = F.col("_compact")
-    too_long = long & jt.has_long_string(text, limits.max_string_length)
+    long = size > limits.max_string_length
+
+    def flag(limit: int, suspect: Column) -> Column:
+        return sized & suspect if limits.enabled and limit else F.lit(False)
+
+    flags = df.withColumns({
+        "_many": flag(limits.max_attr_count, many),
+        "_deep": flag(limits.max_attr_depth, deep),
+        "_long": flag(limits.max_string_length, long),
+    })
+    many, deep, long, text = F.col("_many"), F.col("_deep"), F.col("_long"), F.col("_compact")
+    within = F.coalesce(F.col("n_fields") <= limits.max_attr_count, F.lit(True)) & F.coalesce(
+        F.col("depth") <= limits.max_attr_depth, F.lit(True))
+    too_long = within & long & jt.has_long_string(text, limits.max_string_length)
     return (
-        df.withColumn("_compact", F.when(many | deep | long, F.to_json(doc)))
-        .withColumn("n_fields", F.when(many, jt.field_count(text)))
-        .withColumn("depth", F.when(deep, jt.max_depth(text)))
-        .withColumn("_within", F.coalesce(F.col("n_fields") <= limits.max_attr_count, F.lit(True))
-                    & F.coalesce(F.col("depth") <= limits.max_attr_depth, F.lit(True)))
-        .withColumn("long_string",
-                    F.when(F.col("_within") & too_long, jt.first_long_string(text, limits.max_string_length)))
-        .drop("_compact", "_within")
+        flags.withColumn("_compact", F.when(many | deep | long, F.to_json(doc)))
+        .withColumns({"n_fields": F.when(many, jt.field_count(text)), "depth": F.when(deep, jt.max_depth(text))})
+        .withColumn("long_string", F.when(too_long, jt.first_long_string(text, limits.max_string_length)))
+        .drop("_compact", "_many", "_deep", "_long")
     )
 
 

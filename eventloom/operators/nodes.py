@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from eventloom.functions.jsontext import max_depth
+from eventloom.functions.jsontext import max_depth, occurrences
 from eventloom.functions.paths import elements, members
 from eventloom.session import cut_lineage
 
 # Levels planned in one go; deeper documents go on from a written intermediate table.
 _LEVELS_PER_PLAN = 16
 
+# Documents up to this depth are walked apart from deeper ones, so that a few deep documents do not
+# send the nodes of all others through levels they do not have.
+_SHALLOW = 6
+
 _NODE = "struct<path: string, plain: string, key: string, depth: int, value: string, open: boolean>"
 
 
@@ -36,9 +40,21 @@ def json_nodes(
     ``levels`` is the greatest depth to expect, e.g. the depth limit of a governed table.  Left
     out, it is measured with one extra pass.
     """
+    content = F.col(text)
+    brackets = occurrences(content, "{[")
     if levels is None:
-        deepest = df.agg(F.max(max_depth(F.col(text))).alias("d")).first()["d"]
-        levels = deepest or 1
+        # The number of brackets bounds the depth; only texts with many are measured.
+        bound = F.when(brackets < _SHALLOW, brackets + 1).otherwise(max_depth(content))
+        levels = df.agg(F.max(bound).alias("d")).first()["d"] or 1
+    if levels <= _SHALLOW:
+        return _walk(df, text, keep, levels, closed)
+    shallow = F.coalesce(F.when(brackets < _SHALLOW, True).otherwise(max_depth(content) <= _SHALLOW), F.lit(True))
+    return _walk(df.where(shallow), text, keep, _SHALLOW, closed).unionByName(
+        _walk(df.where(~shallow), text, keep, levels, closed))
+
+
+def _walk(df: DataFrame, text: str, keep: tuple[str, ...], levels: int,
+          closed: Callable[[Column, Column], Column] | None) -> DataFrame:
     root = F.struct(
         F.lit("").alias("path"), F.lit("").alias("plain"), F.lit(None).cast("string").alias("key"),
         F.lit(1).alias("depth"), F.ltrim(F.col(text), F.lit(" \t\r\n")).alias("value"), F.lit(True).alias("open"),

@@ -26,14 +26,15 @@ def collector_mask(privacy: Privacy, raw: Column, text: Column, limits: Limits)
     if not privacy.collector_active:
         return F.lit(False), F.lit(False), text
     key = sensitive.blocked_key_token(privacy.blocklist)
-    return _mask(key, privacy.secret_scan, raw, text, limits)
+    return _mask(privacy.blocklist, key, privacy.secret_scan, raw, text, limits)
 
 
-def _mask(key: str | None, scan: bool, raw: Column, text: Column, limits: Limits) -> tuple[Column, Column, Column]:
+def _mask(names: tuple[str, ...], key: str | None, scan: bool, raw: Column, text: Column,
+          limits: Limits) -> tuple[Column, Column, Column]:
     bounded = limits.enabled and 0 < limits.max_attr_depth <= jt.MAX_PATTERN_DEPTH
     levels = limits.max_attr_depth if bounded else jt.MAX_PATTERN_DEPTH
     pattern = sensitive.mask_pattern(key, scan, levels)
-    hint = raw.rlike(sensitive.raw_text_hint(key, scan))
+    hint = sensitive.raw_text_hint(raw, names, key, scan)
     hit = text.rlike(pattern)
     masked = F.regexp_replace(text, pattern, sensitive.mask_replacement(key, scan))
     if bounded:
@@ -137,7 +138,7 @@ def redact_processor(df: DataFrame, privacy: Privacy, limits: Limits = Limits())
         out = walked.withColumn("_masked", F.when(changed, F.col("_walk.raw"))).drop("_walk")
     else:
         key = sensitive.named_key_token(privacy.blocklist)
-        hint, hit, masked = _mask(key, False, raw, F.col("_text"), limits)
+        hint, hit, masked = _mask(privacy.blocklist, key, False, raw, F.col("_text"), limits)
         out = (
             df.withColumn("_text", F.when(doc.isNotNull() & hint, F.to_json(doc)))
             .withColumn("_masked", F.when(hit, masked)).drop("_text")
@@ -187,9 +188,13 @@ def pii_audit(
     """
     rows = df.limit(limit) if limit else df
     names = sorted({n.strip().lower().replace("-", "_").replace(".", "_") for n in blocklist})
-    hint = sensitive.raw_text_hint(sensitive.blocked_key_token(blocklist), False) + "|" + _scoped(secret)
+    key = sensitive.blocked_key_token(blocklist)
+    if secret == sensitive.SECRET:
+        hint = sensitive.raw_text_hint(F.col("raw"), blocklist, key, True)
+    else:
+        hint = F.contains("raw", F.lit("\\")) | F.col("raw").rlike(sensitive.raw_text_pattern(key, True, secret))
     valid = jt.strict_json(jt.trim(F.col("raw"))).isNotNull()
-    marked = settle(rows.where(F.col("raw").rlike(hint)).withColumn("raw", F.when(valid, F.col("raw"))), "raw")
+    marked = settle(rows.where(hint).withColumn("raw", F.when(valid, F.col("raw"))), "raw")
     nodes = json_nodes(marked, keep=keep, levels=levels).where(F.col("key").isNotNull())
     text = F.when(is_text(F.col("value")), jt.unquote(F.col("value")))
     classes = F.array_compact(F.array(
@@ -202,8 +207,3 @@ def pii_audit(
         .orderBy("path", "classification")
     )
 
-
-def _scoped(pattern: str) -> str:
-    """A pattern with leading flags, usable inside an alternation."""
-    flags = re.match(r"\(\?([a-z]+)\)", pattern)
-    return f"(?{flags[1]}:{pattern[flags.end():]})" if flags else pattern
