@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, functions as F
 
@@ -97,13 +99,12 @@ def raw_text_hint(raw: Column, names: tuple[str, ...], key_token: str | None, sc
     first, as they cost a fraction of a regular expression; they cover ASCII texts and names.
     """
     words = tell_tale_words(names) + (_SECRET_WORDS if scan_secrets else [])
-    low = F.lower(raw)
-    suspect = F.octet_length(raw) != F.length(raw)
     if "" in words or not all(w.isascii() for w in [*words, *names]):
         suspect = F.lit(True)
     else:
-        for word in words:
-            suspect |= F.contains(low, F.lit(word))
+        # The lambda names the lower-case text, so that it is made once for all words.
+        told = F.exists(F.array(F.lower(raw)), lambda low: reduce(or_, (F.contains(low, F.lit(w)) for w in words)))
+        suspect = (F.octet_length(raw) != F.length(raw)) | told if words else F.lit(False)
     pattern = raw_text_pattern(key_token, scan_secrets)
     return F.contains(raw, F.lit("\\")) | (suspect & raw.rlike(pattern))
 
