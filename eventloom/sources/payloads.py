@@ -81,7 +81,7 @@ def parse_payloads(df: DataFrame, payload: str = "payload") -> DataFrame:
     )
     several = F.when(F.contains(body, F.lit("\n")) & (F.size(lines) > 1), lines)
     items = (
-        F.when(F.coalesce(body, F.lit("")) == "", F.array().cast("array<string>"))
+        F.when(body == "", F.array().cast("array<string>"))
         .when((first == "[") & F.col("_doc").isNotNull(), array_texts(body, F.col("_doc")))
         .when(first == "[", F.lit(None))
         .when((first == "{") & F.col("_doc").isNull(), several)

@@ -121,8 +121,9 @@ def test_payload_files(spark, tmp_path):
     (tmp_path / "c.json").write_bytes(b'{"d":4}')
     (tmp_path / "d.json.gz").write_bytes(b"not gzip")
     rows = request_guards(read_payload_files(spark, str(tmp_path))).collect()
-    got = {r.request_id[-8:]: r["items"] for r in rows}
-    assert sorted(map(str, got.values())) == sorted(map(str, [['{"a":1}'], ['{"b":2}', '{"c":3}'], ['{"d":4}'], []]))
+    got = {r.request_id.rsplit("/", 1)[-1]: (r["items"], r.request_error) for r in rows}
+    assert got == {"a.json.gz": (['{"a":1}'], None), "b.json.zst": (['{"b":2}', '{"c":3}'], None),
+                   "c.json": (['{"d":4}'], None), "d.json.gz": (None, "invalid_request_payload")}
 
 
 def test_schema_modes(spark, events):
