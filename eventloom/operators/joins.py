@@ -17,6 +17,7 @@ def lookup_join(left: DataFrame, small: DataFrame, on: list[str], how: str = "le
     """
     if small.limit(broadcast_rows + 1).count() <= broadcast_rows:
         return left.join(F.broadcast(small), on, how)
-    salted = left.withColumn("_salt", F.pmod(F.xxhash64(*left.columns[:1], F.spark_partition_id()), F.lit(_SALTS)))
+    plain = [name for name, kind in left.dtypes if not kind.startswith(("variant", "map", "array", "struct"))]
+    salted = left.withColumn("_salt", F.pmod(F.xxhash64(*plain), F.lit(_SALTS).cast("long")))
     copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(_SALTS - 1).cast("long"))))
     return salted.join(copies, [*on, "_salt"], how).drop("_salt")

@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from eventloom.functions.jsontext import strict_json, unquote
 from eventloom.functions.paths import string_at
+from eventloom.operators.joins import lookup_join
 from eventloom.operators.nodes import is_text, json_nodes
 from eventloom.operators.settle import settle
-from eventloom.session import scratch_path
+from eventloom.session import scratch_path, staged
 
 _HOUR_US = 3_600_000_000
 _NO_TIME = 2**62
@@ -46,8 +47,8 @@ def user_rows(df: DataFrame, user: str, keep: tuple[str, ...], levels: int | Non
 
 
 def delete_rows(df: DataFrame, doomed: DataFrame, keep: tuple[str, ...]) -> DataFrame:
-    """``df`` without the rows whose key is in ``doomed``."""
-    return df.join(doomed.select(*keep).distinct(), list(keep), "left_anti")
+    """``df`` without the rows whose key is in ``doomed``; the table moves only if those are many."""
+    return lookup_join(df, staged(doomed.select(*keep).distinct(), "doomed"), list(keep), "left_anti")
 
 
 def deletion_report(kind: str, deleted: Column, reason: str = "") -> list[Column]:

@@ -21,6 +21,7 @@ from eventloom.operators.nodes import is_text, json_nodes
 from eventloom.plans.catalog import query
 from eventloom.plans.pipeline import run_batch
 from eventloom.plans.wide_events import CODES_SQL, NODES_SQL, OBJECTS_SQL, WIDE_SQL, read_table, wide_events
+from eventloom.session import staged
 
 ROW = ("eid", "copy")
 
@@ -302,7 +303,8 @@ WHERE t.blocked OR t.secret OR t.type = 'VARCHAR'""")
 def redact_block(spark, sf_dir):
     """All text leaves after the collector step, on every object."""
     rows = gov.redact_events(wide_events(spark, sf_dir), Privacy(), Limits(enabled=False))
-    leaves = json_nodes(rows.where(F.col("doc").isNotNull()), keep=ROW)
+    redacted = staged(rows.where(F.col("doc").isNotNull()).select(*ROW, "raw"), "redacted")
+    leaves = json_nodes(redacted, keep=ROW)
     return leaves.where(is_text(F.col("value"))).select(*ROW, "path", unquote(F.col("value")).alias("text"))
 
 
