@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import base64
 import json
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
