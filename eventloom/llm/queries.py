@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from eventloom.llm import line_dedup, packing, pieces, pii, quality_gam, quality_rules, rp_forest, simhash_dedup
+from eventloom.llm import license_scan, line_dedup, packing, pieces, pii, quality_gam, quality_rules, rp_forest, simhash_dedup, suffix_dedup
 from eventloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,3 +72,14 @@ def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = pieces.encode_documents(table(spark, sf_dir, "documents"), ["doc_id"])
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", "restored")
+
+
+@query
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.dedup_substrings(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"), ["doc_id"])
