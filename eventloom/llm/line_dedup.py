@@ -1,11 +1,11 @@
 """Fuzzy line dedup with DataFrame functions only.
 
-Lines are normalised (lower case, single spaces) and equal ones collapsed by a 128-bit hash.  Distinct lines get a SimHash
-of their words; pairs within three bits are found by joins on pigeonhole blocks and verified by edit similarity.  The first
-line of every connected group is kept, in order of document and place.
+Lines are normalised (lower case, single spaces) and equal ones collapsed by a 128-bit hash.  Distinct lines get a 64-bit
+SimHash of their words; pairs within three bits are found by joins on pigeonhole blocks and verified by edit similarity.  The
+first line of every connected group is kept.
 
-SimHash has 63 bits, counted seven at a time: nine numbers hold seven nine-bit counters each, which suits Spark's checked
-arithmetic, so a word costs nine additions.
+Lines are numbered in the order of the stored table, and words are counted by a plain aggregation: 64 sums per line, in
+generated code.
 """
 
 from __future__ import annotations
@@ -19,12 +19,9 @@ from eventloom.llm.components import connected_components
 
 SIMILARITY = 0.8
 DISTANCE = 3
-_LANES, _WIDTH = 7, 9
-_BITS = _LANES * _WIDTH
-_ONES = sum(1 << (_WIDTH * k) for k in range(_LANES))
-_FULL = (1 << _WIDTH) - 1
-# With five blocks, three differing bits leave two blocks equal.  A key of two blocks has 24 to 26 bits.
-_BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 12), (51, 12))
+_BITS = 64
+# With five blocks, three differing bits leave two blocks equal.  A key of two blocks has 25 or 26 bits.
+_BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 _PAIRS = tuple(combinations(range(len(_BLOCKS)), 2))
 
 
@@ -34,60 +31,38 @@ def normalise(line: Column) -> Column:
     return F.regexp_replace(trimmed, r"(?:\x20*+[\x09-\x0D]|\x20{2})[\x20\x09-\x0D]*+", " ")
 
 
-def _counters(hashes: Column) -> Column:
-    """Nine numbers with the counts of up to 511 hashes' bits: counter k of number g counts bit g + 9 k."""
-    names = [f"c{g}" for g in range(_WIDTH)]
-    zero = F.struct(*(F.lit(0).cast("long").alias(n) for n in names))
-    return F.aggregate(hashes, zero, lambda a, h: F.struct(*(
-        (a[n] + F.shiftright(h, g).bitwiseAND(F.lit(_ONES))).alias(n) for g, n in enumerate(names))))
-
-
-def simhash(words: Column) -> Column:
-    """63 bits; a bit is set if over half the words' hashes have it."""
-    hashes = F.transform(words, lambda w: F.xxhash64(w))
-    half = F.floor(F.size(words) / 2)
-
-    def short(counted: Column) -> Column:
-        # A counter above half the words carries into its top bit once 255 - half is added to it.
-        added = (F.lit(_FULL >> 1) - half) * F.lit(_ONES)
-        set_bits = [F.shiftleft(F.shiftrightunsigned(counted[f"c{g}"] + added, _WIDTH - 1).bitwiseAND(F.lit(_ONES)), g)
-                    for g in range(_WIDTH)]
-        fp = set_bits[0]
-        for more in set_bits[1:]:
-            fp = fp.bitwiseOR(more)
-        return fp
-
-    def long(values: Column) -> Column:
-        """Any number of words: counters of 511 words at a time, widened and added."""
-        chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / _FULL).cast("int")), lambda c: _counters(
-            F.slice(values, c * _FULL + 1, _FULL)))
-
-        def widened(total: Column, chunk: Column) -> Column:
-            parts = F.array(*(chunk[f"c{g}"] for g in range(_WIDTH)))
-            return F.transform(total, lambda x, i: x + F.call_function(
-                "shiftright", F.element_at(parts, i % _WIDTH + 1), F.floor(i / _WIDTH).cast("int") * _WIDTH).bitwiseAND(F.lit(_FULL)))
+def lines_of(docs: DataFrame) -> DataFrame:
+    """``(_id, _row, _line, _at, text)`` of every normalised line with a word; ``docs`` has ``_id``, ``_row`` and ``text``.
 
-        totals = F.aggregate(chunks, F.array_repeat(F.lit(0).cast("long"), _BITS), widened)
-        flags = F.transform(totals, lambda x, i: F.when(x > half, F.call_function(
-            "shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
-        return F.aggregate(flags, F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x))
+    ``_at`` numbers the lines of the table in its order, the same on every read of a stored table.
+    """
+    lines = docs.select("_id", "_row", F.posexplode(F.split("text", "\n", -1)).alias("_line", "text"))
+    return lines.select("_id", "_row", "_line", F.monotonically_increasing_id().alias("_at"),
+                        normalise(F.col("text")).alias("text")).where(F.col("text") != "")
 
-    return F.when(F.size(words) <= _FULL, short(_counters(hashes))).otherwise(long(hashes))
 
+def _hashes() -> list[Column]:
+    return [F.xxhash64("text").alias("h1"), F.xxhash64("text", F.lit(1)).alias("h2")]
 
-def lines_of(docs: DataFrame) -> DataFrame:
-    """``(_id, _row, _line, text)`` of every normalised line with a word; ``docs`` has ``_id``, ``_row`` and ``text``."""
-    lines = docs.select("_id", "_row", F.posexplode(F.split("text", "\n", -1)).alias("_line", "text"))
-    return lines.select("_id", "_row", "_line", normalise(F.col("text")).alias("text")).where(F.col("text") != "")
 
+def _signed(bits: int) -> Column:
+    return F.lit(bits - (1 << 64) if bits >> 63 else bits).cast("long")
 
-def _place() -> Column:
-    # A null id comes last.
-    return F.struct(F.col("_id").isNull().alias("nameless"), F.col("_id").alias("id"), F.col("_row").alias("row"), F.col("_line").alias("line"))
 
+def distinct_lines(lines: DataFrame) -> DataFrame:
+    """``(h1, h2, at, fp)``: every distinct line with its first place and its SimHash.
 
-def _hashes() -> list[Column]:
-    return [F.xxhash64("text").alias("h1"), F.xxhash64("text", F.lit(1)).alias("h2")]
+    A bit is set if over half the words have it.  A line that occurs often counts its words as often, which changes no
+    majority, so words are added up per task before anything moves.
+    """
+    words = lines.select(*_hashes(), "_at", F.explode(F.split("text", " ")).alias("word"))
+    hashed = words.select("h1", "h2", "_at", F.xxhash64("word").alias("h"))
+    votes = [F.sum(F.shiftright("h", i).bitwiseAND(F.lit(1).cast("long"))).alias(f"b{i}") for i in range(_BITS)]
+    counted = hashed.groupBy("h1", "h2").agg(F.min("_at").alias("at"), F.count("*").alias("n"), *votes)
+    fp = F.lit(0).cast("long")
+    for i in range(_BITS):
+        fp = fp.bitwiseOR(F.when(F.col(f"b{i}") * 2 > F.col("n"), _signed(1 << i)).otherwise(_signed(0)))
+    return counted.select("h1", "h2", "at", fp.alias("fp"))
 
 
 def candidate_prints(lines: DataFrame) -> DataFrame:
@@ -105,71 +80,81 @@ def candidate_prints(lines: DataFrame) -> DataFrame:
     own = F.lit(None).cast("int")
     for number, pair in reversed(list(enumerate(_PAIRS))):
         mask = sum(((1 << n) - 1) << at for at, n in (_BLOCKS[k] for k in pair))
-        own = F.when(differing.bitwiseAND(F.lit(mask)) == 0, number).otherwise(own)
+        own = F.when(differing.bitwiseAND(_signed(mask)) == 0, number).otherwise(own)
     return left.join(right, "key").where(
         (F.col("a") < F.col("b")) & (F.bit_count(differing) <= DISTANCE) & (F.shiftright("key", 26) == own)).select("a", "b")
 
 
+def spelled(text: Column) -> Column:
+    """A line with one character per word: equal words get equal characters, others all but certainly different ones."""
+    def character(word: Column) -> Column:
+        code = F.lpad(F.hex(F.xxhash64(word)), 16, "0")
+        return F.concat(F.translate(F.substring(code, 13, 1), "0123456789ABCDEF", "4567894567894567"), F.substring(code, 14, 3))
+
+    return F.decode(F.unhex(F.array_join(F.transform(F.split(text, " "), character), "")), "UTF-16BE")
+
+
 def similar(a: Column, b: Column, similarity: float = SIMILARITY) -> Column:
-    """True if 1 - edit distance / longer length is at least ``similarity``; lengths that cannot do are told first."""
+    """True if 1 - word edits / words of the longer line is at least ``similarity``; lengths that cannot do are told first."""
     longer, shorter = F.greatest(F.length(a), F.length(b)), F.least(F.length(a), F.length(b))
     allowed = F.floor(longer * F.lit(round(1 - similarity, 9)) + 1e-9).cast("int")
     distance = F.call_function("levenshtein", a, b, allowed)
     return F.when(longer - shorter > allowed, False).otherwise((distance >= 0) & (distance <= allowed))
 
 
-def line_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def line_groups(lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``(h1, h2, first)``: for every distinct line, the place of the first line of its connected group.
 
     A class is all distinct lines of one SimHash.  Lines are first compared with the first line of their class, and first
-    lines with those of classes within three bits; then lines of such classes that are not in one group yet, with each other.  So
-    no link is lost, and a large group of near copies is not compared pair by pair.
+    lines with those of classes within three bits; then lines of such classes that are not in one group yet, with each
+    other.  So no link is lost, and a large group of near copies is not compared pair by pair.
     """
-    lines = lines_of(docs)
-    measured = lines.select(*_hashes(), _place().alias("place"), simhash(F.split("text", " ")).alias("fp"))
-    distinct = cut_lineage(measured.groupBy("h1", "h2").agg(F.min("place").alias("place"), F.first("fp").alias("fp")))
+    distinct = cut_lineage(distinct_lines(lines))
     near = cut_lineage(candidate_prints(distinct))
-    classes = distinct.groupBy("fp").agg(F.min("place").alias("leader"), F.count("*").alias("size"))
+    shared = distinct.groupBy("fp").agg(F.min("at").alias("leader"), F.count("*").alias("size"))
     touched = near.select(F.col("a").alias("fp")).union(near.select(F.col("b").alias("fp"))).distinct()
-    involved = distinct.join(classes.where(F.col("size") > 1).select("fp").union(touched).distinct(), "fp", "left_semi")
-    wanted = involved.groupBy(F.col("place.row").alias("_row")).agg(F.collect_list(F.struct("place.line", "place", "fp")).alias("wanted"))
-    # Only documents with such lines are split again.
-    again = docs.select("_row", "text").join(wanted.hint("shuffle_hash"), "_row").select(
-        F.split("text", "\n", -1).alias("parts"), F.explode("wanted").alias("w"))
-    texts = cut_lineage(again.select("w.place", "w.fp", normalise(F.element_at("parts", F.col("w.line") + 1)).alias("text")))
-
-    leaders = texts.join(classes.select("fp", F.col("leader").alias("place")), ["fp", "place"], "left_semi")
-    own = texts.join(leaders.select("fp", F.col("place").alias("place2"), F.col("text").alias("text2")), "fp").where(
-        F.col("place") != F.col("place2"))
-    a, b = (leaders.select(F.col("fp").alias(n), F.col("place").alias(f"place{m}"), F.col("text").alias(f"text{m}"))
+    classes = cut_lineage(shared.join(touched.withColumn("near", F.lit(True)), "fp", "left").where(
+        (F.col("size") > 1) | F.col("near")).select("fp", "leader", "size"))
+    involved = distinct.join(classes.select("fp", "leader"), "fp").select(F.col("at").alias("_at"), "fp", "leader")
+    texts = cut_lineage(lines.select("_at", "text").join(involved.hint("shuffle_hash"), "_at").select(
+        F.col("_at").alias("at"), "fp", "leader", spelled(F.col("text")).alias("text")))
+
+    leaders = texts.where(F.col("at") == F.col("leader"))
+    own = texts.where(F.col("at") != F.col("leader")).select("fp", "at", "text").join(
+        leaders.select("fp", F.col("at").alias("at2"), F.col("text").alias("text2")), "fp")
+    a, b = (leaders.select(F.col("fp").alias(n), F.col("at").alias(f"at{m}"), F.col("text").alias(f"text{m}"))
             for n, m in (("a", ""), ("b", "2")))
     across = near.join(a, "a").join(b, "b")
-    columns = ["place", "place2"]
 
     def verified(pairs: DataFrame) -> DataFrame:
-        return pairs.where(similar(F.col("text"), F.col("text2"), similarity)).select(*columns)
+        return pairs.where(similar(F.col("text"), F.col("text2"), similarity)).select("at", "at2")
 
     links = cut_lineage(verified(own).unionByName(verified(across)))
-    groups = connected_components(links, *columns)
-    named = texts.join(groups, F.col("place") == F.col("node"), "left").select(
-        "fp", "place", "text", F.coalesce("component", "place").alias("group"))
-    both = near.unionByName(classes.where(F.col("size") > 1).select(F.col("fp").alias("a"), F.col("fp").alias("b")))
-    one, two = (named.select(F.col("fp").alias(n), F.col("place").alias(f"place{m}"), F.col("text").alias(f"text{m}"),
+    groups = connected_components(links, "at", "at2")
+    named = cut_lineage(texts.join(groups, F.col("at") == F.col("node"), "left").select(
+        "fp", "at", "text", F.coalesce("component", "at").alias("group")))
+    # Classes whose lines are not all in one group, alone or together.
+    spread = named.groupBy("fp").agg(F.min("group").alias("low"), F.max("group").alias("high"))
+    low, high = (spread.select(F.col("fp").alias(n), F.col("low").alias(f"low_{n}"), F.col("high").alias(f"high_{n}")) for n in "ab")
+    divided = near.join(low, "a").join(high, "b").where(
+        F.least("low_a", "low_b") < F.greatest("high_a", "high_b")).select("a", "b")
+    both = divided.unionByName(spread.where(F.col("low") < F.col("high")).select(F.col("fp").alias("a"), F.col("fp").alias("b")))
+    one, two = (named.select(F.col("fp").alias(n), F.col("at").alias(f"at{m}"), F.col("text").alias(f"text{m}"),
                              F.col("group").alias(f"group{m}")) for n, m in (("a", ""), ("b", "2")))
-    apart = (F.col("group") != F.col("group2")) & ((F.col("a") != F.col("b")) | (F.col("place") < F.col("place2")))
-    rest = verified(both.join(one, "a").join(two, "b").where(apart))
-    final = connected_components(links.unionByName(rest), *columns)
-    return distinct.join(final, F.col("place") == F.col("node"), "left").select(
-        "h1", "h2", F.coalesce("component", "place").alias("first"))
+    apart = (F.col("group") != F.col("group2")) & ((F.col("a") != F.col("b")) | (F.col("at") < F.col("at2")))
+    rest = cut_lineage(verified(both.join(one, "a").join(two, "b").where(apart)))
+    joined = groups.select(F.col("node").alias("at"), F.col("component").alias("at2"))
+    final = groups if rest.isEmpty() else connected_components(joined.unionByName(rest), "at", "at2")
+    return distinct.join(final, F.col("at") == F.col("node"), "left").select(
+        "h1", "h2", F.coalesce("component", "at").alias("first"))
 
 
-def judge_lines(docs: DataFrame, id_column: str = "doc_id", similarity: float = SIMILARITY) -> DataFrame:
-    """``(id, _row, _line, first, kept)`` of every line with a word; ``docs`` has ``_id``, ``_row`` and ``text``."""
-    groups = line_groups(docs, similarity)
-    lines = lines_of(docs).select(*_hashes(), _place().alias("place"))
-    return lines.join(groups, ["h1", "h2"]).select(
-        F.col("place.id").alias(id_column), F.col("place.row").alias("_row"), F.col("place.line").alias("_line"), "first",
-        (F.col("place") == F.col("first")).alias("kept"))
+def judge_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """``(_id, _row, _line, group, kept)`` of every line with a word; ``docs`` has ``_id``, ``_row`` and ``text``."""
+    lines = lines_of(docs)
+    groups = line_groups(lines, similarity)
+    return lines.select("_id", "_row", "_line", "_at", *_hashes()).join(groups, ["h1", "h2"]).select(
+        "_id", "_row", "_line", F.col("first").alias("group"), (F.col("_at") == F.col("first")).alias("kept"))
 
 
 def numbered(docs: DataFrame, id_column: str = "doc_id", *columns: Column) -> DataFrame:
@@ -179,13 +164,12 @@ def numbered(docs: DataFrame, id_column: str = "doc_id", *columns: Column) -> Da
 def dedup_lines(docs: DataFrame, id_column: str = "doc_id", similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` without repeated lines; lines without a word stay, and so do documents that lose all lines.
 
-    The first line of a group is that of the smallest id, then of the first row and the first place; null ids come last.
-    Null texts stay null.  Repeated rows are documents of their own: all but the first lose their lines.  An empty table
-    gives an empty result.  All other columns stay as they are.  ``docs`` is read several times and must number its rows
-    alike, as a stored table does.
+    The first line of a group is that which comes first in the stored table.  Null texts stay null.  Repeated rows and
+    null ids are documents of their own: all but the first lose their lines.  An empty table gives an empty result.  All other
+    columns stay as they are.  ``docs`` is read several times and must number its rows alike, as a stored table does.
     """
     everything = numbered(docs, id_column, F.struct(*docs.columns).alias("_all"))
-    judged = judge_lines(everything.select("_id", "_row", "text"), id_column, similarity)
+    judged = judge_lines(everything.select("_id", "_row", "text"), similarity)
     dropped = judged.where(~F.col("kept")).groupBy("_row").agg(F.collect_set("_line").alias("dropped"))
     marked = everything.select("_row", "_all").join(dropped.hint("shuffle_hash"), "_row", "left")
     kept = F.array_join(F.filter(F.split("_all.text", "\n", -1), lambda _, i: ~F.array_contains("dropped", i)), "\n")

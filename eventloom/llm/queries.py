@@ -57,10 +57,8 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = line_dedup.numbered(table(spark, sf_dir, "documents"))
-    judged = line_dedup.judge_lines(docs)
-    return judged.select("doc_id", F.col("_line").alias("line"), F.col("first.id").alias("first_doc_id"),
-                         F.col("first.line").alias("first_line"), "kept")
+    judged = line_dedup.judge_lines(line_dedup.numbered(table(spark, sf_dir, "documents")))
+    return judged.select(F.col("_id").alias("doc_id"), F.col("_line").alias("line"), "group", "kept")
 
 
 @query
