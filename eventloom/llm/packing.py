@@ -15,46 +15,16 @@ import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
-from tokenizers import Tokenizer
 
 from eventloom.llm.common import cut_lineage, map_batches, texts_of
+from eventloom.llm.word_bpe import encoder
 
 CAPACITY = 4096
 END_ID = 1
 # Pieces a group holds on average; a group is packed by one task.
 GROUP_PIECES = 20_000
-# Words whose ids a Python worker remembers before it starts anew.
-CACHED_WORDS = 1_000_000
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
-_loaded: dict[str, tuple[Tokenizer, dict[bytes, bytes]]] = {}
-
-
-def _tokenizer(path: str) -> tuple[Tokenizer, dict[bytes, bytes]]:
-    if path not in _loaded:
-        _loaded[path] = (Tokenizer.from_file(path), {})
-    return _loaded[path]
-
-
-def token_ids(texts: list[bytes], path: str = VOCABULARY) -> list[bytes]:
-    """Little-endian unsigned 32-bit ids of each UTF-8 text, without an end id.
-
-    The tokenizer drops white space and never joins across it, so the ids of a text are those of its words in a row.
-    """
-    tokenizer, known = _tokenizer(path)
-    if len(known) > CACHED_WORDS:
-        known.clear()
-    made = []
-    for text in texts:
-        words = text.split()
-        missing = list({w for w in words if w not in known})
-        if missing:
-            coded_words = tokenizer.encode_batch_fast([w.decode() for w in missing], add_special_tokens=False)
-            for word, coded in zip(missing, coded_words):
-                known[word] = np.array(coded.ids, "<u4").tobytes()
-        made.append(b"".join(map(known.__getitem__, words)))
-    return made
-
 
 def pieces(docs: DataFrame, id_column: str = "doc_id", path: str = VOCABULARY, capacity: int = CAPACITY) -> DataFrame:
     """``(id, piece, start, length, ids_crc32)``: every document with an end id, cut only where it is longer than a sequence."""
@@ -62,7 +32,7 @@ def pieces(docs: DataFrame, id_column: str = "doc_id", path: str = VOCABULARY, c
 
     def cut(batch: pa.RecordBatch) -> dict:
         made = {name: [] for name in (id_column, "piece", "start", "length", "ids_crc32")}
-        for key, ids in zip(batch.column(id_column).to_pylist(), token_ids(texts_of(batch.column("text")), path)):
+        for key, ids in zip(batch.column(id_column).to_pylist(), encoder(path).encode(texts_of(batch.column("text")))):
             ids += end
             for number, at in enumerate(range(0, len(ids), 4 * capacity)):
                 part = ids[at:at + 4 * capacity]
