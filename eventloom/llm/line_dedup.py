@@ -1,11 +1,12 @@
 """Fuzzy line dedup with DataFrame functions only.
 
-Lines are normalised (lower case, single spaces) and equal ones collapsed by a 128-bit hash.  Distinct lines get a 64-bit
-SimHash of their words; pairs within three bits are found by joins on pigeonhole blocks and verified by edit similarity.  The
-first line of every connected group is kept.
+Lines are normalised (lower case, single spaces) and equal ones collapsed by a 128-bit hash.  Lines get a SimHash of their
+distinct words; pairs within three bits are found by joins on pigeonhole blocks and verified by edit similarity.  The first
+line of every connected group is kept.
 
-Lines are numbered in the order of the stored table, and words are counted by a plain aggregation: 64 sums per line, in
-generated code.
+Lines are numbered in the order of the stored table.  Bits are counted by a plain aggregation over words, in generated code: the
+SimHash has 63 bits, and nine sums hold seven nine-bit counters each, enough for 511 words; longer lines are counted in
+parts.
 """
 
 from __future__ import annotations
@@ -19,9 +20,14 @@ from eventloom.llm.components import connected_components
 
 SIMILARITY = 0.8
 DISTANCE = 3
-_BITS = 64
-# With five blocks, three differing bits leave two blocks equal.  A key of two blocks has 25 or 26 bits.
-_BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
+_LANES, _WIDTH = 7, 9
+_BITS = _LANES * _WIDTH
+_ONES = sum(1 << (_WIDTH * k) for k in range(_LANES))
+_FULL = (1 << _WIDTH) - 1
+# With five blocks, three differing bits leave two blocks equal.  A key of two blocks has 24 to 26 bits.
+_BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 12), (51, 12))
+# Places are sorted into so many buckets; that many numbers at most are broadcast.
+_BUCKETS = 1 << 20
 _PAIRS = tuple(combinations(range(len(_BLOCKS)), 2))
 
 
@@ -31,38 +37,52 @@ def normalise(line: Column) -> Column:
     return F.regexp_replace(trimmed, r"(?:\x20*+[\x09-\x0D]|\x20{2})[\x20\x09-\x0D]*+", " ")
 
 
-def lines_of(docs: DataFrame) -> DataFrame:
-    """``(_id, _row, _line, _at, text)`` of every normalised line with a word; ``docs`` has ``_id``, ``_row`` and ``text``.
+def places_of(docs: DataFrame) -> DataFrame:
+    """``(_id, _row, _line, _at, line)`` of every line; ``docs`` has ``_id``, ``_row`` and ``text``.
 
     ``_at`` numbers the lines of the table in its order, the same on every read of a stored table.
     """
-    lines = docs.select("_id", "_row", F.posexplode(F.split("text", "\n", -1)).alias("_line", "text"))
-    return lines.select("_id", "_row", "_line", F.monotonically_increasing_id().alias("_at"),
-                        normalise(F.col("text")).alias("text")).where(F.col("text") != "")
+    lines = docs.select("_id", "_row", F.posexplode(F.split("text", "\n", -1)).alias("_line", "line"))
+    return lines.select("_id", "_row", "_line", F.monotonically_increasing_id().alias("_at"), "line")
 
 
-def _hashes() -> list[Column]:
-    return [F.xxhash64("text").alias("h1"), F.xxhash64("text", F.lit(1)).alias("h2")]
+def lines_of(docs: DataFrame) -> DataFrame:
+    """``(_at, text)`` of every normalised line with a word."""
+    return places_of(docs).select("_at", normalise(F.col("line")).alias("text")).where(F.col("text") != "")
 
 
-def _signed(bits: int) -> Column:
-    return F.lit(bits - (1 << 64) if bits >> 63 else bits).cast("long")
+def _long(value: int) -> Column:
+    return F.lit(value).cast("long")
 
 
-def distinct_lines(lines: DataFrame) -> DataFrame:
-    """``(h1, h2, at, fp)``: every distinct line with its first place and its SimHash.
+def measured_lines(lines: DataFrame) -> DataFrame:
+    """``(at, h1, h2, fp)`` of every line: its 128-bit hash and its SimHash.
 
-    A bit is set if over half the words have it.  A line that occurs often counts its words as often, which changes no
-    majority, so words are added up per task before anything moves.
+    A bit is set if over half of the distinct words' hashes have it.
     """
-    words = lines.select(*_hashes(), "_at", F.explode(F.split("text", " ")).alias("word"))
-    hashed = words.select("h1", "h2", "_at", F.xxhash64("word").alias("h"))
-    votes = [F.sum(F.shiftright("h", i).bitwiseAND(F.lit(1).cast("long"))).alias(f"b{i}") for i in range(_BITS)]
-    counted = hashed.groupBy("h1", "h2").agg(F.min("_at").alias("at"), F.count("*").alias("n"), *votes)
-    fp = F.lit(0).cast("long")
-    for i in range(_BITS):
-        fp = fp.bitwiseOR(F.when(F.col(f"b{i}") * 2 > F.col("n"), _signed(1 << i)).otherwise(_signed(0)))
-    return counted.select("h1", "h2", "at", fp.alias("fp"))
+    # In two steps: what stands beside an explode is computed for every exploded row.
+    hashes = lines.select("_at", F.xxhash64("text").alias("h1"), F.xxhash64("text", F.lit(1)).alias("h2"),
+                          F.array_distinct(F.split("text", " ")).alias("words")).withColumn("n", F.size("words"))
+    spread = hashes.select("_at", "h1", "h2", "n", F.posexplode("words").alias("number", "word"))
+    hashed = spread.select("_at", "h1", "h2", "n", F.floor(F.col("number") / _FULL).cast("int").alias("part"),
+                           F.xxhash64("word").alias("h"))
+    sums = [F.sum(F.shiftright("h", g).bitwiseAND(_long(_ONES))).alias(f"c{g}") for g in range(_WIDTH)]
+    counted = hashed.groupBy(F.col("_at").alias("at"), "h1", "h2", "n", "part").agg(*sums)
+    half = F.floor(F.col("n") / 2)
+    # A counter above half the words carries into its top bit once 255 - half is added to it.
+    fp = _long(0)
+    for g in range(_WIDTH):
+        carried = F.shiftrightunsigned(F.col(f"c{g}") + (_long(_FULL >> 1) - half) * _long(_ONES), _WIDTH - 1)
+        fp = fp.bitwiseOR(F.shiftleft(carried.bitwiseAND(_long(_ONES)), g))
+    short = F.col("n") <= _FULL
+    whole = counted.where(short).select("at", "h1", "h2", fp.alias("fp"))
+    # Bit b is counted by counter b // 9 of sum b % 9.
+    counts = [F.sum(F.shiftright(f"c{b % _WIDTH}", b // _WIDTH * _WIDTH).bitwiseAND(_long(_FULL))).alias(f"b{b}") for b in range(_BITS)]
+    added = counted.where(~short).groupBy("at", "h1", "h2", "n").agg(*counts)
+    fp = _long(0)
+    for b in range(_BITS):
+        fp = fp.bitwiseOR(F.when(F.col(f"b{b}") > half, _long(1 << b)).otherwise(_long(0)))
+    return whole.unionByName(added.select("at", "h1", "h2", fp.alias("fp")))
 
 
 def candidate_prints(lines: DataFrame) -> DataFrame:
@@ -80,7 +100,7 @@ def candidate_prints(lines: DataFrame) -> DataFrame:
     own = F.lit(None).cast("int")
     for number, pair in reversed(list(enumerate(_PAIRS))):
         mask = sum(((1 << n) - 1) << at for at, n in (_BLOCKS[k] for k in pair))
-        own = F.when(differing.bitwiseAND(_signed(mask)) == 0, number).otherwise(own)
+        own = F.when(differing.bitwiseAND(_long(mask)) == 0, number).otherwise(own)
     return left.join(right, "key").where(
         (F.col("a") < F.col("b")) & (F.bit_count(differing) <= DISTANCE) & (F.shiftright("key", 26) == own)).select("a", "b")
 
@@ -102,21 +122,26 @@ def similar(a: Column, b: Column, similarity: float = SIMILARITY) -> Column:
     return F.when(longer - shorter > allowed, False).otherwise((distance >= 0) & (distance <= allowed))
 
 
-def line_groups(lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def line_groups(lines: DataFrame, measured: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``(h1, h2, first)``: for every distinct line, the place of the first line of its connected group.
 
-    A class is all distinct lines of one SimHash.  Lines are first compared with the first line of their class, and first
-    lines with those of classes within three bits; then lines of such classes that are not in one group yet, with each
-    other.  So no link is lost, and a large group of near copies is not compared pair by pair.
+    ``measured`` are the hashes of ``lines``.  A class is all distinct lines of one SimHash.  Lines are first compared with
+    the first line of their class, and first lines with those of classes within three bits; then lines of such classes that
+    are not in one group yet, with each other.  So no link is lost, and a large group of near copies is not compared pair by
+    pair.
     """
-    distinct = cut_lineage(distinct_lines(lines))
+    distinct = cut_lineage(measured.groupBy("h1", "h2").agg(F.min("at").alias("at"), F.max("fp").alias("fp")))
     near = cut_lineage(candidate_prints(distinct))
     shared = distinct.groupBy("fp").agg(F.min("at").alias("leader"), F.count("*").alias("size"))
     touched = near.select(F.col("a").alias("fp")).union(near.select(F.col("b").alias("fp"))).distinct()
     classes = cut_lineage(shared.join(touched.withColumn("near", F.lit(True)), "fp", "left").where(
         (F.col("size") > 1) | F.col("near")).select("fp", "leader", "size"))
-    involved = distinct.join(classes.select("fp", "leader"), "fp").select(F.col("at").alias("_at"), "fp", "leader")
-    texts = cut_lineage(lines.select("_at", "text").join(involved.hint("shuffle_hash"), "_at").select(
+    involved = cut_lineage(distinct.join(classes.select("fp", "leader"), "fp").select(F.col("at").alias("_at"), "fp", "leader"))
+    # Most lines are not involved; a bounded table of buckets tells so before their text moves.
+    bucket = F.pmod(F.xxhash64("_at"), F.lit(_BUCKETS)).cast("int").alias("bucket")
+    buckets = F.broadcast(involved.select(bucket).distinct())
+    some = lines.select("_at", "text", bucket).join(buckets, "bucket", "left_semi").select("_at", "text")
+    texts = cut_lineage(some.join(involved.hint("shuffle_hash"), "_at").select(
         F.col("_at").alias("at"), "fp", "leader", spelled(F.col("text")).alias("text")))
 
     leaders = texts.where(F.col("at") == F.col("leader"))
@@ -152,8 +177,9 @@ def line_groups(lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 def judge_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``(_id, _row, _line, group, kept)`` of every line with a word; ``docs`` has ``_id``, ``_row`` and ``text``."""
     lines = lines_of(docs)
-    groups = line_groups(lines, similarity)
-    return lines.select("_id", "_row", "_line", "_at", *_hashes()).join(groups, ["h1", "h2"]).select(
+    measured = cut_lineage(measured_lines(lines))
+    grouped = measured.join(line_groups(lines, measured, similarity), ["h1", "h2"]).select(F.col("at").alias("_at"), "first")
+    return places_of(docs).drop("line").join(grouped, "_at").select(
         "_id", "_row", "_line", F.col("first").alias("group"), (F.col("_at") == F.col("first")).alias("kept"))
 
 

@@ -299,7 +299,8 @@ def repeated_spans(docs: DataFrame, spread_from: int = SPREAD_FROM) -> DataFrame
         return batch_anchors(batch.column("_row").to_numpy(), texts_of(batch.column("text")))
 
     anchors = map_batches(docs.select("_row", "text"), anchored, "_row bigint, key bigint, spot bigint")
-    repeated = anchors.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > 1)
+    # Cut off, so that the join deals both sides anew and can split an anchor that holds many rows.
+    repeated = cut_lineage(anchors.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > 1))
     spots = anchors.join(repeated, "key").select("_row", (F.col("spot") * 2 + (F.col("n") >= spread_from).cast("long")).alias("spot"))
     wanted = cut_lineage(spots.groupBy("_row").agg(F.collect_list("spot").alias("spots")))
     total = wanted.agg(F.sum(F.size("spots"))).first()[0] or 0

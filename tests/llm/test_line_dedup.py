@@ -6,7 +6,7 @@ import re
 import pytest
 import xxhash
 
-from eventloom.llm.line_dedup import dedup_lines, distinct_lines, judge_lines, lines_of, numbered
+from eventloom.llm.line_dedup import dedup_lines, judge_lines, lines_of, measured_lines, numbered
 
 
 def words_of(line):
@@ -14,8 +14,8 @@ def words_of(line):
 
 
 def simhash(words):
-    hashes = [xxhash.xxh64_intdigest(w.encode(), seed=42) for w in words]
-    return sum(1 << i for i in range(64) if sum(h >> i & 1 for h in hashes) * 2 > len(hashes))
+    hashes = [xxhash.xxh64_intdigest(w.encode(), seed=42) for w in set(words)]
+    return sum(1 << i for i in range(63) if sum(h >> i & 1 for h in hashes) * 2 > len(hashes))
 
 
 def edits(a, b):
@@ -64,7 +64,7 @@ def documents():
         for _ in range(rng.choice((0, 0, 1, 1, 2, 5))):
             words[rng.randrange(len(words))] = rng.choice(vocabulary)
         lines.append(" ".join(words))
-    lines += ["", "  ", "\t", "A  b\tc", "a B c ", "É é", "é é", "x " * 600, "x " * 601]
+    lines += ["", "  ", "\t", "A  b\tc", "a B c ", "É é", "é é", "x " * 600, " ".join(f"w{i}" for i in range(1300))]
     rng.shuffle(lines)
     texts = ["\n".join(lines[i:i + 7]) for i in range(0, len(lines), 7)] + [None, "", "\n\n", lines[3], lines[3]]
     return list(enumerate(texts)) + [(None, lines[5]), (1, texts[1])]
@@ -73,7 +73,7 @@ def documents():
 def test_prints(spark, documents):
     docs = numbered(stored(spark, documents, "lines-a"))
     lines = lines_of(docs)
-    got = {r.at: r.fp & (1 << 64) - 1 for r in distinct_lines(lines).collect()}
+    got = {r.at: r.fp for r in measured_lines(lines).collect()}
     text = {r._at: r.text for r in lines.collect()}
     assert got == {at: simhash(words_of(text[at])) for at in got}
     assert all(t == " ".join(words_of(t)) for t in text.values())
