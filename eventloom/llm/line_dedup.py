@@ -5,8 +5,7 @@ distinct words; pairs within three bits are found by joins on pigeonhole blocks
 line of every connected group is kept.
 
 Lines are numbered in the order of the stored table.  Bits are counted by a plain aggregation over words, in generated code: the
-SimHash has 63 bits, and nine sums hold seven nine-bit counters each, enough for 511 words; longer lines are counted in
-parts.
+SimHash has 62 bits, and 31 sums hold two 31-bit counters each, more than any line has words.
 """
 
 from __future__ import annotations
@@ -20,21 +19,22 @@ from eventloom.llm.components import connected_components
 
 SIMILARITY = 0.8
 DISTANCE = 3
-_LANES, _WIDTH = 7, 9
-_BITS = _LANES * _WIDTH
+_LANES, _WIDTH = 2, 31
 _ONES = sum(1 << (_WIDTH * k) for k in range(_LANES))
-_FULL = (1 << _WIDTH) - 1
+_HIGH = 1 << (_WIDTH - 1)
 # With five blocks, three differing bits leave two blocks equal.  A key of two blocks has 24 to 26 bits.
-_BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 12), (51, 12))
+_BLOCKS = ((0, 13), (13, 13), (26, 12), (38, 12), (50, 12))
 # Places are sorted into so many buckets; that many numbers at most are broadcast.
 _BUCKETS = 1 << 20
 _PAIRS = tuple(combinations(range(len(_BLOCKS)), 2))
 
 
 def normalise(line: Column) -> Column:
-    spaces = " \t\n\x0b\x0c\r"
-    trimmed = F.btrim(F.lower(line), F.lit(spaces))
-    return F.regexp_replace(trimmed, r"(?:\x20*+[\x09-\x0D]|\x20{2})[\x20\x09-\x0D]*+", " ")
+    trimmed = F.btrim(F.lower(line), F.lit(" \t\n\x0b\x0c\r"))
+    uneven = F.lit(False)
+    for space in ("  ", "\t", "\r", "\x0b", "\x0c"):
+        uneven = uneven | trimmed.contains(space)
+    return F.when(uneven, F.regexp_replace(trimmed, r"[\x20\x09-\x0D]++", " ")).otherwise(trimmed)
 
 
 def places_of(docs: DataFrame) -> DataFrame:
@@ -62,27 +62,17 @@ def measured_lines(lines: DataFrame) -> DataFrame:
     """
     # In two steps: what stands beside an explode is computed for every exploded row.
     hashes = lines.select("_at", F.xxhash64("text").alias("h1"), F.xxhash64("text", F.lit(1)).alias("h2"),
-                          F.array_distinct(F.split("text", " ")).alias("words")).withColumn("n", F.size("words"))
-    spread = hashes.select("_at", "h1", "h2", "n", F.posexplode("words").alias("number", "word"))
-    hashed = spread.select("_at", "h1", "h2", "n", F.floor(F.col("number") / _FULL).cast("int").alias("part"),
-                           F.xxhash64("word").alias("h"))
+                          F.array_distinct(F.transform(F.split("text", " "), lambda w: F.xxhash64(w))).alias("words"))
+    words = hashes.select(F.col("_at").alias("at"), "h1", "h2", F.explode("words").alias("h"))
     sums = [F.sum(F.shiftright("h", g).bitwiseAND(_long(_ONES))).alias(f"c{g}") for g in range(_WIDTH)]
-    counted = hashed.groupBy(F.col("_at").alias("at"), "h1", "h2", "n", "part").agg(*sums)
-    half = F.floor(F.col("n") / 2)
-    # A counter above half the words carries into its top bit once 255 - half is added to it.
+    counted = words.groupBy("at", "h1", "h2").agg(F.count("*").alias("n"), *sums)
+    # A counter above half the words carries into its top bit once that bit, less one and half the words, is added.
+    missing = (_long(_HIGH - 1) - F.floor(F.col("n") / 2)) * _long(_ONES)
     fp = _long(0)
     for g in range(_WIDTH):
-        carried = F.shiftrightunsigned(F.col(f"c{g}") + (_long(_FULL >> 1) - half) * _long(_ONES), _WIDTH - 1)
+        carried = F.shiftrightunsigned(F.col(f"c{g}") + missing, _WIDTH - 1)
         fp = fp.bitwiseOR(F.shiftleft(carried.bitwiseAND(_long(_ONES)), g))
-    short = F.col("n") <= _FULL
-    whole = counted.where(short).select("at", "h1", "h2", fp.alias("fp"))
-    # Bit b is counted by counter b // 9 of sum b % 9.
-    counts = [F.sum(F.shiftright(f"c{b % _WIDTH}", b // _WIDTH * _WIDTH).bitwiseAND(_long(_FULL))).alias(f"b{b}") for b in range(_BITS)]
-    added = counted.where(~short).groupBy("at", "h1", "h2", "n").agg(*counts)
-    fp = _long(0)
-    for b in range(_BITS):
-        fp = fp.bitwiseOR(F.when(F.col(f"b{b}") > half, _long(1 << b)).otherwise(_long(0)))
-    return whole.unionByName(added.select("at", "h1", "h2", fp.alias("fp")))
+    return counted.select("at", "h1", "h2", fp.alias("fp"))
 
 
 def candidate_prints(lines: DataFrame) -> DataFrame:

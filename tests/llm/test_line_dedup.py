@@ -15,7 +15,7 @@ def words_of(line):
 
 def simhash(words):
     hashes = [xxhash.xxh64_intdigest(w.encode(), seed=42) for w in set(words)]
-    return sum(1 << i for i in range(63) if sum(h >> i & 1 for h in hashes) * 2 > len(hashes))
+    return sum(1 << i for i in range(62) if sum(h >> i & 1 for h in hashes) * 2 > len(hashes))
 
 
 def edits(a, b):
