@@ -74,9 +74,11 @@ def shared_folder(spark: SparkSession) -> str:
         return named
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    named = tempfile.mkdtemp(prefix="eventloom-")
-    spark.conf.set("spark.checkpoint.dir", named)
-    return named
+    # The setting is fixed once a session runs, so the context remembers the folder.
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="eventloom-"))
+    return context.getCheckpointDir()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

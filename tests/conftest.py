@@ -13,7 +13,7 @@ from eventloom.session import local_session  # noqa: E402
 def spark(tmp_path_factory):
     session = local_session("8", shuffle_partitions=4, app="tests")
     if session.conf.get("spark.checkpoint.dir", None) is None:
-        session.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
+        session.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("shared")))
     return session
 
 
