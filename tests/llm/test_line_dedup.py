@@ -7,6 +7,7 @@ import pytest
 import xxhash
 
 from eventloom.llm.line_dedup import dedup_lines, judge_lines, lines_of, measured_lines, numbered
+from eventloom.session import shared_folder
 
 
 def words_of(line):
@@ -48,7 +49,7 @@ def brute(lines):
 
 
 def stored(spark, rows, name, schema="doc_id long, text string"):
-    folder = spark.conf.get("spark.checkpoint.dir") + f"/{name}"
+    folder = shared_folder(spark) + f"/{name}"
     spark.createDataFrame(rows, schema).coalesce(1).write.mode("overwrite").parquet(folder)
     return spark.read.parquet(folder)
 

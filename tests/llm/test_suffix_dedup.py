@@ -9,6 +9,7 @@ import pytest
 
 from eventloom.llm import suffix_dedup
 from eventloom.llm.suffix_dedup import LENGTH, batch_anchors, dedup_substrings, merge_runs, mismatch
+from eventloom.session import shared_folder
 
 
 def brute(texts):
@@ -43,7 +44,7 @@ def texts(seed):
 def test_against_all_windows(spark, seed, spread_from):
     made = texts(seed)
     docs = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string").repartition(3, "doc_id")
-    folder = spark.conf.get("spark.checkpoint.dir") + f"/suffix-{seed}-{spread_from}"
+    folder = shared_folder(spark) + f"/suffix-{seed}-{spread_from}"
     docs.write.mode("overwrite").parquet(folder)
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest())
            for r in dedup_substrings(spark.read.parquet(folder), spread_from=spread_from).collect()}
