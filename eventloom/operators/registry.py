@@ -62,7 +62,7 @@ def check_required_fields(df: DataFrame, registry: DataFrame, rules: SchemaRules
     The first required name that is not a top-level key counts; a null value is present.
     """
     versions = with_versions(df, rules)
-    known = registry.withColumn("_known", F.lit(True))
+    known = first_entries(registry).withColumn("_known", F.lit(True))
     has_entries = not registry.isEmpty()
     joined = lookup_join(versions, known, _VERSIONS)
     missing = F.when(F.col("_known"), F.get(F.array_except(
@@ -137,7 +137,13 @@ def schema_publish(registry: DataFrame, entries: DataFrame) -> DataFrame:
 def published_entries(entries: DataFrame) -> DataFrame:
     clean = entries.select(*(trim(F.col(c)).alias(c) for c in _VERSIONS),
                            normalize_fields(F.col("required_fields")).alias("required_fields"))
-    return clean.where((F.col("schema_version") != "") & (F.col("event_version") != ""))
+    return first_entries(clean.where((F.col("schema_version") != "") & (F.col("event_version") != "")))
+
+
+def first_entries(entries: DataFrame) -> DataFrame:
+    """One entry per version pair, the first; a repeated one would multiply the events it matches."""
+    numbered = entries.withColumn("_place", F.monotonically_increasing_id())
+    return numbered.groupBy(*_VERSIONS).agg(F.min_by("required_fields", "_place").alias("required_fields"))
 
 
 def save_registry(registry: DataFrame, path: str, passphrase: str = "") -> None:
