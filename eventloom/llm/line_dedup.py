@@ -30,11 +30,11 @@ _PAIRS = tuple(combinations(range(len(_BLOCKS)), 2))
 
 
 def normalise(line: Column) -> Column:
-    trimmed = F.btrim(F.lower(line), F.lit(" \t\n\x0b\x0c\r"))
-    uneven = F.lit(False)
+    """Lower case, words joined by single spaces; lines that are so but for their case, as most are, are only lowered."""
+    uneven = F.startswith(line, F.lit(" ")) | F.endswith(line, F.lit(" "))
     for space in ("  ", "\t", "\r", "\x0b", "\x0c"):
-        uneven = uneven | trimmed.contains(space)
-    return F.when(uneven, F.regexp_replace(trimmed, r"[\x20\x09-\x0D]++", " ")).otherwise(trimmed)
+        uneven = uneven | line.contains(space)
+    return F.when(uneven, F.btrim(F.regexp_replace(F.lower(line), r"[\x20\x09-\x0D]++", " "))).otherwise(F.lower(line))
 
 
 def places_of(docs: DataFrame) -> DataFrame:
@@ -48,7 +48,9 @@ def places_of(docs: DataFrame) -> DataFrame:
 
 def lines_of(docs: DataFrame) -> DataFrame:
     """``(_at, text)`` of every normalised line with a word."""
-    return places_of(docs).select("_at", normalise(F.col("line")).alias("text")).where(F.col("text") != "")
+    # A filter on the normalised text would be pushed down and normalise every line twice.
+    worded = places_of(docs).where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
+    return worded.select("_at", normalise(F.col("line")).alias("text"))
 
 
 def _long(value: int) -> Column:
