@@ -245,7 +245,7 @@ def observed_registry(spark, sf_dir, half: int) -> DataFrame:
     service, event = string_at(F.col("doc"), "service"), string_at(F.col("doc"), "event")
     keys = rows.select(service.alias("schema_version"), event.alias("event_version"),
                        F.explode(F.json_object_keys("raw")).alias("name"))
-    wanted = keys.where(F.col("event_version").isNotNull() & ~F.startswith("name", F.lit("x")))
+    wanted = keys.where(F.col("event_version").isNotNull())
     pairs = wanted.distinct()
     return pairs.groupBy("schema_version", "event_version").agg(
         F.array_sort(F.collect_list("name")).alias("required_fields"))
@@ -257,7 +257,7 @@ pairs AS (
          unnest(json_keys(raw)) AS name
   FROM objects WHERE json_exists(raw, '$.event')
 ), observed AS (
-  SELECT sv, ev, half, list(name ORDER BY name) AS names FROM pairs WHERE name NOT LIKE 'x%' GROUP BY ALL
+  SELECT sv, ev, half, list(name ORDER BY name) AS names FROM pairs GROUP BY ALL
 ), cur AS (SELECT * FROM observed WHERE half = 0 AND ev NOT IN ('signup') AND sv <> 'svc_4'),
 new AS (SELECT * FROM observed WHERE half = 1 AND ev NOT IN ('view'))"""
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import json
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import pandas as pd
@@ -48,10 +49,26 @@ def any_value(value: Column) -> Column:
     )
 
 
+# What stands before the message where a value cannot be decoded; no JSON text starts like it.
+_BAD = "!"
+
+
+def _decoded(text: str | None, plain: Callable) -> str | None:
+    """Plain JSON of an encoded value; a bad value gives a marked message and leaves the other rows alone."""
+    try:
+        return None if text is None else json.dumps(plain(json.loads(text)), ensure_ascii=False)
+    except (ValueError, TypeError, AttributeError, RecursionError) as failure:
+        return f"{_BAD}{type(failure).__name__}: {failure}"
+
+
+def _error_of(decoded: str) -> Column:
+    return F.when(F.startswith(F.col(decoded), F.lit(_BAD)), F.substring(decoded, 2, 500))
+
+
 @F.pandas_udf(StringType())
 def decode_nested(texts: pd.Series) -> pd.Series:
     """Lists, key-value lists and bytes of any depth as plain JSON; NULL passes through."""
-    return texts.map(lambda t: None if t is None else json.dumps(_plain(json.loads(t)), ensure_ascii=False))
+    return texts.map(lambda t: _decoded(t, _plain))
 
 
 def _plain(value: dict):
@@ -59,9 +76,9 @@ def _plain(value: dict):
         return value.get(camel, value.get(snake))
 
     if (items := field("arrayValue", "array_value")) is not None:
-        return [_plain(v) for v in items.get("values", [])]
+        return [_plain(v) for v in items.get("values") or []]
     if (pairs := field("kvlistValue", "kvlist_value")) is not None:
-        return {p.get("key", ""): _plain(p.get("value") or {}) for p in pairs.get("values", [])}
+        return {p.get("key", ""): _plain(p.get("value") or {}) for p in pairs.get("values") or []}
     if (blob := field("bytesValue", "bytes_value")) is not None:
         return base64.b64decode(blob).decode("utf-8", "replace")
     if (number := field("intValue", "int_value")) is not None:
@@ -88,17 +105,14 @@ def kv_merge(base: Column, record: Column) -> Column:
 
 @F.pandas_udf(StringType())
 def _plain_attributes(texts: pd.Series) -> pd.Series:
-    def flat(text):
-        if text is None:
-            return None
-        pairs = {a.get("key", ""): _plain(a.get("value") or {}) for a in json.loads(text)}
-        return json.dumps(pairs, ensure_ascii=False)
+    def pairs(attributes):
+        return {a.get("key", ""): _plain(a.get("value") or {}) for a in attributes}
 
-    return texts.map(flat)
+    return texts.map(lambda t: _decoded(t, pairs))
 
 
 def attributes_of(df: DataFrame, column: str, name: str) -> DataFrame:
-    """Adds ``name``: the attribute list in ``column`` as ``ARRAY<STRUCT<key, value>>``.
+    """Adds ``name``: the attribute list in ``column`` as ``ARRAY<STRUCT<key, value>>``; ``name_error`` is why it cannot be.
 
     Lists with nested values or bytes go through Arrow; all others stay in the JVM.
     """
@@ -107,6 +121,7 @@ def attributes_of(df: DataFrame, column: str, name: str) -> DataFrame:
     decoded = df.withColumn("_flat", _plain_attributes(F.when(nested, text)))
     flat = F.transform(F.map_entries(members(F.try_parse_json("_flat"))),
                        lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value")))
+    decoded = decoded.withColumn(f"{name}_error", _error_of("_flat"))
     return decoded.withColumn(name, F.coalesce(flat, _pairs(F.col(column)))).drop("_flat")
 
 
@@ -137,8 +152,19 @@ def flatten_otlp_logs(df: DataFrame, settings: OtlpSettings = OtlpSettings(), pa
                       keep: tuple[str, ...] = ()) -> DataFrame:
     """One wide event (``raw``) per log record of the exports in ``payload``.
 
-    Three explodes in one stage; the payload is parsed once and nothing is shuffled.
+    Three explodes in one stage; the payload is parsed once and nothing is shuffled.  A record with a value that
+    cannot be decoded has a NULL ``raw``, which governance refuses; ``otlp_errors`` has its text.
     """
+    return _events(_records(df, payload, keep), settings, keep)
+
+
+def otlp_errors(df: DataFrame, payload: str = "payload", keep: tuple[str, ...] = ()) -> DataFrame:
+    """``(keep..., record, error)`` of every log record with a value that cannot be decoded."""
+    bad = _records(df, payload, keep).where(F.col("_error").isNotNull())
+    return bad.select(*keep, F.to_json("_l").alias("record"), F.col("_error").alias("error"))
+
+
+def _records(df: DataFrame, payload: str, keep: tuple[str, ...]) -> DataFrame:
     none = F.array().cast("array<variant>")
 
     def each(node: Column, name: str) -> Column:
@@ -147,11 +173,16 @@ def flatten_otlp_logs(df: DataFrame, settings: OtlpSettings = OtlpSettings(), pa
     resources = df.select(*keep, each(strict_json(trim(F.col(payload))), "resourceLogs").alias("_r"))
     scopes = resources.withColumn("_ra", F.try_variant_get("_r", "$.resource.attributes", "variant"))
     scopes = attributes_of(scopes, "_ra", "_base").withColumn("_s", each(F.col("_r"), "scopeLogs"))
-    records = scopes.select(*keep, "_base", each(F.col("_s"), "logRecords").alias("_l"))
+    records = scopes.select(*keep, "_base", "_base_error", each(F.col("_s"), "logRecords").alias("_l"))
     records = attributes_of(
         records.withColumn("_la", F.try_variant_get("_l", "$.attributes", "variant")), "_la", "_own")
     body = F.try_variant_get("_l", "$.body", "variant")
     records = records.withColumn("_body", decode_nested(F.when(_nested(body).isNotNull(), F.to_json(body))))
+    return records.withColumn("_error", F.coalesce("_base_error", "_own_error", _error_of("_body")))
+
+
+def _events(records: DataFrame, settings: OtlpSettings, keep: tuple[str, ...]) -> DataFrame:
+    body = F.try_variant_get("_l", "$.body", "variant")
 
     def nanos(name: str) -> Column:
         return F.coalesce(F.try_variant_get(pick(F.col("_l"), name), "$", "bigint"), F.lit(0).cast("bigint"))
@@ -183,9 +214,9 @@ def flatten_otlp_logs(df: DataFrame, settings: OtlpSettings = OtlpSettings(), pa
             F.struct(F.lit("otlp").alias("sdk")).alias("source"),
             F.when(environment.isNotNull(), F.struct(environment.alias("environment"))).alias("deployment"),
         ).alias("_event"),
-        at.alias("time_unix_nano"),
+        at.alias("time_unix_nano"), "_error",
     )
-    return events.select(*keep, "time_unix_nano", F.to_json("_event").alias("raw"))
+    return events.select(*keep, "time_unix_nano", F.when(F.col("_error").isNull(), F.to_json("_event")).alias("raw"))
 
 
 def nanos_text(nanos: Column) -> Column:

@@ -95,10 +95,12 @@ def parse_payloads(df: DataFrame, payload: str = "payload") -> DataFrame:
 def request_guards(df: DataFrame, limits: RequestLimits = RequestLimits(), payload: str = "payload") -> DataFrame:
     """Adds ``items``, ``request_error`` and ``http_status`` (NULL for good requests).
 
-    Checks in order: content type (a column ``content_type``, if there is one), body size, syntax,
-    number of events.  Counting the items needs no shuffle.
+    Checks in order: content type (a column ``content_type``, if there is one), body size (also a column ``too_large``),
+    syntax, number of events.  Counting the items needs no shuffle.
     """
     too_large = F.octet_length(payload) > limits.max_body_bytes
+    if "too_large" in df.columns:
+        too_large = F.coalesce("too_large", F.lit(False)) | too_large
     parsed = parse_payloads(df.withColumn("_kept", F.when(~too_large, F.col(payload))), "_kept").drop("_kept")
     kind = F.lower(F.trim(F.split_part(F.coalesce(F.col("content_type"), F.lit("")), F.lit(";"), F.lit(1)))) \
         if "content_type" in df.columns else F.lit("")
@@ -115,7 +117,7 @@ def request_guards(df: DataFrame, limits: RequestLimits = RequestLimits(), paylo
 
 
 def explode_payloads(df: DataFrame, payload: str = "payload", keep: tuple[str, ...] = ("request_id",)) -> DataFrame:
-    """``(keep..., index, raw)``, one row per event of a valid body."""
+    """``(keep..., index, raw)``, one row per event of a valid body; ``request_guards`` tells about the others."""
     parsed = df if "items" in df.columns else parse_payloads(df, payload)
     return parsed.select(*keep, F.posexplode("items").alias("index", "raw"))
 
@@ -128,26 +130,28 @@ def read_ndjson(spark: SparkSession, path: str, stream: bool = False) -> DataFra
 
 
 def read_payload_files(spark: SparkSession, path: str, limits: RequestLimits = RequestLimits()) -> DataFrame:
-    """One request per file: ``(request_id, payload)``; gzip (.gz) and zstd (.zst) bodies are decoded.
+    """One request per file: ``(request_id, payload, too_large)``; gzip (.gz) and zstd (.zst) bodies are decoded.
 
-    A body is decoded up to one byte over the limit, enough for ``request_guards`` to refuse it.
+    A body over the limit is decoded no further; it has no payload, and ``request_guards`` refuses it.
     """
     try:
         import zstandard  # noqa: F401
     except ImportError as missing:
         raise RuntimeError("reading compressed request files needs the zstandard package") from missing
-    cap = limits.max_body_bytes + 1
+    most = limits.max_body_bytes
 
-    @F.pandas_udf("string")
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
+    @F.pandas_udf("payload string, too_large boolean")
+    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield batch.apply(lambda row: _decoded(row["path"], row["content"], cap), axis=1, result_type="reduce")
+            bodies = [_decoded(name, body, most) for name, body in zip(batch["path"], batch["content"])]
+            yield pd.DataFrame(bodies, columns=["payload", "too_large"])
 
     files = spark.read.format("binaryFile").load(path)
-    return files.select(F.col("path").alias("request_id"), decode(F.struct("path", "content")).alias("payload"))
+    return files.select(F.col("path").alias("request_id"), decode(F.struct("path", "content")).alias("_body")).select(
+        "request_id", "_body.payload", "_body.too_large")
 
 
-def _decoded(name: str, body: bytes, cap: int) -> str | None:
+def _decoded(name: str, body: bytes, most: int) -> tuple[str | None, bool]:
     import gzip
     import io
 
@@ -159,9 +163,10 @@ def _decoded(name: str, body: bytes, cap: int) -> str | None:
     elif name.endswith(".zst"):
         stream = zstandard.ZstdDecompressor().stream_reader(stream)
     try:
-        return stream.read(cap).decode("utf-8", "replace")
+        content = stream.read(most + 1)
     except (OSError, EOFError, zstandard.ZstdError):
-        return None
+        return None, False
+    return (None, True) if len(content) > most else (content.decode("utf-8", "replace"), False)
 
 
 def read_unpacked_batches(df: DataFrame, events: str = "events", keep: tuple[str, ...] = ("batch_id",)) -> DataFrame:

@@ -23,7 +23,7 @@ from eventloom.operators.responses import acks, batch_response
 from eventloom.operators.search import is_read_only, query_result, run_query
 from eventloom.sinks import external, layout, push_payloads, tables
 from eventloom.sources.backlog import read_dlq, replay_backlog
-from eventloom.sources.otlp import OtlpSettings, flatten_otlp_logs
+from eventloom.sources.otlp import OtlpSettings, flatten_otlp_logs, otlp_errors
 from eventloom.sources.payloads import explode_payloads, read_payload_files, request_guards
 from eventloom.sources.queue import queue_options
 
@@ -126,6 +126,16 @@ def test_payload_files(spark, tmp_path):
                    "c.json": (['{"d":4}'], None), "d.json.gz": (None, "invalid_request_payload")}
 
 
+def test_payload_file_over_the_limit_is_refused(spark, tmp_path):
+    (tmp_path / "long.json").write_bytes(b'{"n":1}\n' * 1000)
+    (tmp_path / "short.json").write_bytes(b'{"n":1}\n' * 2)
+    limits = RequestLimits(max_body_bytes=500)
+    bodies = read_payload_files(spark, str(tmp_path), limits)
+    got = {r.request_id.rsplit("/", 1)[-1]: (r.request_error, r.http_status) for r in request_guards(bodies, limits).collect()}
+    assert got == {"long.json": ("payload_too_large", 413), "short.json": (None, None)}
+    assert explode_payloads(bodies).count() == 2
+
+
 def test_schema_modes(spark, events):
     texts = ('{"event_id":1,"event":null,"timestamp":"t"}', '{"event_id":1}', '{"schema_version":"v7"}')
     registry = reg.registry_table(spark, DEFAULT_REGISTRY)
@@ -288,6 +298,21 @@ def test_otlp(spark):
     assert second["attrs"] == {"service.name": 9007199254740993, "e": "", "l": ["hi", {"k": True}]}
 
 
+def test_otlp_bad_values(spark):
+    def export(n, value):
+        return (n, json.dumps({"resourceLogs": [{"scopeLogs": [{"logRecords": [
+            {"attributes": [{"key": "ok", "value": {"intValue": "1"}}]}, {"attributes": [{"key": "v", "value": value}]}]}]}]}))
+
+    values = [{"arrayValue": {"values": [{"intValue": "abc"}]}}, {"arrayValue": {"values": None}}, {"bytesValue": "a"},
+              {"arrayValue": [1]}]
+    df = spark.createDataFrame([export(n, v) for n, v in enumerate(values)], "n int, payload string")
+    rows = flatten_otlp_logs(df, keep=("n",)).collect()
+    assert len(rows) == 8 and sorted(r.n for r in rows if r.raw is None) == [0, 2, 3]
+    assert [json.loads(r.raw)["attrs"] for r in rows if r.n == 1 and '"v"' in r.raw] == [{"v": []}]
+    errors = otlp_errors(df, keep=("n",)).orderBy("n").collect()
+    assert [r.n for r in errors] == [0, 2, 3] and all(r.error and '"v"' in r.record for r in errors)
+
+
 def test_options_and_payloads(spark, events):
     assert queue_options([" a:1", "b:2"], "t", "g")["kafka.bootstrap.servers"] == "a:1,b:2"
     assert queue_options(["a"], "t", "g")["startingOffsets"] == "earliest"
@@ -305,4 +330,6 @@ def test_read_only_sql(spark, events):
     with pytest.raises(ValueError):
         run_query(spark, "delete from t", {})
     result = query_result(run_query(spark, "select n, raw from stored order by n", {"stored": events(*"abc")}, limit=2))
-    assert result == {"columns": ["n", "raw"], "rows": [{"n": 0, "raw": "a"}, {"n": 1, "raw": "b"}], "row_count": 2}
+    assert result == {"columns": ["n", "raw"], "rows": [{"n": 0, "raw": "a"}, {"n": 1, "raw": "b"}], "row_count": 2, "truncated": False}
+    assert query_result(events(*"abc"), limit=2)["truncated"] and query_result(events(*"abc"), limit=3)["row_count"] == 3
+    assert run_query(spark, "select * from range(1500)", {}).count() == 1500
