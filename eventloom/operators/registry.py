@@ -12,7 +12,7 @@ from eventloom.functions.jsontext import trim
 from eventloom.functions.paths import members, string_at
 from eventloom.operators.joins import lookup_join
 from eventloom.operators.settle import settle
-from eventloom.session import scratch_path
+from eventloom.session import cut_lineage, scratch_path
 
 REGISTRY_SCHEMA = "schema_version string, event_version string, required_fields array<string>"
 _STRICT_MODES = ("reject", "enforce", "quarantine")
@@ -62,7 +62,8 @@ def check_required_fields(df: DataFrame, registry: DataFrame, rules: SchemaRules
     The first required name that is not a top-level key counts; a null value is present.
     """
     versions = with_versions(df, rules)
-    known = first_entries(registry).withColumn("_known", F.lit(True))
+    # Cut, because a stream takes no row numbers into its plan, not even on the side of the registry.
+    known = cut_lineage(first_entries(registry)).withColumn("_known", F.lit(True))
     has_entries = not registry.isEmpty()
     joined = lookup_join(versions, known, _VERSIONS)
     missing = F.when(F.col("_known"), F.get(F.array_except(

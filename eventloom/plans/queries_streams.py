@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import timedelta
 
 from pyspark.sql import DataFrame, functions as F
 
-from eventloom.config import DEFAULT_REGISTRY, DeliveryRules, RetryRules, Settings
+from eventloom.config import (
+    DEFAULT_REGISTRY, DedupeRules, DeliveryRules, RetryRules, SchemaRules, Settings,
+)
 from eventloom.functions.paths import string_at
 from eventloom.operators.governance import parse_events
 from eventloom.operators.metrics import outcome_rates
 from eventloom.operators.registry import registry_table
 from eventloom.plans.catalog import query
 from eventloom.plans.queries_events import _DEDUPE_SQL, ROW, fold_sql
-from eventloom.plans.wide_events import CODES_SQL, read_table, widen
+from eventloom.plans.wide_events import CODES_SQL, read_table, wide_events, widen
 from eventloom.session import scratch_path
 from eventloom.streaming.dedupe import dedupe_stream
 from eventloom.streaming.delivery import Sink, parquet_sink
@@ -39,15 +42,33 @@ def run_to_end(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def in_parts(rows: DataFrame, at: str, run: Callable[[DataFrame], None], parts: int = 3) -> None:
+    """Appends ``rows`` to a folder in time order, one part at a time, and runs a stream over it after each."""
+    spark, path = rows.sparkSession, scratch_path(rows.sparkSession, "arriving")
+    first, last = rows.agg(F.min(at), F.max(at)).first()
+    place = F.floor((F.unix_micros(at) - F.unix_micros(F.lit(first))) * parts
+                    / (F.unix_micros(F.lit(last)) - F.unix_micros(F.lit(first)) + 1))
+    for part in range(parts):
+        rows.where(place == part).write.mode("append").parquet(path)
+        run(spark.readStream.schema(rows.schema).parquet(path))
+
+
 @query("dedupe_stream", _DEDUPE_SQL + fold_sql("keyed", "event_id", "INTERVAL 24 HOUR") + """
 SELECT k.eid, k.copy, coalesce(w.duplicate, false) AS duplicate
 FROM keyed k LEFT JOIN walk w ON k.eid = w.eid AND k.copy = w.copy""")
 def stream_dedupe(spark, sf_dir):
-    """The stateful stream gives what the batch operator gives."""
-    rows = parse_events(event_stream(spark, sf_dir)).where(F.col("doc").isNotNull())
+    """The stateful stream, restarted twice, gives what the batch operator gives."""
+    rows = parse_events(wide_events(spark, sf_dir)).where(F.col("doc").isNotNull())
     keyed = rows.select(*ROW, "ts", string_at(F.col("doc"), "event_id").alias("event_id"))
-    return run_to_end(dedupe_stream(keyed, "event_id", "ts", ROW, timedelta(hours=24)), "dedupe").select(
-        *ROW, "duplicate")
+    out, log = scratch_path(spark, "dedupe"), scratch_path(spark, "dedupe-log")
+
+    def run(arriving: DataFrame) -> None:
+        judged = dedupe_stream(arriving, "event_id", "ts", ROW, timedelta(hours=24))
+        judged.writeStream.format("parquet").option("path", out).option("checkpointLocation", log) \
+            .trigger(availableNow=True).start().awaitTermination()
+
+    in_parts(keyed, "ts", run)
+    return spark.read.parquet(out).select(*ROW, "duplicate")
 
 
 @query("stream_rates", f"""WITH {CODES_SQL}, closed AS (SELECT date_trunc('hour', max(ts)) AS last FROM codes)
@@ -95,3 +116,41 @@ def stream_delivery(spark, sf_dir):
     parts = [spark.read.schema(schema).parquet(f"{base}/{s}").select(F.lit(s).alias("sink"), *ROW)
              for s in ("primary", "spare")]
     return parts[0].unionByName(parts[1])
+
+
+@query("stream_pipeline", "WITH RECURSIVE " + CODES_SQL + """,
+judged AS (
+  SELECT eid, copy, ts,
+    CASE WHEN code IS NOT NULL THEN 'invalid'
+         WHEN NOT json_exists(raw, '$.event_id') OR NOT json_exists(raw, '$.timestamp') THEN 'quarantine' END AS failed,
+    CASE WHEN json_type(raw, '$.event_id') = 'VARCHAR' THEN raw ->> '$.event_id' END AS event_id
+  FROM (SELECT * EXCLUDE (raw), CASE WHEN code = 'expected_json_object' THEN '{}' ELSE raw END AS raw FROM codes)
+), keyed AS (SELECT * FROM judged WHERE failed IS NULL),
+""" + fold_sql("keyed", "event_id", "INTERVAL 24 HOUR") + """,
+routed AS (
+  SELECT coalesce(failed, CASE WHEN w.duplicate THEN 'duplicate' ELSE 'accepted' END) AS route
+  FROM judged j LEFT JOIN walk w ON j.eid = w.eid AND j.copy = w.copy
+)
+SELECT route, count(*) AS events, CASE WHEN route = 'duplicate' THEN 0 ELSE count(*) END AS written FROM routed GROUP BY 1""")
+def stream_pipeline(spark, sf_dir):
+    """The whole stream in three parts: events per route as counted, and as read back from where each route is written."""
+    base = scratch_path(spark, "whole")
+    settings = Settings(schema=SchemaRules(mode="quarantine"), dedupe=DedupeRules(enabled=True),
+                        retry=RetryRules(enabled=False))
+    registry = registry_table(spark, DEFAULT_REGISTRY)
+    sinks = (Sink("primary", "primary", parquet_sink(f"{base}/accepted", lambda rows: rows.select(*ROW, "ts", "raw"))),)
+
+    def run(arriving: DataFrame) -> None:
+        delivery_stream(arriving, settings, registry, sinks, f"{base}/log", f"{base}/invalid", f"{base}/quarantine", "ts",
+                        ROW, route_path=f"{base}/routes").trigger(availableNow=True).start().awaitTermination()
+
+    in_parts(wide_events(spark, sf_dir), "ts", run)
+    counted = spark.read.schema("route string, events bigint").parquet(f"{base}/routes").groupBy("route").agg(
+        F.sum("events").alias("events"))
+    shape = "timestamp string, error string, raw string"
+    places = [spark.read.schema("eid bigint").parquet(f"{base}/accepted").select(F.lit("accepted").alias("route"))]
+    places += [spark.read.schema(shape).json(f"{base}/{route}").select(F.lit(route).alias("route"))
+               for route in ("invalid", "quarantine")]
+    written = places[0].unionByName(places[1]).unionByName(places[2]).groupBy("route").agg(F.count("*").alias("written"))
+    return counted.join(written, "route", "left").select(
+        "route", "events", F.coalesce("written", F.lit(0).cast("bigint")).alias("written"))
