@@ -84,6 +84,17 @@ def links(prints: DataFrame) -> DataFrame:
     return left.join(right, "key").where((F.col("a") < F.col("b")) & verified).select("a", "b")
 
 
+def _rooted(docs: DataFrame, id_column: str, columns: list[str]) -> DataFrame:
+    """``columns``, ``fp``, ``component_id`` and ``root``, a fingerprint that only the documents of one group share."""
+    prints = cut_lineage(fingerprints(docs, columns))
+    classes = prints.groupBy("fp").agg(F.min(id_column).alias("least"))
+    joined = connected_components(links(classes.select("fp")), "a", "b")
+    of_class = classes.join(joined, F.col("fp") == F.col("node"), "left").select(
+        "fp", "least", F.coalesce("component", "fp").alias("root"))
+    least = of_class.groupBy("root").agg(F.min("least").alias("component_id"))
+    return prints.join(of_class.select("fp", "root").join(least, "root"), "fp")
+
+
 def near_groups(docs: DataFrame, id_column: str, keep: list[str] | None = None) -> DataFrame:
     """``id_column``, the columns ``keep``, ``fp`` and ``component_id`` of every document.
 
@@ -92,14 +103,7 @@ def near_groups(docs: DataFrame, id_column: str, keep: list[str] | None = None)
     nothing but null ids has a null ``component_id``.  Repeated rows are documents of their own with one
     fingerprint.  An empty table gives an empty result.
     """
-    columns = [id_column, *(c for c in keep or [] if c != id_column)]
-    prints = cut_lineage(fingerprints(docs, columns))
-    classes = prints.groupBy("fp").agg(F.min(id_column).alias("least"))
-    joined = connected_components(links(classes.select("fp")), "a", "b")
-    of_class = classes.join(joined, F.col("fp") == F.col("node"), "left").select(
-        "fp", "least", F.coalesce("component", "fp").alias("root"))
-    least = of_class.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.join(of_class.select("fp", "root").join(least, "root").drop("root"), "fp")
+    return _rooted(docs, id_column, [id_column, *(c for c in keep or [] if c != id_column)]).drop("root")
 
 
 def hex_print(fp: Column) -> Column:
@@ -107,8 +111,11 @@ def hex_print(fp: Column) -> Column:
 
 
 def near_dedup(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
-    """One document of each group: that of the smallest id (of repeated rows of that id, the first by content)."""
+    """One document of each group: that of the smallest id, null ids last (of several rows of that id, the first by content).
+
+    Ids need not be unique: two groups that share their smallest id, or have none, keep a document each.
+    """
     columns = docs.columns
-    grouped = near_groups(docs.select(id_column, "text", F.struct(*columns).alias("_all")), id_column, ["_all"])
-    kept = grouped.where(F.col(id_column) == F.col("component_id"))
-    return kept.groupBy("component_id").agg(F.min("_all").alias("_all")).select("_all.*")
+    grouped = _rooted(docs.select(id_column, "text", F.struct(*columns).alias("_all")), id_column, [id_column, "_all"])
+    kept = grouped.where(F.col(id_column).eqNullSafe(F.col("component_id")))
+    return kept.groupBy("root").agg(F.min("_all").alias("_all")).select("_all.*")

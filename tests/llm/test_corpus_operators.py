@@ -56,6 +56,14 @@ def test_simhash_groups(spark, prose):
     assert sorted(r.doc_id for r in kept) == sorted(set(root)) and kept[0].n_chars == 7
 
 
+def test_simhash_keeps_null_and_repeated_ids(spark, prose):
+    alone, twice, other = prose[5], prose[6], prose[7]
+    rows = [(None, alone), (None, twice), (None, twice), (1, prose[8]), (1, other), (2, other), (None, other), (3, prose[9]), (3, prose[9])]
+    docs = spark.createDataFrame([(i, t, "en", "s", 7) for i, t in rows], DOCS)
+    kept = sorted(((r.doc_id, r.text) for r in simhash_dedup.near_dedup(docs).collect()), key=str)
+    assert kept == sorted([(None, alone), (None, twice), (1, prose[8]), (1, other), (3, prose[9])], key=str)
+
+
 def test_pii_base_and_added(spark):
     rng = random.Random(2)
     parts = ["a.b+c@mail.example.com", "1.2.3.4", "1.2.3.4.5.6.7.8", "300.1.1.1", "4539 1488 0343 6467", "4539148803436467", "x@y", "@@",
