@@ -33,7 +33,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, each line kept once in its first document."""
     prepare(spark)
-    return _documents(line_dedup.dedup_lines(docs))
+    return _documents(line_dedup.dedup_lines(docs, groups=line_dedup.similar_groups))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,8 +1,9 @@
 """Fuzzy line dedup with DataFrame functions only.
 
 Lines are normalised (lower case, single spaces) and equal ones collapsed by a 128-bit hash.  Lines get a SimHash of their
-distinct words; pairs within three bits are found by joins on pigeonhole blocks and verified by edit similarity.  The first
-line of every connected group is kept.
+distinct words.  ``similar_groups`` finds pairs by least hashes of word triples, and short lines by leaving out a word; a wide
+SimHash distance sorts out chance pairs, and edit similarity verifies.  ``line_groups`` finds only pairs within three bits, by
+joins on pigeonhole blocks.  The first line of every connected group is kept.
 
 Lines are numbered in the order of the stored table.  Bits are counted by a plain aggregation over words, in generated code: the
 SimHash has 62 bits, and 31 sums hold two 31-bit counters each, more than any line has words.
@@ -10,6 +11,8 @@ SimHash has 62 bits, and 31 sums hold two 31-bit counters each, more than any li
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from hashlib import sha256
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -27,6 +30,10 @@ _BLOCKS = ((0, 13), (13, 13), (26, 12), (38, 12), (50, 12))
 # Places are sorted into so many buckets; that many numbers at most are broadcast.
 _BUCKETS = 1 << 20
 _PAIRS = tuple(combinations(range(len(_BLOCKS)), 2))
+# Recall at similarity 0.8 is measured in the tests: keys of ten orders, and a bit distance that few similar lines exceed.
+REACH = 22
+_MINIMA = 10
+_ORDERS = tuple(int.from_bytes(sha256(bytes([i])).digest()[:8], "little", signed=True) for i in range(_MINIMA))
 
 
 def normalise(line: Column) -> Column:
@@ -166,11 +173,79 @@ def line_groups(lines: DataFrame, measured: DataFrame, similarity: float = SIMIL
         "h1", "h2", F.coalesce("component", "at").alias("first"))
 
 
-def judge_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """``(_id, _row, _line, group, kept)`` of every line with a word; ``docs`` has ``_id``, ``_row`` and ``text``."""
+def search_keys(lines: DataFrame, distinct: DataFrame) -> DataFrame:
+    """``(at, key)`` of every distinct line of four words or more; lines with word edits within a fifth share a key, or most do.
+
+    Up to nine words a fifth is one edit: the line and the line less each word are keys, so no such pair is missed.  From
+    eight words on, the least hash of its word triples under each of ``_MINIMA`` orders is a key.
+    """
+    words = lines.select(F.col("_at").alias("at"), F.split("text", " ").alias("words"))
+    count = F.size("words")
+
+    def without(i: Column) -> Column:
+        return F.xxhash64(F.concat(F.slice("words", F.lit(1), i), F.slice("words", i + 2, count)))
+
+    short = words.where(count.between(4, 9)).join(distinct.select("at"), "at", "left_semi")
+    less = F.when(count > 4, F.transform(F.sequence(F.lit(0), count - 1), without)).otherwise(F.array().cast("array<bigint>"))
+    left_out = short.select("at", F.explode(F.array_distinct(F.concat(F.array(F.xxhash64("words")), less))).alias("key"))
+    # Zipped and hashed in generated code; the last two of the zipped rows are no triples.
+    rows = words.where(count >= 8).select("at", F.arrays_zip(
+        F.col("words").alias("a"), F.slice("words", F.lit(2), count).alias("b"), F.slice("words", F.lit(3), count).alias("c")).alias("rows"))
+    triples = rows.select("at", F.inline("rows").alias("a", "b", "c")).where(F.col("c").isNotNull()).select(
+        "at", F.xxhash64("a", "b", "c").alias("h"))
+    least = triples.groupBy("at").agg(*(F.min(F.col("h").bitwiseXOR(_long(c))).alias(f"m{i}") for i, c in enumerate(_ORDERS)))
+    # The number of the order takes the place of the last four bits.
+    own = F.explode(F.array(*(F.col(f"m{i}").bitwiseAND(_long(-16)).bitwiseOR(_long(i)) for i in range(_MINIMA))))
+    return left_out.unionByName(least.join(distinct.select("at"), "at", "left_semi").select("at", own.alias("key")))
+
+
+def similar_groups(lines: DataFrame, measured: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """``(h1, h2, first)`` as by ``line_groups``, for lines that share a search key and whose SimHashes are within ``REACH`` bits.
+
+    Lines are first compared with the first line of each key; then those of a key that are not in one group yet, with each other.
+    """
+    distinct = cut_lineage(measured.groupBy("h1", "h2").agg(F.min("at").alias("at"), F.max("fp").alias("fp")))
+    # Dealt out by key once, for the counts and for the join; the hashes of the few lines that share a key are fetched later.
+    index = search_keys(lines, distinct).repartition("key")
+    shared = index.groupBy("key").agg(F.min("at").alias("leader"), F.count("*").alias("n")).where(F.col("n") > 1).drop("n")
+    sharing = cut_lineage(index.join(shared.hint("shuffle_hash"), "key").select("key", "at", "leader"))
+    prints = distinct.select("at", "fp")
+    members = cut_lineage(sharing.join(prints, "at").join(
+        prints.select(F.col("at").alias("leader"), F.col("fp").alias("fp2")), "leader"))
+
+    def close(a: str, b: str) -> Column:
+        return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= REACH
+
+    involved = cut_lineage(members.select(F.col("at").alias("_at")).distinct())
+    texts = cut_lineage(lines.join(involved.hint("shuffle_hash"), "_at").select(
+        F.col("_at").alias("at"), spelled(F.col("text")).alias("text")))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        both = pairs.distinct().join(texts, "at").join(texts.select(F.col("at").alias("at2"), F.col("text").alias("text2")), "at2")
+        return cut_lineage(both.where(similar(F.col("text"), F.col("text2"), similarity)).select("at", "at2"))
+
+    found = verified(members.where((F.col("at") != F.col("leader")) & close("fp", "fp2")).select("at", F.col("leader").alias("at2")))
+    groups = connected_components(found, "at", "at2")
+    named = cut_lineage(members.join(groups, F.col("at") == F.col("node"), "left").select(
+        "key", "at", "fp", F.coalesce("component", "at").alias("group")))
+    divided = named.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).where(F.col("low") < F.col("high"))
+    one = named.join(divided.select("key"), "key")
+    two = one.select("key", F.col("at").alias("at2"), F.col("fp").alias("fp2"), F.col("group").alias("group2"))
+    rest = verified(one.join(two, "key").where((F.col("group") < F.col("group2")) & close("fp", "fp2")).select("at", "at2"))
+    joined = groups.select(F.col("node").alias("at"), F.col("component").alias("at2"))
+    final = groups if rest.isEmpty() else connected_components(joined.unionByName(rest), "at", "at2")
+    return distinct.join(final, F.col("at") == F.col("node"), "left").select(
+        "h1", "h2", F.coalesce("component", "at").alias("first"))
+
+
+def judge_lines(docs: DataFrame, similarity: float = SIMILARITY, groups: Callable = line_groups) -> DataFrame:
+    """``(_id, _row, _line, group, kept)`` of every line with a word; ``docs`` has ``_id``, ``_row`` and ``text``.
+
+    ``groups`` is ``similar_groups``, or ``line_groups`` for lines within three bits only.
+    """
     lines = lines_of(docs)
     measured = cut_lineage(measured_lines(lines))
-    grouped = measured.join(line_groups(lines, measured, similarity), ["h1", "h2"]).select(F.col("at").alias("_at"), "first")
+    grouped = measured.join(groups(lines, measured, similarity), ["h1", "h2"]).select(F.col("at").alias("_at"), "first")
     return places_of(docs).drop("line").join(grouped, "_at").select(
         "_id", "_row", "_line", F.col("first").alias("group"), (F.col("_at") == F.col("first")).alias("kept"))
 
@@ -179,7 +254,7 @@ def numbered(docs: DataFrame, id_column: str = "doc_id", *columns: Column) -> Da
     return with_row(docs, F.col(id_column).alias("_id"), "text", *columns)
 
 
-def dedup_lines(docs: DataFrame, id_column: str = "doc_id", similarity: float = SIMILARITY) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_column: str = "doc_id", similarity: float = SIMILARITY, groups: Callable = line_groups) -> DataFrame:
     """``docs`` without repeated lines; lines without a word stay, and so do documents that lose all lines.
 
     The first line of a group is that which comes first in the stored table.  Null texts stay null.  Repeated rows and
@@ -187,7 +262,7 @@ def dedup_lines(docs: DataFrame, id_column: str = "doc_id", similarity: float =
     columns stay as they are.  ``docs`` is read several times and must number its rows alike, as a stored table does.
     """
     everything = numbered(docs, id_column, F.struct(*docs.columns).alias("_all"))
-    judged = judge_lines(everything.select("_id", "_row", "text"), similarity)
+    judged = judge_lines(everything.select("_id", "_row", "text"), similarity, groups)
     dropped = judged.where(~F.col("kept")).groupBy("_row").agg(F.collect_set("_line").alias("dropped"))
     marked = everything.select("_row", "_all").join(dropped.hint("shuffle_hash"), "_row", "left")
     kept = F.array_join(F.filter(F.split("_all.text", "\n", -1), lambda _, i: ~F.array_contains("dropped", i)), "\n")

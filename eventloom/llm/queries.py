@@ -57,7 +57,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = line_dedup.judge_lines(line_dedup.numbered(table(spark, sf_dir, "documents")))
+    judged = line_dedup.judge_lines(line_dedup.numbered(table(spark, sf_dir, "documents")), groups=line_dedup.similar_groups)
     return judged.select(F.col("_id").alias("doc_id"), F.col("_line").alias("line"), "group", "kept")
 
 

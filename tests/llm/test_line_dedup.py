@@ -6,7 +6,7 @@ import re
 import pytest
 import xxhash
 
-from eventloom.llm.line_dedup import dedup_lines, judge_lines, lines_of, measured_lines, numbered
+from eventloom.llm.line_dedup import dedup_lines, judge_lines, lines_of, measured_lines, numbered, similar_groups
 from eventloom.session import shared_folder
 
 
@@ -104,3 +104,44 @@ def test_texts(spark, documents):
 
 def test_empty(spark):
     assert dedup_lines(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+@pytest.mark.parametrize("words, edited", [(5, 1), (7, 1), (9, 1), (10, 2), (15, 3), (20, 4), (50, 10), (120, 24)])
+def test_recall_at_the_similarity(spark, words, edited):
+    """Pairs at similarity 0.8 by words, without a bit rule: replaced, left out or added words."""
+    rng = random.Random(words)
+    lines = []
+    for n in range(300):
+        line = [f"w{rng.randrange(100_000)}" for _ in range(words)]
+        other = list(line)
+        for i in rng.sample(range(words), edited):
+            other[i] = f"v{rng.randrange(100_000)}"
+        if n % 3 == 1:
+            other = [w for w in other if w[0] != "v"]
+        assert edits(line, other) <= 0.2 * words
+        lines += [" ".join(line), " ".join(other)]
+    rows = judge_lines(numbered(stored(spark, list(enumerate(lines)), f"lines-r{words}")), groups=similar_groups).collect()
+    group = {r._id: r.group for r in rows}
+    assert len({group[i] for i in range(0, 600, 2)}) == 300
+    found = sum(group[i] == group[i + 1] for i in range(0, 600, 2)) / 300
+    print("recall", words, found)
+    assert found >= (1 if words < 10 else 0.9)
+
+
+def test_similar_groups_link_nothing_else(spark, documents):
+    """Groups are those of some of the similar pairs, no others; equal lines are always together."""
+    got = sorted(judge_lines(numbered(stored(spark, documents, "lines-w")), groups=similar_groups).collect(), key=lambda r: (r._row, r._line))
+    lines = [words_of(line) for _, text in documents for line in (text or "").split("\n") if words_of(line)]
+    members, together = {}, {}
+    for i, row in enumerate(got):
+        members.setdefault(row.group, []).append(i)
+        assert together.setdefault(tuple(lines[i]), row.group) == row.group
+    for rows in members.values():
+        assert [got[i].kept for i in rows] == [True] + [False] * (len(rows) - 1)
+        reached, left = rows[:1], rows[1:]
+        for i in reached:
+            near = [j for j in left if edits(lines[i], lines[j]) <= int(0.2 * max(len(lines[i]), len(lines[j])) + 1e-9)]
+            reached += near
+            left = [j for j in left if j not in near]
+        assert not left
+    assert len(members) < len(set(brute([line for _, text in documents for line in (text or "").split("\n") if words_of(line)])))
