@@ -1,7 +1,8 @@
 """Embedding near-dedup by a forest of random-projection trees with spill overlap.
 
-A tree cuts the vectors by random directions at the median; those near a cut go to both sides.  All vectors of a leaf are
-compared in double precision.  Equal vectors are one class, so groups of copies cost nothing.  A pair that meets in several
+A tree cuts the vectors by random directions at the median; those near a cut go to both sides.  A node whose sampled vectors
+lie mostly within the threshold of each other is not cut, as that would lose links.  All vectors of a leaf are compared in
+double precision; larger leaves are compared as pairs of blocks, one group a pair.  Equal vectors are one class, so groups of copies cost nothing.  A pair that meets in several
 leaves counts in the first, which the leaves of both tell; so leaves emit counts and the edges of a forest, never pairs.
 """
 
@@ -20,19 +21,24 @@ LEAF = 4096  # vectors a leaf should hold
 SPILL = 0.05  # share of a node on each side of a cut that goes to both sides
 SAMPLE = 32_768  # vectors a node's cuts are fitted on
 SUPPORT = 32  # sampled vectors a cut needs
+DENSE = 0.5  # share of linked pairs from which a node is not cut
+_PROBE = 256  # vectors whose pairs tell that share
 MAX_ROUNDS = 5
 _BLOCK = 512
 _SUBTREE = 1 << 10  # leaves a node may get in a round
 
 
 def build(sample: np.ndarray, population: int, seed: tuple[int, ...], leaf: int = LEAF, spill: float = SPILL,
-          support: int = SUPPORT) -> dict:
+          support: int = SUPPORT, cosine: float = COSINE) -> dict:
     """A tree as ``node number -> (low, high)``: both children get what lies between; nodes without an entry are leaves."""
     cuts: dict[int, tuple[float, float]] = {}
 
     def grow(node: int, rows: np.ndarray) -> None:
         if len(rows) * population <= leaf * max(1, len(sample)) or len(rows) < 2 * support or node >= _SUBTREE // 2:
             return
+        probe = sample[rows[::max(1, len(rows) // _PROBE)]]
+        if (probe @ probe.T >= cosine).mean() > DENSE:
+            return
         places = sample[rows] @ direction(seed, node, sample.shape[1])
         low, high = np.quantile(places, (0.5 - spill, 0.5 + spill))
         if low == places.min() or high == places.max():
@@ -76,14 +82,26 @@ def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return values / np.linalg.norm(values, axis=1, keepdims=True)
 
 
-def leaf_links(vectors: np.ndarray, sizes: np.ndarray, leaves: list[list[int]], leaf: int, cosine: float = COSINE
-               ) -> tuple[np.ndarray, np.ndarray]:
-    """For each vector of a leaf: the vectors it links with here for the first time, and the row its group here starts with."""
+def leaf_links(vectors: np.ndarray, sizes: np.ndarray, leaves: list[list[int]], leaf: int, cosine: float = COSINE,
+               first: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """For each vector of a leaf: the vectors it links with here for the first time, and the row its group here starts with.
+
+    With ``first``, which tells one of two blocks from the other, only vectors of different blocks link.
+    """
     count = len(vectors)
+    if count and any(other < leaf for other in set(leaves[0]).intersection(*leaves[1:])):
+        return np.zeros(count, np.int64), np.arange(count)
     linked = np.zeros((count, count), bool)
-    for at in range(0, count, _BLOCK):
-        linked[at:at + _BLOCK] = vectors[at:at + _BLOCK] @ vectors.T >= cosine
-    np.fill_diagonal(linked, False)
+    if first is None:
+        for at in range(0, count, _BLOCK):
+            linked[at:at + _BLOCK] = vectors[at:at + _BLOCK] @ vectors.T >= cosine
+        np.fill_diagonal(linked, False)
+    else:
+        ones, others = np.flatnonzero(first), np.flatnonzero(~first)
+        for at in range(0, len(ones), _BLOCK):
+            near = vectors[ones[at:at + _BLOCK]] @ vectors[others].T >= cosine
+            linked[np.ix_(ones[at:at + _BLOCK], others)] = near
+            linked[np.ix_(others, ones[at:at + _BLOCK])] = near.T
     earlier: dict[int, list[int]] = {}
     for row, own in enumerate(leaves):
         for other in own:
@@ -99,7 +117,8 @@ def leaf_links(vectors: np.ndarray, sizes: np.ndarray, leaves: list[list[int]],
             part = linked[at:at + _BLOCK]
             least[at:at + _BLOCK] = np.minimum(label[at:at + _BLOCK], np.where(part, label, count).min(axis=1, initial=count))
         if (least == label).all():
-            return linked @ sizes, label
+            links = [linked[at:at + _BLOCK] @ sizes for at in range(0, count, _BLOCK)]
+            return np.concatenate([np.zeros(0, np.int64), *links]), label
         label = least
 
 
@@ -120,7 +139,8 @@ def is_usable(column: str):
 _SAMPLED = "leaf bigint, cuts string"
 
 
-def _split(rows: DataFrame, sizes: DataFrame, leaf: int, sample: int, number: int, support: int) -> DataFrame:
+def _split(rows: DataFrame, sizes: DataFrame, leaf: int, sample: int, number: int, support: int,
+           cosine: float) -> DataFrame:
     """``rows`` with those of oversized leaves moved to the leaves below.
 
     Every oversized leaf is fitted on about ``sample`` of its vectors, chosen by hash; its cuts travel as a small text.
@@ -134,7 +154,7 @@ def _split(rows: DataFrame, sizes: DataFrame, leaf: int, sample: int, number: in
 
     def fitted(group: pa.Table) -> pa.Table:
         at, population = group.column("leaf")[0].as_py(), group.column("n")[0].as_py()
-        cuts = build(matrix(group.column("v")), population, (at, number), leaf, support=support)
+        cuts = build(matrix(group.column("v")), population, (at, number), leaf, support=support, cosine=cosine)
         return pa.table({"leaf": pa.array([at], pa.int64()), "cuts": [json.dumps(cuts)]})
 
     trees = drawn.select("leaf", "n", "v").groupBy("leaf").applyInArrow(fitted, _SAMPLED)
@@ -163,22 +183,39 @@ def _split(rows: DataFrame, sizes: DataFrame, leaf: int, sample: int, number: in
     return joined.select("leaf", "id", "h", "size", "v", "cuts").mapInArrow(routed, rows.select("leaf", "id", "h", "size", "v").schema)
 
 
-def forest(classes: DataFrame, trees: int = TREES, leaf: int = LEAF, sample: int = SAMPLE, support: int = SUPPORT) -> DataFrame:
+def forest(classes: DataFrame, trees: int = TREES, leaf: int = LEAF, sample: int = SAMPLE, support: int = SUPPORT,
+           cosine: float = COSINE) -> DataFrame:
     """``(leaf, id, h, size, v)``: every vector in its leaves of every tree.
 
     All trees start as one leaf each per vector length.  Oversized leaves are split, up to 512 ways a round, until none is left or
-    nothing more can be split; rounds grow with the logarithm of the table.
+    nothing more can be split; rounds grow with the logarithm of the table.  Dense leaves stay as large as they are.
     """
     dealt = classes.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
     rows = dealt.select((F.col("tree") + F.size("v") * trees).cast("long").alias("leaf"), "id", "h", "size", "v")
+    state = None
     for number in range(MAX_ROUNDS):
         sizes = cut_lineage(rows.groupBy("leaf").agg(F.count("*").alias("n")))
-        if sizes.where(F.col("n") > leaf * 1.5).isEmpty():
+        now = sizes.where(F.col("n") > leaf * 1.5).agg(F.count("*"), F.sum(F.xxhash64("leaf", "n").cast("decimal(38,0)"))).first()
+        if not now[0] or now == state:
             break
-        rows = cut_lineage(_split(rows, sizes, leaf, sample, number, support))
+        state = now
+        rows = cut_lineage(_split(rows, sizes, leaf, sample, number, support, cosine))
     return rows
 
 
+def block_pairs(rows: DataFrame, leaf: int) -> DataFrame:
+    """``rows`` with ``own``, ``low`` and ``high``: once for each pair of blocks of their leaf that holds their own block.
+
+    Leaves that are not oversized are one block.
+    """
+    large = rows.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") > leaf * 1.5).select(
+        "leaf", F.ceil(F.col("n") / leaf).cast("int").alias("blocks"))
+    dealt = rows.join(large, "leaf", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    owned = dealt.withColumn("own", F.pmod(F.xxhash64("id", "h"), F.col("blocks")).cast("int"))
+    met = owned.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return met.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other")).drop("blocks", "other")
+
+
 def link_vectors(vectors: DataFrame, id_column: str = "vec_id", column: str = "embedding", cosine: float = COSINE,
                  **shape: int) -> DataFrame:
     """``id_column``, ``n_links``, ``component_id``, ``kept`` for every row.
@@ -189,22 +226,24 @@ def link_vectors(vectors: DataFrame, id_column: str = "vec_id", column: str = "e
     """
     named = vectors.select(F.col(id_column), F.col(column))
     classes = cut_lineage(_classes(named, id_column, column))
-    rows = forest(classes, **shape)
+    rows = forest(classes, cosine=cosine, **shape)
     signed = rows.groupBy("id", "h").agg(F.sort_array(F.collect_set("leaf")).alias("leaves"))
     kind = named.schema[id_column].dataType.simpleString()
-    compared = rows.join(signed, ["id", "h"])
+    compared = block_pairs(rows, shape.get("leaf", LEAF)).join(signed, ["id", "h"])
 
     def linked(group: pa.Table) -> pa.Table:
         sizes = group.column("size").to_numpy()
+        low, high = group.column("low")[0].as_py(), group.column("high")[0].as_py()
+        first = None if low == high else group.column("own").to_numpy() == low
         links, label = leaf_links(matrix(group.column("v")), sizes, group.column("leaves").to_pylist(),
-                                  group.column("leaf")[0].as_py(), cosine)
+                                  group.column("leaf")[0].as_py(), cosine, first)
         some = pa.array(np.flatnonzero(links))
-        first = pa.array(label[np.flatnonzero(links)])
+        start = pa.array(label[np.flatnonzero(links)])
         return pa.table({"id": group.column("id").take(some), "h": group.column("h").take(some),
                          "links": pa.array(links[np.flatnonzero(links)], pa.int64()),
-                         "id2": group.column("id").take(first), "h2": group.column("h").take(first)})
+                         "id2": group.column("id").take(start), "h2": group.column("h").take(start)})
 
-    found = cut_lineage(compared.groupBy("leaf").applyInArrow(linked, f"id {kind}, h bigint, links bigint, id2 {kind}, h2 bigint"))
+    found = cut_lineage(compared.groupBy("leaf", "low", "high").applyInArrow(linked, f"id {kind}, h bigint, links bigint, id2 {kind}, h2 bigint"))
     links = found.groupBy("id", "h").agg(F.sum("links").alias("links"))
     groups = connected_components(found.select(F.struct("id", "h").alias("a"), F.struct(
         F.col("id2").alias("id"), F.col("h2").alias("h")).alias("b")), "a", "b")

@@ -145,6 +145,26 @@ def test_forest_recall(spark):
     assert all(got[5000 + i].kept for i in range(4)) and got[5004].component_id == got[0].component_id
 
 
+def test_forest_recall_of_a_cluster_of_ten_leaves(spark):
+    """Different vectors that all link, as many as ten leaves hold; scaled copies of one vector; and others."""
+    rng = np.random.default_rng(6)
+    centre, line = rng.normal(size=(2, 16))
+    cluster = centre + 0.2 * rng.normal(size=(2000, 16))
+    rows = np.concatenate([cluster, np.outer(rng.uniform(1, 9, 700), line), rng.normal(size=(600, 16))]).astype("float32")
+    unit = rows.astype(float) / np.linalg.norm(rows.astype(float), axis=1, keepdims=True)
+    linked = unit @ unit.T >= 0.9
+    np.fill_diagonal(linked, False)
+    degrees = linked.sum(axis=1)
+    assert degrees[:2000].mean() > 1900
+    vectors = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(rows)], "vec_id long, embedding array<float>")
+    got = {r.vec_id: r for r in rp_forest.link_vectors(vectors, leaf=200, sample=800, support=8).collect()}
+    found = np.array([got[i].n_links for i in range(len(rows))])
+    print("recall", found[:2000].sum() / degrees[:2000].sum(), found[2000:2700].sum() / degrees[2000:2700].sum())
+    assert (found <= degrees).all() and found[:2000].sum() >= 0.99 * degrees[:2000].sum()
+    assert (found[2000:2700] == degrees[2000:2700]).all()
+    assert len({got[i].component_id for i in range(2000, 2700)}) == 1
+
+
 def test_pieces_are_the_best_segmentation():
     from sentencepiece import SentencePieceProcessor, sentencepiece_model_pb2
 
