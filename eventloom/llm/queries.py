@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from eventloom.llm import license_scan, line_dedup, packing, pieces, pii, quality_gam, quality_rules, rp_forest, simhash_dedup, suffix_dedup
+from eventloom.llm import (license_scan, line_dedup, packing, periodic_runs, pieces, pii, quality_gam, quality_rules, rp_forest,
+                           simhash_dedup, source_divergence, suffix_dedup)
 from eventloom.llm.common import table
+from eventloom.operators.settle import settle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -81,3 +83,82 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"), ["doc_id"])
+
+
+@query
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.audit_sources(table(spark, sf_dir, "documents"))
+
+
+# The same by joins: every group has a share for every kept term of its language, and pairs are compared term by term.
+SQL["op11_source_divergence"] = """
+WITH docs AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents
+),
+words AS (
+  SELECT r, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs
+),
+per_doc AS (SELECT r, lang, source, term, count(*) AS n FROM words GROUP BY ALL),
+kept AS (SELECT lang, term, sum(n)::HUGEINT AS n_all FROM per_doc GROUP BY ALL HAVING count(*) >= 30),
+counts AS (SELECT lang, source, term, sum(n)::HUGEINT AS n FROM per_doc SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+langs AS (SELECT lang, count(*) AS v, sum(n_all) AS n_lang FROM kept GROUP BY ALL),
+sizes AS (SELECT lang, source, sum(n) AS n_group FROM counts GROUP BY ALL),
+groups AS (
+  SELECT lang, source, coalesce(n_group, 0)::HUGEINT AS n_group, coalesce(v, 0)::HUGEINT AS v, coalesce(n_lang, 0)::HUGEINT AS n_lang
+  FROM (SELECT DISTINCT lang, source FROM docs) LEFT JOIN sizes USING (lang, source) LEFT JOIN langs USING (lang)
+),
+cells AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+         1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 5)) // (g.n_group + 5 * g.v) AS p,
+         1 + (1000000000::HUGEINT * (k.n_all + 5)) // (g.n_lang + 5 * g.v) AS q
+  FROM groups g JOIN kept k USING (lang) LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+),
+distances AS (
+  SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+  FROM cells a JOIN cells b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+),
+pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(d.value, 0)::BIGINT AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN distances d ON d.lang = a.lang AND d.source = a.source AND d.item = b.source
+),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, (p - q)::BIGINT AS value FROM cells WHERE n > 0 AND p > q),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank
+  FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms)
+)
+SELECT lang, source, part, item, value, rank::INT AS rank FROM ranked WHERE part = 'pair' OR rank <= 50
+"""
+
+
+def looped(docs: DataFrame) -> DataFrame:
+    """``doc_id`` and ``text``, where every tenth document by checksum repeats a part of its words to its end."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    # Settled, or every place below would split the text again.
+    chosen = settle(docs.select("doc_id", "text", g.alias("g"), F.when(h % 10 == 0, words).alias("words")), "words")
+    n = F.size("words").cast("long")
+    sized = settle(chosen.withColumns({"n": n, "a": F.when(n > 0, F.col("g") % n)}), "n", "a")
+    period = 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))
+    placed = settle(sized.withColumn("p", period), "p")
+    place = F.transform(F.sequence(F.lit(0).cast("long"), F.col("n") - 1),
+                        lambda i: F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p")))
+    text = F.array_join(F.transform(place, lambda i: F.get("words", i.cast("int"))), " ")
+    return placed.select("doc_id", F.when(F.col("n") > 0, text).otherwise(F.col("text")).alias("text"))
+
+
+@query
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.find_runs(looped(table(spark, sf_dir, "documents")), ["doc_id"])
+    ranked = F.transform("runs", lambda r: F.struct((-r["length"]).alias("l"), r["start"].alias("s"), r["period"].alias("p")))
+    longest = F.array_min(ranked)
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    listed = F.concat(F.array_join(lines, "\n"), F.when(F.size("runs") > 0, "\n").otherwise(""))
+    best = found.withColumn("best", longest)
+    length, period = -F.col("best.l"), F.col("best.p")
+    return best.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("best.s").alias("start"), length.alias("length"),
+        period.alias("period"), F.floor(1000 * length / period).alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
