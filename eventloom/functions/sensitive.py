@@ -35,6 +35,11 @@ def normal_key(key: Column) -> Column:
     return F.translate(F.lower(F.btrim(key, F.lit(SPACES))), "-.", "__")
 
 
+def normal_name(name: str) -> str:
+    """``normal_key`` of a configured name."""
+    return name.strip().lower().replace("-", "_").replace(".", "_")
+
+
 def _letter(ch: str) -> str:
     capitals = {ch.upper(), ch, _EXTRA_CAPITALS.get(ch, ch)}
     return "[" + "".join(re.escape(c) for c in sorted(capitals) if len(c) == 1) + "]"
@@ -46,8 +51,7 @@ def _json_escaped(ch: str) -> str:
 
 def _loose(name: str) -> str:
     """Any spelling whose normal form is the normal form of ``name``."""
-    normal = name.strip().lower().replace("-", "_").replace(".", "_")
-    return "".join("[-._]" if c == "_" else _letter(c) if c.isalpha() else _json_escaped(c) for c in normal)
+    return "".join("[-._]" if c == "_" else _letter(c) if c.isalpha() else _json_escaped(c) for c in normal_name(name))
 
 
 def _caseless(name: str) -> str:

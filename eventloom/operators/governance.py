@@ -11,10 +11,16 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from eventloom.config import Contract, Identity, Limits, Privacy, Settings
 from eventloom.functions import jsontext as jt
+from eventloom.functions import tokens
 from eventloom.functions.paths import members, string_at
 from eventloom.operators.redaction import collector_mask
 from eventloom.operators.settle import settle
 
+# Spark parses JSON up to this nesting.
+PARSED_LEVELS = 1000
+
+_UNPARSED = f"event nests deeper than can be parsed (> {PARSED_LEVELS})"
+
 
 def parse_events(df: DataFrame) -> DataFrame:
     """Trims ``raw`` and adds ``doc``: the object as VARIANT, NULL unless the text is one JSON object."""
@@ -27,8 +33,15 @@ def parse_events(df: DataFrame) -> DataFrame:
     return settle(parsed, "raw", "doc")
 
 
-def is_json_object(doc: Column) -> Column:
-    return doc.isNotNull()
+def is_json_object(raw: Column, doc: Column) -> Column:
+    """Whether an event is one JSON object, also where it nests deeper than can be parsed."""
+    return doc.isNotNull() | F.coalesce(beyond_parsing(raw, doc)["valid"], F.lit(False))
+
+
+def beyond_parsing(raw: Column, doc: Column) -> Column:
+    """``struct(valid, fields, depth)`` of an object text that nests so deep that it has no ``doc``; else NULL."""
+    deep = doc.isNull() & F.startswith(raw, F.lit("{")) & (jt.occurrences(raw, "{[") >= PARSED_LEVELS)
+    return F.when(deep, tokens.check(F.when(deep, raw)))
 
 
 def contract_code(doc: Column, contract: Contract) -> Column:
@@ -43,7 +56,8 @@ def measure(df: DataFrame, limits: Limits) -> DataFrame:
     """Adds ``n_fields``, ``depth`` and ``long_string``, exact where a limit may be passed.
 
     Counting colons, brackets and bytes of the raw text bounds all three from above; only events
-    over such a bound are measured, the others get NULL.
+    over such a bound are measured, the others get NULL.  An object that nests too deep to be parsed is
+    measured on its tokens; ``unparsed`` says that it is one.
     """
     raw, doc, size = F.col("raw"), F.col("doc"), F.octet_length("raw")
     sized = (size <= limits.max_event_bytes) if limits.max_event_bytes else F.lit(True)
@@ -67,9 +81,13 @@ def measure(df: DataFrame, limits: Limits) -> DataFrame:
     too_long = within & long & jt.has_long_string(text, limits.max_string_length)
     return (
         flags.withColumn("_compact", F.when(many | deep | long, F.to_json(doc)))
-        .withColumns({"n_fields": F.when(many, jt.field_count(text)), "depth": F.when(deep, jt.max_depth(text))})
+        .withColumn("_beyond", beyond_parsing(raw, doc))
+        .withColumn("unparsed", F.coalesce(F.col("_beyond.valid"), F.lit(False)))
+        .withColumns({
+            "n_fields": F.when(F.col("unparsed") & many, F.col("_beyond.fields")).when(many, jt.field_count(text)),
+            "depth": F.when(F.col("unparsed") & sized, F.col("_beyond.depth")).when(deep, jt.max_depth(text))})
         .withColumn("long_string", F.when(too_long, jt.first_long_string(text, limits.max_string_length)))
-        .drop("_compact", "_many", "_deep", "_long")
+        .drop("_compact", "_many", "_deep", "_long", "_beyond")
     )
 
 
@@ -105,9 +123,10 @@ def limit_finding(limits: Limits) -> Column:
 
 def apply_limits(df: DataFrame, limits: Limits) -> DataFrame:
     """Adds ``code`` and ``message`` for the size, count, depth and string limits."""
-    found = measure(df, limits).withColumn("_found", F.when(F.col("doc").isNotNull(), limit_finding(limits)))
+    judged = F.col("doc").isNotNull() | F.col("unparsed")
+    found = measure(df, limits).withColumn("_found", F.when(judged, limit_finding(limits)))
     coded = found.withColumn("code", F.col("_found.code")).withColumn("message", F.col("_found.message"))
-    return settle(coded.drop("_found"), "n_fields", "depth", "long_string", "code", "message")
+    return settle(coded.drop("_found", "unparsed"), "n_fields", "depth", "long_string", "code", "message")
 
 
 def alias_change(doc: Column) -> Column:
@@ -198,7 +217,11 @@ def _adopt_rewrites(df: DataFrame, limits: Limits) -> DataFrame:
 
 
 def govern(df: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """Object check, contract, limits, aliases, identity, redaction and the size check after it."""
+    """Object check, contract, limits, aliases, identity, redaction and the size check after it.
+
+    An object that nests deeper than can be parsed gets the code of the limit it passes; without such a limit it is refused for its
+    depth all the same, as no later step could read it.  The contract cannot be looked up in it.
+    """
     events = parse_events(df)
     doc = F.col("doc")
     contract = contract_code(doc, settings.contract) if settings.contract.enabled else F.lit(None).cast("string")
@@ -207,11 +230,11 @@ def govern(df: DataFrame, settings: Settings = Settings()) -> DataFrame:
         .withColumn("event_id", string_at(doc, "event_id"))
         .withColumn("_contract", contract)
         .withColumn("_limit", limit_finding(settings.limits))
-        .withColumn("code", F.when(doc.isNull(), "expected_json_object")
-                    .otherwise(F.coalesce("_contract", "_limit.code")))
-        .withColumn("message", F.when(doc.isNull(), "event payload must be a JSON object")
-                    .otherwise(F.coalesce("_contract", "_limit.message")))
-        .drop("_contract", "_limit", "n_fields", "depth", "long_string")
+        .withColumn("code", F.when(doc.isNull() & ~F.col("unparsed"), "expected_json_object")
+                    .otherwise(F.coalesce("_contract", "_limit.code", F.when(doc.isNull(), "attr_depth_exceeded"))))
+        .withColumn("message", F.when(doc.isNull() & ~F.col("unparsed"), "event payload must be a JSON object")
+                    .otherwise(F.coalesce("_contract", "_limit.message", F.when(doc.isNull(), _UNPARSED))))
+        .drop("_contract", "_limit", "n_fields", "depth", "long_string", "unparsed")
     )
     governed = _adopt_rewrites(rewrite_events(events, settings), settings.limits)
     return settle(governed, "raw", "doc", "event_id", "code", "message")

@@ -26,7 +26,7 @@ def event_rows(event_id: str) -> Column:
     return F.col("event_id") == event_id
 
 
-def mentions_user(df: DataFrame, user: str, keep: tuple[str, ...], levels: int | None = None) -> DataFrame:
+def mentions_user(df: DataFrame, user: str, keep: tuple[str, ...]) -> DataFrame:
     """Keys of events that hold a member ``user_id`` with that text, at any depth.
 
     Only events whose text holds the id or an escape are taken apart.
@@ -34,13 +34,13 @@ def mentions_user(df: DataFrame, user: str, keep: tuple[str, ...], levels: int |
     may = F.contains("raw", F.lit(user)) | F.contains("raw", F.lit("\\"))
     valid = strict_json(F.col("raw")).isNotNull()
     parsed = settle(df.where(may).withColumn("raw", F.when(valid, F.col("raw"))), "raw")
-    nodes = json_nodes(parsed, keep=keep, levels=levels).where(F.col("key") == "user_id")
+    nodes = json_nodes(parsed, keep=keep).where(F.col("key") == "user_id")
     return nodes.where(is_text(F.col("value")) & (unquote(F.col("value")) == user)).select(*keep).distinct()
 
 
-def user_rows(df: DataFrame, user: str, keep: tuple[str, ...], levels: int | None = None) -> DataFrame:
+def user_rows(df: DataFrame, user: str, keep: tuple[str, ...]) -> DataFrame:
     """Keys of events of a user: by column, or by any ``user_id`` member of the event."""
-    found = mentions_user(df, user, keep, levels)
+    found = mentions_user(df, user, keep)
     if "user_id" not in df.columns:
         return found
     return found.union(df.where(F.col("user_id") == user).select(*keep)).distinct()

@@ -2,106 +2,30 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, functions as F
 
-from eventloom.functions.jsontext import max_depth, occurrences
-from eventloom.functions.paths import elements, members
-from eventloom.session import cut_lineage
-
-# Levels planned in one go; deeper documents go on from a written intermediate table.
-_LEVELS_PER_PLAN = 16
-
-# Documents up to this depth are walked apart from deeper ones, so that a few deep documents do not
-# send the nodes of all others through levels they do not have.
-_SHALLOW = 6
-
-_NODE = "struct<path: string, plain: string, key: string, depth: int, value: string, open: boolean>"
+from eventloom.functions import tokens
+from eventloom.operators.settle import settle
 
 
-def json_nodes(
-    df: DataFrame,
-    text: str = "raw",
-    keep: tuple[str, ...] = (),
-    levels: int | None = None,
-    closed: Callable[[Column, Column], Column] | None = None,
-) -> DataFrame:
-    """Rows ``(keep..., path, plain, key, depth, value)``, one per node, the root included.
+def json_nodes(df: DataFrame, text: str = "raw", keep: tuple[str, ...] = (), containers: bool = False) -> DataFrame:
+    """Rows ``(keep..., path, key, depth, value)``, one per node, the root included; containers follow their children.
 
-    ``text`` holds valid JSON or NULL.  ``path`` carries array indexes (``a.b[0]``), ``plain``
-    leaves them out (``a.b``); ``key`` is NULL for the root and for array elements; ``value`` is
-    compact JSON text.  ``closed(key, plain)`` names members whose inside is not wanted.
+    ``text`` holds valid JSON or NULL.  ``path`` carries array indexes (``a.b[0]``); ``key`` is NULL for the root and for array
+    elements; ``value`` is the text of a scalar as written, that of a container only where ``containers`` asks for it, else NULL.
+    Where an object repeats a key, its last value counts.
 
-    Each level is one ``explode`` of the nodes that are still open; final nodes pass through, so the
-    whole walk is narrow: no shuffle, no self-union.  Nodes carry text, not VARIANT: every VARIANT
-    brings the key dictionary of its whole document along, which makes wide documents quadratic.
-
-    ``levels`` is the greatest depth to expect, e.g. the depth limit of a governed table.  Left
-    out, it is measured with one extra pass.
+    One pass over the tokens of a text and one ``inline``: narrow, the input is read once, and no depth is too great.
     """
-    content = F.col(text)
-    brackets = occurrences(content, "{[")
-    if levels is None:
-        # The number of brackets bounds the depth; only texts with many are measured.
-        bound = F.when(brackets < _SHALLOW, brackets + 1).otherwise(max_depth(content))
-        levels = df.agg(F.max(bound).alias("d")).first()["d"] or 1
-    if levels <= _SHALLOW:
-        return _walk(df, text, keep, levels, closed)
-    shallow = F.coalesce(F.when(brackets < _SHALLOW, True).otherwise(max_depth(content) <= _SHALLOW), F.lit(True))
-    return _walk(df.where(shallow), text, keep, _SHALLOW, closed).unionByName(
-        _walk(df.where(~shallow), text, keep, levels, closed))
-
-
-def _walk(df: DataFrame, text: str, keep: tuple[str, ...], levels: int,
-          closed: Callable[[Column, Column], Column] | None) -> DataFrame:
-    root = F.struct(
-        F.lit("").alias("path"), F.lit("").alias("plain"), F.lit(None).cast("string").alias("key"),
-        F.lit(1).alias("depth"), F.ltrim(F.col(text), F.lit(" \t\r\n")).alias("value"), F.lit(True).alias("open"),
-    )
-    nodes = df.where(F.col(text).isNotNull()).select(*keep, root.cast(_NODE).alias("node"))
-    one_level = F.explode(_opened(F.col("node"), closed)).alias("node")
-    for level in range(1, levels):
-        if level % _LEVELS_PER_PLAN == 0:
-            nodes = cut_lineage(nodes)
-        nodes = nodes.select(*keep, one_level)
-    return nodes.select(*keep, "node.path", "node.plain", "node.key", "node.depth", "node.value")
+    chosen = df.where(F.col(text).isNotNull()).select(*keep, F.col(text).alias("_text"))
+    walked = settle(chosen.withColumn("_nodes", tokens.nodes(F.col("_text"), containers)), "_nodes")
+    # Nodes of a repeated key share a path; only such texts are parsed, which leaves one of them, and walked again.
+    paths = F.col("_nodes.path")
+    single = F.when(F.size(F.array_distinct(paths)) < F.size(paths), F.to_json(F.try_parse_json("_text")))
+    again = F.coalesce(tokens.nodes(single, containers), F.col("_nodes"))
+    return walked.select(*keep, F.inline(again))
 
 
 def is_text(value: Column) -> Column:
     """Whether a node is a JSON string."""
     return F.startswith(value, F.lit('"'))
-
-
-def _opened(node: Column, closed: Callable[[Column, Column], Column] | None) -> Column:
-    """The node itself, final, followed by its children."""
-    first = F.substring(node["value"], 1, 1)
-
-    def child(path: Column, plain: Column, key: Column, value: Column, opens: Column) -> Column:
-        return F.struct(
-            path.alias("path"), plain.alias("plain"), key.alias("key"), (node["depth"] + 1).alias("depth"),
-            F.to_json(value).alias("value"), opens.alias("open"),
-        )
-
-    def below(base: Column, key: Column) -> Column:
-        return F.when(base == "", key).otherwise(F.concat(base, F.lit("."), key))
-
-    def member(entry: Column) -> Column:
-        key = entry["key"]
-        plain = below(node["plain"], key)
-        opens = F.lit(True) if closed is None else ~F.coalesce(closed(key, plain), F.lit(False))
-        return child(below(node["path"], key), plain, key, entry["value"], opens)
-
-    def element(value: Column, index: Column) -> Column:
-        path = F.concat(node["path"], F.lit("["), index.cast("string"), F.lit("]"))
-        return child(path, node["plain"], F.lit(None).cast("string"), value, F.lit(True))
-
-    itself = F.array(node.withField("open", F.lit(False)))
-    parsed = F.try_parse_json(node["value"])
-    return (
-        F.when(node["open"] & (first == "{"), F.concat(
-            itself, F.transform(F.map_entries(members(parsed)), member).cast(f"array<{_NODE}>")))
-        .when(node["open"] & (first == "["), F.concat(
-            itself, F.transform(elements(parsed), element).cast(f"array<{_NODE}>")))
-        .otherwise(itself)
-    )

@@ -9,28 +9,38 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from eventloom.config import Limits, Privacy
 from eventloom.functions import jsontext as jt
-from eventloom.functions import sensitive
+from eventloom.functions import sensitive, tokens
 from eventloom.operators.nodes import is_text, json_nodes
 from eventloom.operators.settle import settle
 
+_MASK_TOKEN = json.dumps(sensitive.MASK)
+
 
 def collector_mask(privacy: Privacy, raw: Column, text: Column, limits: Limits) -> tuple[Column, Column, Column]:
     """Three columns: may ``raw`` need work, does ``text`` (compact JSON) need it, and the masked text."""
     if not privacy.collector_active:
         return F.lit(False), F.lit(False), text
     key = sensitive.blocked_key_token(privacy.blocklist)
-    return _mask(privacy.blocklist, key, privacy.secret_scan, raw, text, limits)
+    names = sorted({sensitive.normal_name(n) for n in privacy.blocklist})
+
+    def hidden(plain: Column, name: Column, value: Column) -> Column:
+        secret = is_text(value) & sensitive.secret_match(jt.unquote(value)) if privacy.secret_scan else F.lit(False)
+        return sensitive.normal_key(name).isin(*names) | secret if names else secret
+
+    return _mask(privacy.blocklist, key, privacy.secret_scan, raw, text, limits, hidden)
+
+
+Rule = Callable[[Column, Column, Column], Column]
 
 
 def _mask(names: tuple[str, ...], key: str | None, scan: bool, raw: Column, text: Column,
-          limits: Limits) -> tuple[Column, Column, Column]:
+          limits: Limits, hidden: Rule) -> tuple[Column, Column, Column]:
     bounded = limits.enabled and 0 < limits.max_attr_depth <= jt.MAX_PATTERN_DEPTH
     levels = limits.max_attr_depth if bounded else jt.MAX_PATTERN_DEPTH
     pattern = sensitive.mask_pattern(key, scan, levels)
@@ -39,10 +49,9 @@ def _mask(names: tuple[str, ...], key: str | None, scan: bool, raw: Column, text
     masked = F.regexp_replace(text, pattern, sensitive.mask_replacement(key, scan))
     if bounded:
         return hint, hit, masked
-    # Nesting beyond the pattern: the same rule as a walk over the parsed document.
-    walk = _walker(key or "(?!)", None, sensitive.SECRET if scan else None, on_token=True)
+    # Nesting beyond the pattern: the same rule, token by token.
     too_deep = (jt.occurrences(text, "{[") > levels) & (jt.max_depth(text) > levels)
-    walked = walk(F.when(too_deep, text))
+    walked = tokens.mask_members(F.when(too_deep, text), hidden, _MASK_TOKEN)
     return hint, F.when(too_deep, F.size(walked["paths"]) > 0).otherwise(hit), F.when(
         too_deep, walked["raw"]).otherwise(masked)
 
@@ -62,83 +71,35 @@ def match_pattern(plain: Column, key: Column, patterns: tuple[str, ...]) -> Colu
     return found | path.rlike(f"(?s)^(?:{'|'.join(stars)})$") if stars else found
 
 
-def _walker(keys: str, rules: tuple[tuple[str, ...], bool] | None, secret: str | None, on_token: bool = False):
-    """Arrow UDF: masked text and masked paths of each event.
-
-    The only Python in the data path.  It receives NULL for the rows that do not need it, and those
-    cost nothing but a slot in the Arrow batch.
-    """
-
-    @F.pandas_udf("raw string, paths array<string>")
-    def walk(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        hidden = _member_rule(keys, rules, secret, on_token)
-        for texts in batches:
-            yield pd.DataFrame(
-                [(None, None) if t is None else _mask_document(t, hidden) for t in texts], columns=["raw", "paths"]
-            )
-
-    return walk
+def _place_rule(privacy: Privacy) -> Rule:
+    """Outside an allowlist, or else in the blocklist, by name, path, last part or wildcard."""
+    def hidden(plain: Column, name: Column, value: Column) -> Column:
+        if privacy.allowlist:
+            return ~match_pattern(plain, name, privacy.allowlist)
+        return match_pattern(plain, name, privacy.blocklist)
 
-
-def _member_rule(keys: str, rules: tuple[tuple[str, ...], bool] | None, secret: str | None, on_token: bool):
-    if rules is None:
-        token, text = re.compile(keys.replace("*+", "*")), secret and re.compile(secret.replace("(?iu)", "(?i)"))
-        return lambda path, key, child: bool(
-            token.fullmatch(json.dumps(key, ensure_ascii=False))
-            or (text and isinstance(child, str) and text.search(child))
-        )
-    patterns, wanted = rules
-    exact = {p.lower() for p in patterns}
-    stars = re.compile("|".join(wildcard(p) for p in patterns if "*" in p) or "(?!)", re.DOTALL)
-
-    def matches(path: str, key: str, child: object) -> bool:
-        low = path.lower()
-        named = key.lower() in exact or low in exact or low.rsplit(".", 1)[-1] in exact
-        return (named or stars.fullmatch(low) is not None) is wanted
-
-    return matches
-
-
-def _mask_document(text: str, hidden) -> tuple[str, list[str]]:
-    doc = json.loads(text)
-    found: list[str] = []
-    todo = [(doc, "")]
-    while todo:
-        node, base = todo.pop()
-        if isinstance(node, list):
-            todo += [(item, base) for item in node if isinstance(item, (dict, list))]
-            continue
-        for key, child in node.items():
-            path = f"{base}.{key}" if base else key
-            if hidden(path, key, child):
-                node[key] = sensitive.MASK
-                found.append(path)
-            elif isinstance(child, (dict, list)):
-                todo.append((child, path))
-    return json.dumps(doc, ensure_ascii=False, separators=(",", ":"), sort_keys=True), found
+    return hidden
 
 
 def redact_processor(df: DataFrame, privacy: Privacy, limits: Limits = Limits()) -> DataFrame:
     """Masks ``raw`` by allowlist or blocklist; expects ``doc`` and gives back both.
 
-    Plain member names are matched in the text, inside the JVM.  Paths, wildcards and allowlists
-    need the position in the document and take the Arrow walk; for a blocklist, only rows whose
-    text mentions the last name of a pattern go there.
+    Plain member names are matched by a pattern.  Paths, wildcards and allowlists need the position in the document and are
+    matched token by token; masked values are spliced into the text as it came, so numbers and all other bytes stay.  For a
+    blocklist, only rows whose text mentions the last name of a pattern are looked at.
     """
     if not privacy.processor_active or not (privacy.allowlist or privacy.blocklist):
         return df
     raw, doc = F.col("raw"), F.col("doc")
     by_place = bool(privacy.allowlist) or any("." in p or "*" in p for p in privacy.blocklist)
     if by_place:
-        patterns, wanted = (privacy.allowlist, False) if privacy.allowlist else (privacy.blocklist, True)
-        may_match = F.lit(True) if privacy.allowlist else _mentions(raw, patterns)
-        walked = df.withColumn("_walk", _walker("", (patterns, wanted), None)(
-            F.when(doc.isNotNull() & may_match, F.to_json(doc))))
-        changed = F.size("_walk.paths") > 0
-        out = walked.withColumn("_masked", F.when(changed, F.col("_walk.raw"))).drop("_walk")
+        may_match = F.lit(True) if privacy.allowlist else _mentions(raw, privacy.blocklist)
+        looked_at = F.when(doc.isNotNull() & may_match, raw)
+        walked = settle(df.withColumn("_walk", tokens.mask_members(looked_at, _place_rule(privacy), _MASK_TOKEN)), "_walk")
+        out = walked.withColumn("_masked", F.when(F.size("_walk.paths") > 0, F.col("_walk.raw"))).drop("_walk")
     else:
         key = sensitive.named_key_token(privacy.blocklist)
-        hint, hit, masked = _mask(privacy.blocklist, key, False, raw, F.col("_text"), limits)
+        hint, hit, masked = _mask(privacy.blocklist, key, False, raw, F.col("_text"), limits, _place_rule(privacy))
         out = (
             df.withColumn("_text", F.when(doc.isNotNull() & hint, F.to_json(doc)))
             .withColumn("_masked", F.when(hit, masked)).drop("_text")
@@ -158,18 +119,16 @@ def _mentions(raw: Column, patterns: tuple[str, ...]) -> Column:
     return raw.rlike(r"\\|(?iu:" + "|".join(re.escape(t) for t in tails) + ")")
 
 
-def redaction_audit(df: DataFrame, privacy: Privacy, keep: tuple[str, ...], levels: int | None = None) -> DataFrame:
+def redaction_audit(df: DataFrame, privacy: Privacy, keep: tuple[str, ...]) -> DataFrame:
     """One row ``(keep..., message, field)`` per member of ``raw`` the processor step hides."""
-    if privacy.allowlist:
-        def hidden(key: Column, plain: Column) -> Column:
-            return key.isNotNull() & ~match_pattern(plain, key, privacy.allowlist)
-    else:
-        def hidden(key: Column, plain: Column) -> Column:
-            return key.isNotNull() & match_pattern(plain, key, privacy.blocklist)
+    def paths_of(text: Column) -> Column:
+        return tokens.mask_members(text, _place_rule(privacy), _MASK_TOKEN)["paths"]
 
-    nodes = json_nodes(df, keep=keep, levels=levels, closed=hidden)
-    found = nodes.where(hidden(F.col("key"), F.col("plain")))
-    return found.select(*keep, F.lit("pii_redacted").alias("message"), F.col("plain").alias("field"))
+    found = settle(df.select(*keep, "raw", paths_of(F.col("raw")).alias("_paths")), "_paths")
+    # Only where a path comes twice, an object may repeat a key; its last value counts.
+    twice = F.size(F.array_distinct("_paths")) < F.size("_paths")
+    single = F.when(twice, tokens.without_repeats(F.col("raw"), F.try_parse_json("raw")))
+    return found.select(*keep, F.lit("pii_redacted").alias("message"), F.explode(F.coalesce(paths_of(single), "_paths")).alias("field"))
 
 
 def privacy_verdict(failed: Column, mode: str) -> Column:
@@ -179,7 +138,7 @@ def privacy_verdict(failed: Column, mode: str) -> Column:
 
 def pii_audit(
     df: DataFrame, blocklist: tuple[str, ...], keep: tuple[str, ...] = (), limit: int | None = None,
-    secret: str = sensitive.SECRET, levels: int | None = None,
+    secret: str = sensitive.SECRET,
 ) -> DataFrame:
     """Rows ``(path, classification, count)`` over the events in ``raw``.
 
@@ -187,7 +146,7 @@ def pii_audit(
     ``limit`` the whole table is read; with it, that many rows, as a quick look.
     """
     rows = df.limit(limit) if limit else df
-    names = sorted({n.strip().lower().replace("-", "_").replace(".", "_") for n in blocklist})
+    names = sorted({sensitive.normal_name(n) for n in blocklist})
     key = sensitive.blocked_key_token(blocklist)
     if secret == sensitive.SECRET:
         hint = sensitive.raw_text_hint(F.col("raw"), blocklist, key, True)
@@ -195,7 +154,7 @@ def pii_audit(
         hint = F.contains("raw", F.lit("\\")) | F.col("raw").rlike(sensitive.raw_text_pattern(key, True, secret))
     valid = jt.strict_json(jt.trim(F.col("raw"))).isNotNull()
     marked = settle(rows.where(hint).withColumn("raw", F.when(valid, F.col("raw"))), "raw")
-    nodes = json_nodes(marked, keep=keep, levels=levels).where(F.col("key").isNotNull())
+    nodes = json_nodes(marked, keep=keep).where(F.col("key").isNotNull())
     text = F.when(is_text(F.col("value")), jt.unquote(F.col("value")))
     classes = F.array_compact(F.array(
         F.when(sensitive.normal_key(F.col("key")).isin(*names), F.lit("restricted")),

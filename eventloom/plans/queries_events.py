@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import timedelta
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from eventloom.config import (
     DEFAULT_BLOCKLIST, DEFAULT_REGISTRY, DedupeRules, Identity, Limits, Privacy, SchemaRules, Settings,
@@ -74,7 +74,7 @@ def service_health(spark, sf_dir):
 SELECT w.eid, w.copy, o.eid IS NOT NULL AS is_object
 FROM wide w LEFT JOIN objects o ON w.eid = o.eid AND w.copy = o.copy""")
 def object_check(spark, sf_dir):
-    return gov.parse_events(wide_events(spark, sf_dir)).select(*ROW, gov.is_json_object(F.col("doc")).alias("is_object"))
+    return gov.parse_events(wide_events(spark, sf_dir)).select(*ROW, gov.is_json_object(F.col("raw"), F.col("doc")).alias("is_object"))
 
 
 @query("string_extract", f"""WITH {OBJECTS_SQL}
@@ -133,6 +133,42 @@ def governance_codes(spark, sf_dir):
     return governed(spark, sf_dir).select(*ROW, "code", "message")
 
 
+# Events that only their size or nesting is wrong with, by the last two digits of their number.
+_EDGE_SQL = """SELECT event_id AS eid, CASE event_id % 100
+  WHEN 0 THEN 'event_too_large' WHEN 1 THEN 'attr_depth_exceeded' WHEN 2 THEN 'attr_depth_exceeded' WHEN 3 THEN 'attr_count_exceeded'
+  WHEN 4 THEN 'expected_json_object' WHEN 5 THEN 'expected_json_object' WHEN 7 THEN 'event_too_large' END AS code,
+CASE event_id % 100
+  WHEN 0 THEN 'event exceeds max_event_bytes (300013 > 262144)'
+  WHEN 1 THEN 'event depth exceeds max_attr_depth (1002 > 16)'
+  WHEN 2 THEN 'event depth exceeds max_attr_depth (' || (17 + event_id % 900) || ' > 16)'
+  WHEN 3 THEN 'event field count exceeds max_attr_count (1300 > 512)'
+  WHEN 4 THEN 'event payload must be a JSON object' WHEN 5 THEN 'event payload must be a JSON object'
+  WHEN 7 THEN 'event exceeds max_event_bytes (270000 > 262144)' END AS message
+FROM events WHERE event_id % 100 < 8"""
+
+
+@query("size_and_depth_codes", _EDGE_SQL)
+def size_and_depth_codes(spark, sf_dir):
+    """Codes of events over the size limit and beyond the nesting that can be parsed, valid and broken ones."""
+    def nested(levels: Column, inside: str = "1") -> Column:
+        return F.concat(F.lit('{"d":'), F.repeat(F.lit("["), levels), F.lit(inside), F.repeat(F.lit("]"), levels), F.lit("}"))
+
+    eid, kind = F.col("event_id"), F.pmod("event_id", F.lit(100))
+    text = (
+        F.when(kind == 0, F.concat(F.lit('{"big":["'), F.repeat(F.lit("x"), 300_001), F.lit('"]}')))
+        .when(kind == 1, nested(F.lit(1000)))
+        .when(kind == 2, nested((15 + F.pmod(eid, F.lit(900))).cast("int")))
+        .when(kind == 3, F.concat(F.repeat(F.lit('{"d":'), 1300), F.lit("1"), F.repeat(F.lit("}"), 1300)))
+        # A bracket of the wrong kind, and one too many.
+        .when(kind == 4, nested(F.lit(1200), "[1}"))
+        .when(kind == 5, F.concat(nested(F.lit(1200)), F.lit("}")))
+        .when(kind == 6, nested(F.lit(14)))
+        .otherwise(nested(F.lit(1001), '"' + "y" * 267_990 + '"'))
+    )
+    rows = read_table(spark, sf_dir, "events").where(kind < 8).select(eid.alias("eid"), text.alias("raw"))
+    return gov.govern(rows).select("eid", "code", "message")
+
+
 @query("alias_normalize", f"""WITH {CODES_SQL}
 SELECT eid, copy, coalesce(raw ->> '$.event', raw ->> '$.event_type') AS event, false AS has_alias
 FROM codes WHERE code IS NULL""")
@@ -338,6 +374,27 @@ def redact_allow(spark, sf_dir):
     return proj.project_values(rows, paths, keep=ROW)
 
 
+_EXACT_KEEP = ("event_id", "amount", "deep", "k", "list", "list.n")
+_NESTED = 70
+
+
+@query("redact_exact", f"""SELECT event_id AS eid,
+  ' {{ "event_id" : "evt_' || event_id || '", "amount":0.' || (1234567890123456789 - event_id) || ' ,"deep":' ||
+  repeat('{{"k": [', {_NESTED}) || '{{"k":' || event_id || ',"secret":"[REDACTED]"}}' || repeat(']}}', {_NESTED}) ||
+  ',"user":"[REDACTED]", "list" : [ {{"n":1e2 , "m":"[REDACTED]"}} , 7] }}' AS raw
+FROM events""")
+def redact_exact(spark, sf_dir):
+    """Masks are spliced into the text: spaces, long decimals and 140 levels of nesting come out as they went in."""
+    eid = F.col("event_id")
+    text = F.concat(
+        F.lit(' { "event_id" : "evt_'), eid, F.lit('", "amount":0.'), F.lit(1234567890123456789) - eid, F.lit(' ,"deep":'),
+        F.repeat(F.lit('{"k": ['), _NESTED), F.lit('{"k":'), eid, F.lit(',"secret":{"a":[1,"]"]}}'), F.repeat(F.lit("]}"), _NESTED),
+        F.lit(',"user":{"id":[{}],"n":"}"}, "list" : [ {"n":1e2 , "m":null} , 7] }'))
+    rows = read_table(spark, sf_dir, "events").select(eid.alias("eid"), text.alias("raw"))
+    parsed = rows.withColumn("doc", F.try_parse_json("raw"))
+    return red.redact_processor(parsed, Privacy(allowlist=_EXACT_KEEP)).select("eid", "raw")
+
+
 _PLACES = ("user.*", "items.token", "auth.api-key", "TENANT")
 
 
@@ -412,7 +469,7 @@ def text_pii_audit(spark, sf_dir):
 
     rows = wrapped("documents", "doc_id", "document", "text").union(
         wrapped("pages", "page_id", "page", "html")).union(wrapped("conversations", "conv_id", "turn", "text"))
-    return red.pii_audit(rows, DEFAULT_BLOCKLIST, secret=_TOKEN_TEXT, levels=3)
+    return red.pii_audit(rows, DEFAULT_BLOCKLIST, secret=_TOKEN_TEXT)
 
 
 # --- projection -------------------------------------------------------------------------------

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -9,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from eventloom.config import RequestLimits
 from eventloom.functions import jsontext as jt
+from eventloom.functions import tokens
 from eventloom.functions.paths import elements
 from eventloom.operators.settle import settle
 
@@ -39,12 +41,11 @@ def _inside(text: Column) -> Column:
 def array_texts(text: Column, parsed: Column) -> Column:
     """The elements of a JSON array, each as it is written.
 
-    Should an element nest deeper than the pattern reaches, all come from the parsed array instead:
-    same values, compact spelling.
+    Should an element nest deeper than the pattern reaches, the tokens of the text are read one by one instead.
     """
     written = F.regexp_extract_all(_inside(text), F.lit(_ITEM), F.lit(1))
-    values = elements(parsed)
-    return F.when(F.size(written) == F.size(values), written).otherwise(F.transform(values, lambda v: F.to_json(v)))
+    exact = F.size(written) == F.size(elements(parsed))
+    return F.when(exact, written).otherwise(tokens.children(F.when(~exact, text))["value"])
 
 
 def _last_member(text: Column, name: str) -> Column:
@@ -52,7 +53,10 @@ def _last_member(text: Column, name: str) -> Column:
     keys = F.regexp_extract_all(_inside(text), F.lit(_MEMBER), F.lit(1))
     values = F.regexp_extract_all(_inside(text), F.lit(_MEMBER), F.lit(2))
     pairs = F.zip_with(keys, values, lambda key, text: F.when(F.lower(key) == f'"{name}"', text))
-    return F.try_element_at(F.array_compact(pairs), F.lit(-1))
+    # Values that nest deeper than the pattern reaches are read token by token.
+    deep = (jt.occurrences(text, "{[") > jt.MAX_PATTERN_DEPTH) & (jt.max_depth(text) > jt.MAX_PATTERN_DEPTH)
+    walked = F.transform(tokens.children(F.when(deep, text)), lambda c: F.when(F.lower(c["key"]) == name, c["value"]))
+    return F.try_element_at(F.array_compact(F.when(deep, walked).otherwise(pairs)), F.lit(-1))
 
 
 def _may_be(doc: Column, path: str, kind: str) -> Column:
@@ -130,24 +134,31 @@ def read_ndjson(spark: SparkSession, path: str, stream: bool = False) -> DataFra
 
 
 def read_payload_files(spark: SparkSession, path: str, limits: RequestLimits = RequestLimits()) -> DataFrame:
-    """One request per file: ``(request_id, payload, too_large)``; gzip (.gz) and zstd (.zst) bodies are decoded.
+    """One request per file: ``(request_id, payload, too_large)``; see ``decode_bodies``."""
+    files = spark.read.format("binaryFile").load(path)
+    return decode_bodies(files.select(F.col("path").alias("request_id"), "content"), limits)
+
 
-    A body over the limit is decoded no further; it has no payload, and ``request_guards`` refuses it.
+def decode_bodies(bodies: DataFrame, limits: RequestLimits = RequestLimits()) -> DataFrame:
+    """``(request_id, payload, too_large)`` of request bodies ``(request_id, content)``.
+
+    The name tells the encoding: ``.gz`` is gzip and ``.zst`` zstd, of one or several members or frames; others are taken as they
+    are.  A body over the limit is decoded no further; it has no payload, and ``request_guards`` refuses it.  A body that is
+    damaged, or ends inside a member or frame, has no payload either and is not too large.
     """
     try:
         import zstandard  # noqa: F401
     except ImportError as missing:
-        raise RuntimeError("reading compressed request files needs the zstandard package") from missing
+        raise RuntimeError("reading compressed request bodies needs the zstandard package") from missing
     most = limits.max_body_bytes
 
     @F.pandas_udf("payload string, too_large boolean")
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            bodies = [_decoded(name, body, most) for name, body in zip(batch["path"], batch["content"])]
-            yield pd.DataFrame(bodies, columns=["payload", "too_large"])
+            decoded = [_decoded(name, body, most) for name, body in zip(batch["request_id"], batch["content"])]
+            yield pd.DataFrame(decoded, columns=["payload", "too_large"])
 
-    files = spark.read.format("binaryFile").load(path)
-    return files.select(F.col("path").alias("request_id"), decode(F.struct("path", "content")).alias("_body")).select(
+    return bodies.select("request_id", decode(F.struct("request_id", "content")).alias("_body")).select(
         "request_id", "_body.payload", "_body.too_large")
 
 
@@ -161,14 +172,28 @@ def _decoded(name: str, body: bytes, most: int) -> tuple[str | None, bool]:
     if name.endswith(".gz"):
         stream = gzip.GzipFile(fileobj=stream)
     elif name.endswith(".zst"):
-        stream = zstandard.ZstdDecompressor().stream_reader(stream)
+        stream = zstandard.ZstdDecompressor().stream_reader(stream, read_across_frames=True)
     try:
         content = stream.read(most + 1)
-    except (OSError, EOFError, zstandard.ZstdError):
+        if len(content) <= most and name.endswith(".zst"):
+            _check_frames(body)
+    except (OSError, EOFError, zlib.error, zstandard.ZstdError):
         return None, False
     return (None, True) if len(content) > most else (content.decode("utf-8", "replace"), False)
 
 
+def _check_frames(body: bytes) -> None:
+    """Raises EOFError if a zstd body ends inside a frame: its stream reader would give out what is there as if it were all."""
+    import zstandard
+
+    while body:
+        frame = zstandard.ZstdDecompressor().decompressobj()
+        frame.decompress(body)
+        if not frame.eof:
+            raise EOFError("zstd frame not finished")
+        body = frame.unused_data
+
+
 def read_unpacked_batches(df: DataFrame, events: str = "events", keep: tuple[str, ...] = ("batch_id",)) -> DataFrame:
     """Events of ``(batch_id, events ARRAY<STRUCT<raw_json>>)``; null and empty ones are skipped."""
     rows = df.select(*keep, F.posexplode(events).alias("index", "event"))
