@@ -596,12 +596,23 @@ def dedupe_by_user(spark, sf_dir):
        + fold_sql("tenants", "tenant", "INTERVAL 72 HOUR") + """
 SELECT eid, copy, duplicate FROM walk""")
 def dedupe_hot(spark, sf_dir):
-    """Three keys that hold everything, judged in rounds instead of arrays."""
+    """Three keys that hold everything, cut into chunks."""
     rows = objects(spark, sf_dir).select(*ROW, "ts", string_at(F.col("doc"), "tenant.id").alias("tenant"))
-    judged = dedupe_window(rows, "tenant", "ts", ROW, timedelta(hours=72), hot_key_times=100)
+    judged = dedupe_window(rows, "tenant", "ts", ROW, timedelta(hours=72), chunk_times=100)
     return judged.select(*ROW, "duplicate")
 
 
+@query("dedupe_minute", _DEDUPE_SQL
+       + "mixed AS (SELECT *, CASE WHEN eid % 3 = 0 THEN 'hot' ELSE raw ->> '$.user.id' END AS k FROM objects),\n"
+       + fold_sql("mixed", "k", "INTERVAL 1 MINUTE") + """
+SELECT eid, copy, duplicate FROM walk""")
+def dedupe_minute(spark, sf_dir):
+    """A window of a minute, and one key that holds a third of all rows: as many windows as rows."""
+    rows = objects(spark, sf_dir).select(*ROW, "ts", F.when(F.col("eid") % 3 == 0, "hot").otherwise(
+        string_at(F.col("doc"), "user.id")).alias("k"))
+    return dedupe_window(rows, "k", "ts", ROW, timedelta(minutes=1), chunk_times=200).select(*ROW, "duplicate")
+
+
 @query("full_pipeline", "WITH RECURSIVE " + CODES_SQL + """,
 judged AS (
   SELECT eid, copy, ts, code,

@@ -2,8 +2,10 @@
 
 import gzip
 import json
+import random
 from datetime import datetime, timedelta, timezone
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ from eventloom.functions.crypto import decrypt_column, encrypt_column
 from eventloom.functions.paths import extract_tenant
 from eventloom.operators import registry as reg
 from eventloom.operators.dead_letters import dlq_delete, dlq_records, dlq_show
-from eventloom.operators.dedupe import dedupe_window
+from eventloom.operators.dedupe import dedupe_window, transfer
 from eventloom.operators.delivery import evaluate_delivery, retry_waits
 from eventloom.operators.governance import govern, parse_events
 from eventloom.operators.joins import lookup_join
@@ -43,15 +45,44 @@ def brute_force(rows, window):
     return out
 
 
-@pytest.mark.parametrize("hot", [2, 1000])
-def test_dedupe_rule(spark, hot):
+@pytest.mark.parametrize("chunk", [1, 5, 1000])
+def test_dedupe_rule(spark, chunk):
     rows = [("a", h, i) for i, h in enumerate((0, 20, 30, 30, 54, 55, 200))]
     rows += [("b", 5 * i % 97, 100 + i) for i in range(60)] + [(None, 0, 900), (" ", 0, 901), (" ", 1, 902), ("c", 7, 903)]
     df = spark.createDataFrame([(k, START + timedelta(hours=h), n) for k, h, n in rows], "k string, ts timestamp, n int")
-    got = dedupe_window(df, "k", "ts", ("n",), timedelta(hours=24), hot_key_times=hot)
+    got = dedupe_window(df, "k", "ts", ("n",), timedelta(hours=24), chunk_times=chunk)
     assert {r.n: r.duplicate for r in got.collect()} == brute_force(rows, 24)
 
 
+def test_dedupe_without_times_and_with_ties(spark):
+    rows = [("a", START, 3), ("a", START, 1), ("a", START, 1), ("a", None, 0), ("a", None, 0), ("a", START + timedelta(hours=25), 5)]
+    got = dedupe_window(spark.createDataFrame(rows, "k string, ts timestamp, n int"), "k", "ts", ("n",), timedelta(hours=24))
+    assert sorted((r.n, r.ts is None, r.duplicate) for r in got.collect()) == [
+        (0, True, False), (0, True, False), (1, False, False), (1, False, False), (3, False, True), (5, False, False)]
+
+
+def test_transfers_compose():
+    rng = random.Random(6)
+    for _ in range(300):
+        window = rng.choice([0, 1, 5, 40])
+        times = sorted(rng.sample(range(400), rng.randint(1, 120)))
+        kept, last = [], None
+        for t in times:
+            if last is None or t - last > window:
+                last = t
+            kept.append(last)
+        cuts = sorted(rng.sample(range(len(times) + 1), min(len(times), 4)))
+        state = None
+        for first, end in zip([0, *cuts], [*cuts, len(times)]):
+            if first == end:
+                continue
+            limits, exits = transfer(np.array(times[first:end]), window)
+            place = 0 if state is None else int(np.searchsorted(limits, state, side="right"))
+            state = int(exits[place]) if place < len(limits) else state
+            assert state == kept[end - 1]
+            assert (np.diff(exits) != 0).all() and (np.diff(limits) > 0).all()
+
+
 def test_lookup_join_beyond_the_broadcast_bound(spark):
     left = spark.createDataFrame([("k" if i % 3 else f"v{i}", i) for i in range(300)], "key string, n int")
     small = spark.createDataFrame([("k", 1), ("v0", 2), ("z", 3)], "key string, x int")
