@@ -1,18 +1,18 @@
-"""Deletion and retention on a parquet table partitioned by ``date`` and ``hour``."""
+"""Which rows deletion and retention are about; ``rewrite`` applies them to a stored table."""
 
 from __future__ import annotations
 
 import math
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from eventloom.functions.jsontext import strict_json, unquote
 from eventloom.functions.paths import string_at
 from eventloom.operators.joins import lookup_join
 from eventloom.operators.nodes import is_text, json_nodes
 from eventloom.operators.settle import settle
-from eventloom.session import scratch_path, staged
+from eventloom.session import staged
 
 _HOUR_US = 3_600_000_000
 _NO_TIME = 2**62
@@ -59,38 +59,6 @@ def deletion_report(kind: str, deleted: Column, reason: str = "") -> list[Column
     ]
 
 
-def rewrite_without(spark: SparkSession, path: str, doomed: Column, kind: str, reason: str = "",
-                    audit_path: str | None = None) -> int:
-    """Deletes the rows of a partitioned parquet table that satisfy ``doomed``; returns how many.
-
-    Only partitions that hold such rows are read in full and written again.  The kept rows are
-    written aside first, so an executor or driver lost half-way leaves the table readable, and the
-    job can simply be run again.
-    """
-    table = spark.read.parquet(path)
-    parts = ["date", "hour"]
-    hits = table.where(doomed).groupBy(*parts).agg(F.count("*").alias("n")).collect()
-    deleted = sum(row["n"] for row in hits)
-    if hits:
-        touched = [(row["date"], row["hour"]) for row in hits]
-        dates = F.col("date").isin(*{d for d, _ in touched})
-        exact = F.concat_ws("/", *parts).isin(*(f"{d}/{h}" for d, h in touched))
-        staged = scratch_path(spark, "rewrite")
-        kept = table.where(dates & exact & ~F.coalesce(doomed, F.lit(False)))
-        kept.write.partitionBy(*parts).parquet(staged)
-        rest = spark.read.schema(table.schema).parquet(staged)
-        filled = {(r["date"], r["hour"]) for r in rest.select(*parts).distinct().collect()}
-        rest.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path)
-        # A partition that lost every row is not part of the overwrite: it gets an empty file.
-        empty = table.drop(*parts).limit(0)
-        for date, hour in set(touched) - filled:
-            empty.write.mode("overwrite").parquet(f"{path}/date={date}/hour={hour}")
-    if audit_path:
-        report = spark.range(1).select(*deletion_report(kind, F.lit(deleted), reason))
-        report.write.mode("append").parquet(audit_path)
-    return deleted
-
-
 def older_than(at: str, now: datetime, days: int) -> Column:
     """Rows with a time before the cut-off; rows without a time stay."""
     cutoff = F.lit(now - timedelta(days=days))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime, timezone
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -11,11 +11,14 @@ from eventloom.operators.lifecycle import (
     delete_rows, event_rows, older_than, retain_by_age, retain_by_size, tenant_of, tenant_rows, user_rows,
 )
 from eventloom.operators.projection import typed_projection
+from eventloom.operators.rewrite import file_summaries, retain_age_table, retain_size_table, rewrite_without
 from eventloom.operators.search import run_query, search_count
 from eventloom.plans.catalog import query
 from eventloom.plans.queries_events import ROW, objects
 from eventloom.plans.wide_events import OBJECTS_SQL, WIDE_SQL, wide_events
+from eventloom.session import scratch_path, staged
 from eventloom.sinks.layout import archive_key, with_layout
+from eventloom.sinks.tables import write_events_table
 
 _NOW = datetime(2024, 1, 31, tzinfo=timezone.utc)
 
@@ -80,6 +83,57 @@ def delete_event(spark, sf_dir):
     return kept.agg(F.count("*").alias("kept"), F.count_if(F.col("event_id") == "evt_12").alias("left_over"))
 
 
+def stored_table(spark, sf_dir, name: str) -> str:
+    """The stored table, written by the hour of its events below the shared folder."""
+    path = scratch_path(spark, name)
+    # Dealt out by day, so that an hour is one file.
+    write_events_table(stored(spark, sf_dir).repartition(F.to_date("ts")), path, written=F.col("ts"))
+    return path
+
+
+@query("rewrite_tenant", f"""WITH {_STORED_SQL}
+SELECT eid, copy, tenant_id, (SELECT count(*) FROM stored WHERE tenant_id = 't1') AS deleted FROM stored
+WHERE tenant_id IS DISTINCT FROM 't1'""")
+def rewrite_tenant(spark, sf_dir):
+    """Deletion by tenant on a stored table, read back with the count of the audit line."""
+    path, audit = stored_table(spark, sf_dir, "by-tenant"), scratch_path(spark, "audit")
+    rewrite_without(spark, path, tenant_rows("t1"), "by_tenant", "request", audit)
+    deleted = spark.read.parquet(audit).where("type = 'by_tenant'").select(F.col("deleted").cast("long").alias("deleted"))
+    return spark.read.parquet(path).select(*ROW, "tenant_id").crossJoin(F.broadcast(deleted))
+
+
+@query("rewrite_user", f"""WITH {_STORED_SQL}
+SELECT eid, copy, md5(raw) AS digest, strftime(ts, '%Y-%m-%d %H') AS hour FROM stored
+WHERE user_id IS DISTINCT FROM 'u-7' AND (raw ->> '$.context.user_id') IS DISTINCT FROM 'u-7'""")
+def rewrite_user(spark, sf_dir):
+    """Deletion by user, by column or by a member of the event, on a stored table; kept rows stay in their hour as they were."""
+    path = stored_table(spark, sf_dir, "by-user")
+    doomed = staged(user_rows(spark.read.parquet(path), "u-7", ROW), "doomed")
+    rewrite_without(spark, path, doomed, "by_user")
+    return spark.read.parquet(path).select(*ROW, F.md5("raw").alias("digest"), F.concat_ws(" ", "date", "hour").alias("hour"))
+
+
+@query("retain_age_table", f"""WITH {_STORED_SQL}
+SELECT eid, copy FROM stored WHERE ts IS NULL OR ts >= TIMESTAMP '2024-01-20 12:30:00'""")
+def retention_by_age(spark, sf_dir):
+    """Retention by age on a stored table: whole hours unread, the hour on the edge rewritten."""
+    path = stored_table(spark, sf_dir, "by-age")
+    retain_age_table(spark, path, "ts", _NOW + timedelta(hours=12, minutes=30), 11)
+    return spark.read.parquet(path).select(*ROW)
+
+
+@query("retain_size_table", f"""WITH {_STORED_SQL}, sized AS (
+  SELECT *, row_number() OVER (ORDER BY ts) AS age_rank, sum(strlen(raw)) OVER () AS total, avg(strlen(raw)) OVER () AS mean
+  FROM stored)
+SELECT eid, copy FROM sized WHERE age_rank > ceil((total - total // 3) / mean)""")
+def retention_by_size(spark, sf_dir):
+    """Retention by size on a stored table, from the summaries of its files."""
+    path = stored_table(spark, sf_dir, "by-size")
+    limit = file_summaries(spark, path).agg(F.sum("bytes")).first()[0] // 3
+    retain_size_table(spark, path, "ts", ("eid", "copy"), limit)
+    return spark.read.parquet(path).select(*ROW)
+
+
 @query("retain_age", f"""WITH {_STORED_SQL}
 SELECT eid, copy FROM stored WHERE ts IS NULL OR ts >= TIMESTAMP '2024-01-21 00:00:00'""")
 def retain_age(spark, sf_dir):

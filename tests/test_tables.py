@@ -18,7 +18,9 @@ from eventloom.operators.dedupe import dedupe_window, transfer
 from eventloom.operators.delivery import evaluate_delivery, retry_waits
 from eventloom.operators.governance import govern, parse_events
 from eventloom.operators.joins import lookup_join
-from eventloom.operators.lifecycle import older_than, retain_by_size, rewrite_without, user_rows
+from eventloom.operators import rewrite
+from eventloom.operators.lifecycle import older_than, retain_by_size, user_rows
+from eventloom.operators.rewrite import finish_rewrites, retain_age_table, retain_size_table, rewrite_without
 from eventloom.operators.projection import parse_level, project_encoded, typed_projection
 from eventloom.operators.redaction import pii_audit
 from eventloom.operators.responses import acks, batch_response
@@ -250,6 +252,93 @@ def test_rewrite_and_retention(spark, tmp_path):
     assert [(r.type, r.deleted, r.reason) for r in spark.read.parquet(audit).collect()] == [("by_tenant", 80, "request")]
 
 
+def test_rewrite_by_keys_and_to_the_last_row(spark, tmp_path):
+    path = str(tmp_path / "t")
+    stored(spark, path)
+    before = set(spark.read.parquet(path).inputFiles())
+    keys = spark.createDataFrame([("evt3", "t0"), ("evt4", "t0"), ("evt5", "t2"), ("evt5", "t2"), (None, "t1")], "event_id string, tenant_id string")
+    assert rewrite_without(spark, path, keys, "by_key") == 2
+    left = spark.read.parquet(path)
+    assert left.where(F.col("event_id").isin("evt3", "evt5")).isEmpty() and left.count() == 238
+    # Files without a doomed row are the same as before.
+    assert len(before - set(left.inputFiles())) == 2
+    assert rewrite_without(spark, path, F.lit(True), "all") == 238
+    assert spark.read.parquet(path).count() == 0 and spark.read.parquet(path).columns == left.columns
+    assert rewrite_without(spark, path, F.lit(True), "all") == 0
+
+
+@pytest.mark.parametrize("step", ["move", "delete", "plan"])
+def test_a_lost_job_is_completed(spark, tmp_path, monkeypatch, step):
+    path, audit = str(tmp_path / "t"), str(tmp_path / "audit")
+    rows = spark.range(240).select(F.concat(F.lit("evt"), "id").alias("event_id"),
+                                   F.timestamp_seconds(F.lit(int(START.timestamp())) + F.col("id") * 360).alias("timestamp"))
+    for _ in range(2):
+        tables.write_events_table(rows.coalesce(1), path, written=F.col("timestamp"))
+    steps = []
+
+    def lost(real):
+        def call(self, *names):
+            steps.append(names)
+            # The first move puts the plan in place.
+            if len(steps) > {"move": 5, "delete": 4, "plan": 0}[step]:
+                raise KeyboardInterrupt
+            return real(self, *names)
+        return call
+
+    name = "delete" if step == "delete" else "move"
+    with monkeypatch.context() as patch:
+        patch.setattr(rewrite.Files, name, lost(getattr(rewrite.Files, name)))
+        with pytest.raises(KeyboardInterrupt):
+            rewrite_without(spark, path, F.col("event_id").isin(*(f"evt{n}" for n in range(0, 240, 3))), "by_tenant", "", audit)
+    readable = {r[0] for r in spark.read.parquet(path).select("event_id").collect()}
+    assert {f"evt{n}" for n in range(240) if n % 3} <= readable
+    decided = step != "plan"
+    assert len(finish_rewrites(spark, path)) == decided
+    rows = [r[0] for r in spark.read.parquet(path).select("event_id").collect()]
+    want = [f"evt{n}" for n in range(240) if n % 3 or not decided] * 2
+    assert sorted(rows) == sorted(want)
+    assert finish_rewrites(spark, path) == []
+    if decided:
+        assert [r.deleted for r in spark.read.parquet(audit).collect()] == [160]
+
+
+def test_retention_reads_only_the_hour_on_the_edge(spark, tmp_path):
+    path, audit = str(tmp_path / "t"), str(tmp_path / "audit")
+    stored(spark, path)
+    rewrite.file_summaries(spark, path).count()
+
+    def spoil(*hours):
+        for hour in hours:
+            at = START + timedelta(hours=hour)
+            for file in (tmp_path / "t" / f"date={at:%Y-%m-%d}" / f"hour={at:%H}").glob("*.parquet"):
+                file.write_bytes(b"not to be read")
+                (file.parent / f".{file.name}.crc").unlink(missing_ok=True)
+
+    # Neither expired files nor later ones are opened; Spark takes the schema from one of the others.
+    spoil(7, 40, 119, 150)
+    now = START + timedelta(days=10, minutes=30)
+    assert retain_age_table(spark, path, "timestamp", now, 5, audit) == 121
+    assert len(spark.read.parquet(path).inputFiles()) in (119, 120)
+    spoil(170, 239)
+    sizes = rewrite.file_summaries(spark, path).agg(F.sum("bytes"), F.sum("rows")).first()
+    assert sizes[1] == 119
+    assert retain_size_table(spark, path, "timestamp", ("event_id",), sizes[0] // 119 * 20, audit) >= 98
+    assert retain_size_table(spark, path, "timestamp", ("event_id",), sizes[0]) == 0
+    assert sorted((r.type, r.reason) for r in spark.read.parquet(audit).collect()) == [("by_age", "retention"), ("by_size", "retention")]
+
+
+def test_retention_by_size_cuts_inside_an_hour(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = spark.range(300).select(F.concat(F.lit("e"), "id").alias("event_id"), F.lit("x" * 10).alias("raw"),
+                                   F.timestamp_seconds(F.lit(int(START.timestamp())) + F.floor(F.col("id") / 3) * 60).alias("timestamp"))
+    tables.write_events_table(rows, path, written=F.col("timestamp"))
+    assert retain_size_table(spark, path, "timestamp", ("event_id",), 1000) == 200
+    left = spark.read.parquet(path)
+    assert left.count() == 100 and left.where("timestamp < timestamp'2024-01-01 01:06:00'").count() == 0
+    assert retain_size_table(spark, path, "timestamp", ("event_id",), 1000) == 0
+    assert retain_size_table(spark, path, "timestamp", ("event_id",), 15) == 99
+
+
 def test_retention_by_size_with_equal_times(spark):
     rows = spark.range(1000).select("id", F.timestamp_seconds(F.when(F.col("id") < 900, 0).otherwise(F.col("id"))).alias("ts"),
                                     F.lit("x" * 10).alias("raw"))
