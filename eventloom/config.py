@@ -153,6 +153,9 @@ class RetryRules:
 
 @dataclass(frozen=True)
 class Settings:
+    """``validate_objects`` off lets events pass that are no JSON object; ``privacy.mode`` then says what becomes of them."""
+
+    validate_objects: bool = True
     requests: RequestLimits = field(default_factory=RequestLimits)
     limits: Limits = field(default_factory=Limits)
     contract: Contract = field(default_factory=Contract)

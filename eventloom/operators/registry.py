@@ -17,6 +17,7 @@ from eventloom.session import cut_lineage, scratch_path
 REGISTRY_SCHEMA = "schema_version string, event_version string, required_fields array<string>"
 _STRICT_MODES = ("reject", "enforce", "quarantine")
 _VERSIONS = ["schema_version", "event_version"]
+BROADCAST_ENTRIES = 10_000
 
 
 def registry_table(spark: SparkSession, entries: Iterable[RegistryEntry]) -> DataFrame:
@@ -62,10 +63,15 @@ def check_required_fields(df: DataFrame, registry: DataFrame, rules: SchemaRules
     The first required name that is not a top-level key counts; a null value is present.
     """
     versions = with_versions(df, rules)
-    # Cut, because a stream takes no row numbers into its plan, not even on the side of the registry.
-    known = cut_lineage(first_entries(registry)).withColumn("_known", F.lit(True))
-    has_entries = not registry.isEmpty()
-    joined = lookup_join(versions, known, _VERSIONS)
+    entries = first_entries(registry)
+    # One job: a registry is a configuration, so its entries nearly always fit the plan itself.
+    listed = entries.limit(BROADCAST_ENTRIES + 1).collect()
+    has_entries = bool(listed)
+    if len(listed) <= BROADCAST_ENTRIES:
+        known = df.sparkSession.createDataFrame(listed, entries.schema).withColumn("_known", F.lit(True))
+        joined = versions.join(F.broadcast(known), _VERSIONS, "left")
+    else:
+        joined = lookup_join(versions, cut_lineage(entries).withColumn("_known", F.lit(True)), _VERSIONS)
     missing = F.when(F.col("_known"), F.get(F.array_except(
         "required_fields", F.array_union(F.json_object_keys("raw"), _defaulted(rules))), F.lit(0)))
     error = F.when(missing.isNotNull(), F.concat(
@@ -142,9 +148,14 @@ def published_entries(entries: DataFrame) -> DataFrame:
 
 
 def first_entries(entries: DataFrame) -> DataFrame:
-    """One entry per version pair, the first; a repeated one would multiply the events it matches."""
-    numbered = entries.withColumn("_place", F.monotonically_increasing_id())
-    return numbered.groupBy(*_VERSIONS).agg(F.min_by("required_fields", "_place").alias("required_fields"))
+    """One entry per version pair; a repeated one would multiply the events it matches.
+
+    A column ``place`` says which comes first.  Without one, rows have no order that a repartition would keep, so the entry with the
+    least list of fields counts.
+    """
+    fields = F.col("required_fields")
+    first = F.min_by(fields, F.struct("place", "required_fields")) if "place" in entries.columns else F.min(fields)
+    return entries.groupBy(*_VERSIONS).agg(first.alias("required_fields"))
 
 
 def save_registry(registry: DataFrame, path: str, passphrase: str = "") -> None:
@@ -159,9 +170,12 @@ def save_registry(registry: DataFrame, path: str, passphrase: str = "") -> None:
 
 
 def load_registry(spark: SparkSession, path: str, passphrase: str = "") -> DataFrame:
+    """The saved entries; of entries for the same versions, the first line counts."""
     line = decrypt_column(F.col("value"), passphrase)
     entry = F.from_json(line, REGISTRY_SCHEMA)
-    return spark.read.text(path).select(entry.alias("entry")).select("entry.*")
+    # Lines are numbered as they are read: by file, then by place in the file.
+    place = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    return first_entries(spark.read.text(path).select(entry.alias("entry"), place.alias("place")).select("entry.*", "place"))
 
 
 REGISTRY_COLUMNS = (*_VERSIONS, "required_fields")

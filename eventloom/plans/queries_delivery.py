@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from eventloom.config import DeliveryRules, RetryRules
 from eventloom.functions.paths import string_at
-from eventloom.operators.delivery import evaluate_delivery, retry_schedule
+from eventloom.operators.delivery import evaluate_delivery
 from eventloom.operators.governance import govern
 from eventloom.operators.metrics import backlog_bytes, outcome_counters, outcome_rates
 from eventloom.operators.projection import canonical_event
@@ -76,17 +76,6 @@ def fallback_dlq(spark, sf_dir):
         "event_key", "policy", "fallback_attempted", "dead_letter", "first_error", "failure_count")
 
 
-@query("retry_waits", """
-SELECT event_id AS event_key, CAST(coalesce(list_sum(list_transform(range(0, least(event_id % 12, 9)),
-  lambda i: least(100 * pow(2, i), 5000))), 0) AS BIGINT) AS waited_ms FROM events""")
-def retry_wait(spark, sf_dir):
-    """Time an event spends between attempts: doubling waits with a cap."""
-    rules = RetryRules(max_attempts=10, initial_backoff=0.1, max_backoff=5.0)
-    rows = read_table(spark, sf_dir, "events")
-    return rows.select(F.col("event_id").alias("event_key"),
-                       retry_schedule(F.pmod("event_id", F.lit(12)), rules).alias("waited_ms"))
-
-
 def _acked(spark, sf_dir) -> DataFrame:
     """Acknowledged events: refused by governance, or rejected where the primary sink failed."""
     failed = F.when(F.pmod("eid", F.lit(7)) == 0, F.lit("primary down"))

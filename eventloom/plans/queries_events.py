@@ -19,7 +19,7 @@ from eventloom.operators import registry as reg
 from eventloom.operators.dedupe import dedupe_window
 from eventloom.operators.nodes import is_text, json_nodes
 from eventloom.plans.catalog import query
-from eventloom.plans.pipeline import run_batch
+from eventloom.plans.pipeline import process_events, run_batch
 from eventloom.plans.wide_events import CODES_SQL, NODES_SQL, OBJECTS_SQL, WIDE_SQL, read_table, wide_events
 from eventloom.session import staged
 
@@ -395,6 +395,24 @@ def redact_exact(spark, sf_dir):
     return red.redact_processor(parsed, Privacy(allowlist=_EXACT_KEEP)).select("eid", "raw")
 
 
+@query("privacy_modes", f"""WITH {CODES_SQL}
+SELECT mode, eid, copy, CASE WHEN code <> 'expected_json_object' THEN code
+  WHEN code IS NOT NULL AND mode = 'enforce' THEN 'privacy_redaction_failed' END AS code,
+  code IS NULL AND json_exists(CASE WHEN code = 'expected_json_object' THEN '{{}}' ELSE raw END, '$.note') AS has_note
+FROM codes, (VALUES ('warn'), ('enforce')) modes(mode)""")
+def privacy_modes(spark, sf_dir):
+    """Events that cannot be redacted: kept as they are with a warning, or refused."""
+    registry = reg.registry_table(spark, DEFAULT_REGISTRY)
+
+    def run(mode: str) -> DataFrame:
+        settings = Settings(validate_objects=False, privacy=Privacy(mode=mode))
+        rows = process_events(wide_events(spark, sf_dir), settings, registry)
+        masked = F.try_variant_get("doc", "$.note", "string") == sensitive.MASK
+        return rows.select(F.lit(mode).alias("mode"), *ROW, "code", F.coalesce(masked, F.lit(False)).alias("has_note"))
+
+    return run("warn").unionByName(run("enforce"))
+
+
 _PLACES = ("user.*", "items.token", "auth.api-key", "TENANT")
 
 

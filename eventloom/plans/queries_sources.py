@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from eventloom.config import Limits, RequestLimits, Settings
@@ -13,7 +14,7 @@ from eventloom.plans.catalog import query
 from eventloom.plans.wide_events import CODES_SQL, WIDE_SQL, read_table, wide_events
 from eventloom.sources.backlog import dlq_rows, split_backlog
 from eventloom.sources.otlp import OtlpSettings, flatten_otlp_logs
-from eventloom.sources.payloads import explode_payloads, read_unpacked_batches, request_guards, split_ndjson
+from eventloom.sources.payloads import decode_bodies, explode_payloads, read_unpacked_batches, request_guards, split_ndjson
 
 REQUEST_EVENTS = 50
 
@@ -81,11 +82,49 @@ def payload_explode(spark, sf_dir):
 
 
 @query("ndjson_split", f"""WITH {WIDE_SQL}, {_REQUESTS_SQL}
-SELECT request_id, CAST(count(*) AS INTEGER) AS lines FROM items WHERE request_id % 40 <> 8 AND request_id % 3 = 2 GROUP BY 1""")
+SELECT request_id, CASE WHEN request_id % 40 = 8 THEN 0 WHEN request_id % 3 = 2 THEN CAST(n AS INTEGER) ELSE 1 END AS lines FROM bodies""")
 def ndjson_split(spark, sf_dir):
-    """Lines per body, of the bodies that are NDJSON."""
-    rows = requests(spark, sf_dir).where(F.pmod("request_id", F.lit(3)) == 2)
-    return rows.select("request_id", F.size(split_ndjson(F.col("payload"))).alias("lines")).where("lines > 0")
+    """Lines per body; one that is no NDJSON is a single line, a blank one has none."""
+    return requests(spark, sf_dir).select("request_id", F.size(split_ndjson(F.col("payload"))).alias("lines"))
+
+
+_KINDS = ("plain.json", "one.gz", "one.zst", "two.gz", "two.zst", "cut.gz", "cut.zst", "junk.zst")
+
+
+@query("payload_files", f"""WITH {WIDE_SQL}, {_REQUESTS_SQL}, encoded AS (
+  SELECT request_id, payload, {list(_KINDS)}[request_id % {len(_KINDS)} + 1] AS kind, strlen(payload) > 60000 AS big FROM bodies
+)
+SELECT request_id || '-' || kind AS request_id, kind NOT LIKE 'cut%' AND kind NOT LIKE 'junk%' AND big AS too_large,
+  CASE WHEN kind NOT LIKE 'cut%' AND kind NOT LIKE 'junk%' AND NOT big THEN md5(payload) END AS digest
+FROM encoded""")
+def payload_files(spark, sf_dir):
+    """Bodies in gzip and zstd, of one or two members or frames; cut off and damaged ones give nothing, over-long ones are told."""
+
+    @F.pandas_udf("binary")
+    def encode(payloads: pd.Series, kinds: pd.Series) -> pd.Series:
+        return pd.Series([encoded(text.encode(), kind) for text, kind in zip(payloads, kinds)])
+
+    def encoded(body: bytes, kind: str) -> bytes:
+        import gzip
+
+        import zstandard
+
+        pack = gzip.compress if kind.endswith(".gz") else zstandard.ZstdCompressor().compress
+        how = kind.split(".")[0]
+        if how == "plain":
+            return body
+        if how == "two":
+            return pack(body[:len(body) // 3]) + pack(body[len(body) // 3:])
+        if how in ("cut", "junk"):
+            # Short of the size limit; a cut body ends inside its frame, though all of the text may have come out by then.
+            return pack(body[:9000])[:-3] if how == "cut" else pack(body[:9000]) + b"\x01\x02"
+        return pack(body)
+
+    rows = requests(spark, sf_dir).withColumn("kind", F.get(
+        F.array(*map(F.lit, _KINDS)), F.pmod("request_id", F.lit(len(_KINDS))).cast("int")))
+    bodies = rows.select(F.concat_ws("-", "request_id", "kind").alias("request_id"), encode("payload", "kind").alias("content"))
+    return decode_bodies(bodies, RequestLimits(max_body_bytes=60_000)).select(
+        "request_id", "too_large", F.md5("payload").alias("digest"))
 
 
 _TIGHT = RequestLimits(max_body_bytes=62_000, max_events=55)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 from datetime import timedelta
 
@@ -19,7 +20,7 @@ from eventloom.plans.queries_events import _DEDUPE_SQL, ROW, fold_sql
 from eventloom.plans.wide_events import CODES_SQL, read_table, wide_events, widen
 from eventloom.session import scratch_path
 from eventloom.streaming.dedupe import dedupe_stream
-from eventloom.streaming.delivery import Sink, parquet_sink
+from eventloom.streaming.delivery import Sink, fanout_writer, parquet_sink, read_ledger
 from eventloom.streaming.jobs import delivery_stream
 
 
@@ -118,6 +119,43 @@ def stream_delivery(spark, sf_dir):
     return parts[0].unionByName(parts[1])
 
 
+@query("retry_ledger", """
+WITH placed AS (
+  SELECT event_id, floor((epoch_us(ts) - epoch_us(min(ts) OVER ())) * 3 / (epoch_us(max(ts) OVER ()) - epoch_us(min(ts) OVER ()) + 1))::BIGINT AS batch
+  FROM events)
+SELECT event_id AS eid, batch, sink, CASE sink WHEN 'primary' THEN 1 ELSE batch + 1 END AS attempts,
+  CASE sink WHEN 'primary' THEN 0 ELSE [0, 10, 30][batch + 1] END AS waited_ms, true AS delivered
+FROM placed, (VALUES ('primary'), ('s1')) sinks(sink)""")
+def retry_ledger(spark, sf_dir):
+    """Attempts and waits of every event as the ledger of a stream has them; the second sink fails once more in each batch."""
+    base, calls = scratch_path(spark, "retried"), Counter()
+    keep = parquet_sink(f"{base}/s1")
+
+    def flaky(batch: DataFrame, batch_id: int) -> None:
+        calls[batch_id] += 1
+        if calls[batch_id] <= batch_id:
+            raise OSError("not yet")
+        keep(batch, batch_id)
+
+    sinks = (Sink("primary", "primary", parquet_sink(f"{base}/primary")), Sink("s1", "secondary", flaky))
+    write = fanout_writer(sinks, DeliveryRules(policy="require_all"), RetryRules(initial_backoff=0.01, jitter=False),
+                          ledger_path=f"{base}/ledger")
+
+    def run(arriving: DataFrame) -> None:
+        arriving.writeStream.foreachBatch(write).option("checkpointLocation", f"{base}/log").trigger(
+            availableNow=True).start().awaitTermination()
+
+    rows = read_table(spark, sf_dir, "events").select(F.col("event_id").alias("eid"), F.col("ts").cast("timestamp").alias("ts"))
+    in_parts(rows, "ts", run)
+    tried = read_ledger(spark, f"{base}/ledger").groupBy("batch", "sink").agg(
+        F.count("*").alias("attempts"), F.round(F.sum("waited") * 1000).cast("long").alias("waited_ms"), F.bool_or("ok").alias("delivered"))
+    shape = "eid bigint, ts timestamp, batch_id string"
+    written = [spark.read.schema(shape).parquet(f"{base}/{sink}").select(
+        "eid", F.col("batch_id").cast("long").alias("batch"), F.lit(sink).alias("sink")) for sink in ("primary", "s1")]
+    return written[0].unionByName(written[1]).join(tried, ["batch", "sink"]).select(
+        "eid", "batch", "sink", "attempts", "waited_ms", "delivered")
+
+
 @query("stream_pipeline", "WITH RECURSIVE " + CODES_SQL + """,
 judged AS (
   SELECT eid, copy, ts,
