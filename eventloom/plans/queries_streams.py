@@ -9,19 +9,21 @@ from datetime import timedelta
 from pyspark.sql import DataFrame, functions as F
 
 from eventloom.config import (
-    DEFAULT_REGISTRY, DedupeRules, DeliveryRules, RetryRules, SchemaRules, Settings,
+    DEFAULT_REGISTRY, DedupeRules, DeliveryRules, Limits, Privacy, RetryRules, SchemaRules, Settings,
 )
 from eventloom.functions.paths import string_at
-from eventloom.operators.governance import parse_events
+from eventloom.operators.dead_letters import dlq_records
+from eventloom.operators.governance import govern, parse_events
 from eventloom.operators.metrics import outcome_rates
 from eventloom.operators.registry import registry_table
 from eventloom.plans.catalog import query
 from eventloom.plans.queries_events import _DEDUPE_SQL, ROW, fold_sql
-from eventloom.plans.wide_events import CODES_SQL, read_table, wide_events, widen
+from eventloom.plans.wide_events import CODES_SQL, WIDE_SQL, read_table, wide_events, widen
 from eventloom.session import scratch_path
+from eventloom.sources.backlog import consume_backlog, dlq_rows
 from eventloom.streaming.dedupe import dedupe_stream
 from eventloom.streaming.delivery import Sink, fanout_writer, parquet_sink, read_ledger
-from eventloom.streaming.jobs import delivery_stream
+from eventloom.streaming.jobs import delivery_stream, read_backlog, redeliver
 
 
 def event_stream(spark, sf_dir) -> DataFrame:
@@ -78,8 +80,6 @@ SELECT date_trunc('hour', ts) AS window_start, CASE WHEN code IS NULL THEN 'acce
 WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM codes) GROUP BY 1, 2""")
 def stream_rates(spark, sf_dir):
     """Hourly counts of a stream: every window that the watermark has closed."""
-    from eventloom.operators.governance import govern
-
     events = govern(event_stream(spark, sf_dir))
     status = F.when(F.col("code").isNull(), "accepted").otherwise("invalid")
     rated = outcome_rates(events.select("ts", status.alias("status")), width="1 hour", late="0 seconds")
@@ -156,6 +156,54 @@ def retry_ledger(spark, sf_dir):
         "eid", "batch", "sink", "attempts", "waited_ms", "delivered")
 
 
+@query("backlog_twice", f"""WITH {WIDE_SQL}, lines AS (SELECT raw, json_valid(raw) AS good FROM wide)
+SELECT consumer, kind, count(*) AS lines, CAST(sum(strlen(raw)) AS BIGINT) AS bytes
+FROM lines, (VALUES ('sinks'), ('queue')) c(consumer), (VALUES ('event'), ('bad')) k(kind)
+WHERE (kind = 'event' AND good) OR (kind = 'bad' AND NOT good AND consumer = 'sinks') GROUP BY 1, 2""")
+def backlog_twice(spark, sf_dir):
+    """Two consumers of one backlog, each run twice and once more after a second part arrived: every line once for each."""
+    base = scratch_path(spark, "backlog")
+
+    def consume(consumer: str, bad_path: str | None) -> None:
+        keep = parquet_sink(f"{base}/{consumer}")
+        consume_backlog(read_backlog(spark, f"{base}/lines", 3), f"{base}/{consumer}-position", keep, bad_path).trigger(
+            availableNow=True).start().awaitTermination()
+
+    rows = wide_events(spark, sf_dir)
+    for part in range(2):
+        rows.where(F.pmod("eid", F.lit(2)) == part).select("raw").write.text(f"{base}/lines/part={part}")
+        for _ in range(2):
+            consume("sinks", f"{base}/bad")
+        if part:
+            consume("queue", None)
+    shape = "raw string"
+    parts = [spark.read.schema(shape).parquet(f"{base}/{c}").select(F.lit(c).alias("consumer"), F.lit("event").alias("kind"), "raw")
+             for c in ("sinks", "queue")]
+    parts.append(spark.read.schema(shape).json(f"{base}/bad").select(F.lit("sinks").alias("consumer"), F.lit("bad").alias("kind"), "raw"))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("consumer", "kind").agg(
+        F.count("*").alias("lines"), F.sum(F.octet_length("raw")).alias("bytes"))
+
+
+@query("dlq_redeliver", f"""WITH {CODES_SQL}, again AS (
+  SELECT raw, code IN ('attr_count_exceeded', 'attr_depth_exceeded', 'string_too_long') AS good FROM codes WHERE code IS NOT NULL
+)
+SELECT count(*) FILTER (good) AS accepted, count(*) AS replayed, count(*) FILTER (good) AS delivered,
+  CAST(sum(strlen(raw)) FILTER (good) AS BIGINT) AS bytes FROM again""")
+def dlq_redeliver(spark, sf_dir):
+    """Dead letters the whole way again with the limits off, twice under the same number, and what the sink has then."""
+    base = scratch_path(spark, "redelivered")
+    failed = govern(wide_events(spark, sf_dir)).where(F.col("code").isNotNull())
+    records = dlq_rows(dlq_records(failed.withColumn("first_error", F.col("code")), F.col("ts")).select(
+        F.to_json(F.struct("timestamp", "error", "raw")).alias("value")))
+    settings = Settings(limits=Limits(enabled=False), privacy=Privacy(mode="off"))
+    sinks = (Sink("primary", "primary", parquet_sink(f"{base}/primary", lambda rows: rows.select("raw"))),)
+    for _ in range(2):
+        counts = redeliver(records, 0, settings, registry_table(spark, DEFAULT_REGISTRY), sinks, ledger_path=f"{base}/ledger")
+    delivered = spark.read.schema("raw string").parquet(f"{base}/primary")
+    return delivered.agg(F.lit(counts[0]).cast("long").alias("accepted"), F.lit(counts[1]).cast("long").alias("replayed"),
+                         F.count("*").alias("delivered"), F.sum(F.octet_length("raw")).alias("bytes"))
+
+
 @query("stream_pipeline", "WITH RECURSIVE " + CODES_SQL + """,
 judged AS (
   SELECT eid, copy, ts,

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import DataStreamWriter
 
+from eventloom.functions.crypto import decrypt_column
 from eventloom.functions.jsontext import closed_pair, strict_json, trim, value_of_pair
 from eventloom.functions.paths import string_at
 from eventloom.operators.registry import failure_records
@@ -52,7 +57,34 @@ def split_backlog(lines: DataFrame, column: str = "value", at: Column | None = N
 
 
 def replay_backlog(spark: SparkSession, path: str, bad_path: str) -> DataFrame:
-    """Events still to be delivered; bad lines are appended to the table at ``bad_path``."""
+    """Events of a whole backlog, in batch; its bad lines go to a folder of the backlog's own below ``bad_path``.
+
+    A second replay replaces that folder instead of adding the lines again.
+    """
     good, bad = split_backlog(spark.read.text(path))
-    bad.write.mode("append").json(bad_path)
+    bad.write.mode("overwrite").json(f"{bad_path}/backlog={hashlib.sha256(path.encode()).hexdigest()[:16]}")
     return good
+
+
+def consume_backlog(lines: DataFrame, position: str, write: Callable[[DataFrame, int], None], bad_path: str | None = None,
+                    column: str = "value", passphrase: str = "") -> DataStreamWriter:
+    """One consumer of a backlog, a stream of undelivered lines; start it with ``.start()``.
+
+    ``position`` is the consumer's own checkpoint: it says which files it has read, so any number of consumers go through the same
+    backlog at their own pace, and a consumer that is run again takes only what is new.  ``write(events, batch_id)`` gets the good
+    lines as ``raw``; it must be safe to repeat for the same batch.  Bad lines go to ``bad_path``, a folder per batch that a
+    repeated batch overwrites; only one consumer of a backlog should be given it.
+    """
+
+    def take(batch: DataFrame, batch_id: int) -> None:
+        plain = batch.select(decrypt_column(F.col(column), passphrase).alias("value"))
+        plain.persist()
+        try:
+            good, bad = split_backlog(plain)
+            if bad_path and not bad.isEmpty():
+                bad.write.mode("overwrite").json(f"{bad_path}/batch={batch_id}")
+            write(good, batch_id)
+        finally:
+            plain.unpersist()
+
+    return lines.writeStream.foreachBatch(take).option("checkpointLocation", position)

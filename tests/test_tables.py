@@ -28,7 +28,7 @@ from eventloom.operators.search import is_read_only, query_result, run_query
 from eventloom.sinks import external, layout, push_payloads, tables
 from eventloom.sources.backlog import read_dlq, replay_backlog
 from eventloom.sources.otlp import OtlpSettings, flatten_otlp_logs, otlp_errors
-from eventloom.sources.payloads import explode_payloads, read_payload_files, request_guards
+from eventloom.sources.payloads import decode_bodies, explode_payloads, read_payload_files, request_guards
 from eventloom.sources.queue import queue_options
 
 START = datetime(2024, 1, 1, tzinfo=timezone.utc)
@@ -85,6 +85,39 @@ def test_transfers_compose():
             assert (np.diff(exits) != 0).all() and (np.diff(limits) > 0).all()
 
 
+def test_the_first_registry_entry_counts_wherever_it_lies(spark, tmp_path):
+    rows = [("v1", "v1", ["first"], 0), ("v1", "v1", ["a", "second"], 1), ("v2", "v1", ["x"], 2)]
+    placed = spark.createDataFrame(rows, reg.REGISTRY_SCHEMA + ", place int")
+    for table in (placed, placed.repartition(5, "required_fields"), placed.orderBy(F.desc("place"))):
+        assert {r.schema_version: r.required_fields for r in reg.first_entries(table).collect()} == {"v1": ["first"], "v2": ["x"]}
+        unplaced = reg.first_entries(table.drop("place")).collect()
+        assert {r.schema_version: r.required_fields for r in unplaced} == {"v1": ["a", "second"], "v2": ["x"]}
+    path = str(tmp_path / "registry")
+    placed.coalesce(1).orderBy("place").select(F.to_json(F.struct(*reg.REGISTRY_COLUMNS)).alias("value")).coalesce(1).write.text(path)
+    loaded = reg.load_registry(spark, path).repartition(3, "required_fields")
+    assert {r.schema_version: r.required_fields for r in loaded.collect()} == {"v1": ["first"], "v2": ["x"]}
+    reg.save_registry(loaded, path)
+    assert reg.load_registry(spark, path).count() == 2
+
+
+def test_encoded_bodies(spark):
+    import zstandard
+
+    def pack(text):
+        return zstandard.ZstdCompressor().compress(text.encode())
+
+    big = '{"a":"' + "".join(map(str, range(200_000))) + '"}'
+    half = pack(big)[:len(pack(big)) // 2]
+    rows = [("two.zst", pack('{"a":1}\n') + pack('{"a":2}')), ("cut.zst", half), ("cut2.zst", pack('{"a":1}\n') + pack(big)[:50]),
+            ("junk.zst", pack("{}") + b"junk"), ("empty.zst", b""), ("two.gz", gzip.compress(b"{") + gzip.compress(b"}")),
+            ("cut.gz", gzip.compress(big.encode())[:-9]), ("big.zst", pack("x" * 3_000_000)), ("plain", b"{}")]
+    got = {r.request_id: (r.payload, r.too_large) for r in
+           decode_bodies(spark.createDataFrame(rows, "request_id string, content binary"), RequestLimits(max_body_bytes=2_000_000)).collect()}
+    nothing = (None, False)
+    assert got == {"two.zst": ('{"a":1}\n{"a":2}', False), "cut.zst": nothing, "cut2.zst": nothing, "junk.zst": nothing, "empty.zst": ("", False),
+                   "two.gz": ("{}", False), "cut.gz": nothing, "big.zst": (None, True), "plain": ("{}", False)}
+
+
 def test_lookup_join_beyond_the_broadcast_bound(spark):
     left = spark.createDataFrame([("k" if i % 3 else f"v{i}", i) for i in range(300)], "key string, n int")
     small = spark.createDataFrame([("k", 1), ("v0", 2), ("z", 3)], "key string, x int")
@@ -396,7 +429,8 @@ def test_dead_letter_file(spark, events, tmp_path):
 def test_backlog(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "spool.ndjson").write_text('not-json\n{"event":"a"}\n\n')
-    good = replay_backlog(spark, str(tmp_path / "in"), str(tmp_path / "bad"))
+    for _ in range(2):
+        good = replay_backlog(spark, str(tmp_path / "in"), str(tmp_path / "bad"))
     assert [r.raw for r in good.collect()] == ['{"event":"a"}']
     assert [(r.raw, r.reason) for r in spark.read.json(str(tmp_path / "bad")).collect()] == [("not-json", "invalid_spool_record")]
 
