@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql.streaming import DataStreamWriter
+
+_RATES = "window_start timestamp, status string, events bigint, per_second double"
 
 
 def outcome_counters(acked: DataFrame) -> DataFrame:
@@ -56,6 +59,24 @@ def outcome_rates(acked: DataFrame, at: str = "ts", width: str = "1 minute", lat
     )
 
 
+def write_panes(rates: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
+    """Writes the windows of a stream of ``outcome_rates`` as often as they change, open ones too; ``read_panes`` merges them.
+
+    Each batch has a folder of its own, which a repeated batch overwrites.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return rates.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
+
+
+def read_panes(spark: SparkSession, path: str) -> DataFrame:
+    """The windows as they are now: of each window and status, the row of the last batch that changed it."""
+    panes = spark.read.schema(f"{_RATES}, batch bigint").parquet(path)
+    last = F.max_by(F.struct("events", "per_second"), "batch").alias("last")
+    return panes.groupBy("window_start", "status").agg(last).select("window_start", "status", "last.*")
+
+
 def backlog_bytes(waiting: DataFrame, limit: int) -> DataFrame:
     """Bytes of undelivered events, line ends included, and whether they stay below the limit."""
     size = F.coalesce(F.sum(F.octet_length("raw") + 1), F.lit(0))

@@ -123,14 +123,15 @@ SELECT count(*) AS lines, CAST(sum(strlen(raw)) AS BIGINT) AS bytes, count(DISTI
 def loki(spark, sf_dir):
     """Push bodies taken apart again: every line once, no body over its size."""
     labels = {" app ": " eventloom ", "bad-name": "x"}
-    bodies = loki_batches(wide_events(spark, sf_dir), labels, at=F.col("ts"), size=100)
+    bodies = loki_batches(wide_events(spark, sf_dir), labels, at=F.col("ts"), size=100, max_bytes=40_000)
     shape = "streams array<struct<stream: map<string,string>, values: array<array<string>>>>"
-    stream = bodies.select("lines", F.from_json("payload", shape)["streams"][0].alias("s"))
-    lines = stream.select("lines", F.element_at("s.stream", F.lit("app")).alias("app"),
+    over = (F.col("lines") > 100) | ((F.octet_length("payload") > 40_000) & (F.col("lines") > 1))
+    stream = bodies.select(over.alias("over"), F.from_json("payload", shape)["streams"][0].alias("s"))
+    lines = stream.select("over", F.element_at("s.stream", F.lit("app")).alias("app"),
                           F.map_keys("s.stream").alias("names"), F.explode("s.values").alias("v"))
     return lines.groupBy("app").agg(
         F.count("*").alias("lines"), F.sum(F.octet_length(F.col("v")[1])).alias("bytes"),
-        F.countDistinct(F.col("v")[1]).alias("texts"), F.count_if(F.col("lines") > 100).alias("too_long"))
+        F.countDistinct(F.col("v")[1]).alias("texts"), F.count_if("over").alias("too_long"))
 
 
 @query("otlp_records", f"""WITH {OBJECTS_SQL}

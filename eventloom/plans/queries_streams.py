@@ -14,7 +14,7 @@ from eventloom.config import (
 from eventloom.functions.paths import string_at
 from eventloom.operators.dead_letters import dlq_records
 from eventloom.operators.governance import govern, parse_events
-from eventloom.operators.metrics import outcome_rates
+from eventloom.operators.metrics import outcome_rates, read_panes, write_panes
 from eventloom.operators.registry import registry_table
 from eventloom.plans.catalog import query
 from eventloom.plans.queries_events import _DEDUPE_SQL, ROW, fold_sql
@@ -33,18 +33,6 @@ def event_stream(spark, sf_dir) -> DataFrame:
     return widen(files)
 
 
-def run_to_end(df: DataFrame, name: str) -> DataFrame:
-    """Runs a stream over what is there now, into a table below the shared folder."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    running = (
-        df.writeStream.format("parquet").option("path", path).option("checkpointLocation", scratch_path(spark, f"{name}-log"))
-        .outputMode("append").trigger(availableNow=True).start()
-    )
-    running.awaitTermination()
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def in_parts(rows: DataFrame, at: str, run: Callable[[DataFrame], None], parts: int = 3) -> None:
     """Appends ``rows`` to a folder in time order, one part at a time, and runs a stream over it after each."""
     spark, path = rows.sparkSession, scratch_path(rows.sparkSession, "arriving")
@@ -74,17 +62,21 @@ def stream_dedupe(spark, sf_dir):
     return spark.read.parquet(out).select(*ROW, "duplicate")
 
 
-@query("stream_rates", f"""WITH {CODES_SQL}, closed AS (SELECT date_trunc('hour', max(ts)) AS last FROM codes)
+@query("stream_rates", f"""WITH {CODES_SQL}
 SELECT date_trunc('hour', ts) AS window_start, CASE WHEN code IS NULL THEN 'accepted' ELSE 'invalid' END AS status,
-  count(*) AS events FROM codes, closed
-WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM codes) GROUP BY 1, 2""")
+  count(*) AS events FROM codes GROUP BY 1, 2""")
 def stream_rates(spark, sf_dir):
-    """Hourly counts of a stream: every window that the watermark has closed."""
-    events = govern(event_stream(spark, sf_dir))
-    status = F.when(F.col("code").isNull(), "accepted").otherwise("invalid")
-    rated = outcome_rates(events.select("ts", status.alias("status")), width="1 hour", late="0 seconds")
-    out = run_to_end(rated, "rates")
-    return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "status", "events")
+    """Hourly counts of a stream that comes in three parts: every window, the last ones too."""
+    base = scratch_path(spark, "rates")
+    governed = govern(wide_events(spark, sf_dir)).select("ts", F.when(F.col("code").isNull(), "accepted").otherwise("invalid").alias("status"))
+
+    def run(arriving: DataFrame) -> None:
+        rated = outcome_rates(arriving, width="1 hour", late="1 hour")
+        write_panes(rated, f"{base}/panes", f"{base}/log").trigger(availableNow=True).start().awaitTermination()
+
+    in_parts(governed, "ts", run)
+    panes = read_panes(spark, f"{base}/panes")
+    return panes.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "status", "events")
 
 
 @query("stream_delivery", f"""WITH {CODES_SQL}

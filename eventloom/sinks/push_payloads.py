@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import re
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from eventloom.functions.jsontext import trim
@@ -14,35 +17,48 @@ from eventloom.operators.projection import parse_level
 LABEL_NAME = re.compile(r"[a-zA-Z_][a-zA-Z0-9_]*")
 SEVERITY_NUMBERS = {"debug": 5, "info": 9, "warn": 13, "error": 17, "fatal": 21}
 
-_ROW_BITS = 33  # low bits of monotonically_increasing_id: the row within its partition
-
-
 def clean_labels(labels: Mapping[str, str]) -> dict[str, str]:
     """Labels with a valid name, both sides trimmed."""
     return {k.strip(): v.strip() for k, v in labels.items() if LABEL_NAME.fullmatch(k.strip())}
 
 
-def loki_batches(df: DataFrame, labels: Mapping[str, str], at: Column | None = None, size: int = 100) -> DataFrame:
-    """``(partition, batch, lines, payload)``: push bodies of one stream with at most ``size`` lines.
+def loki_batches(df: DataFrame, labels: Mapping[str, str], at: Column | None = None, size: int = 100,
+                 max_bytes: int = 1_000_000) -> DataFrame:
+    """``(batch_id, lines, payload)``: push bodies of one stream with at most ``size`` lines and ``max_bytes`` bytes.
 
-    Lines are numbered inside their partition, so a batch never depends on a global order, and the
-    group that is gathered is never larger than ``size``.
+    Rows stay in their partitions: a task fills bodies one after the other as its rows pass, and holds one.  A line that is over the
+    bytes on its own makes a body of its own.  The id is a hash of the body, so a retry over the same rows gives the same ids.
     """
     time = at if at is not None else F.current_timestamp()
-    nanos = (F.unix_micros(time) * 1000).cast("string")
-    line = trim(F.col("raw"))
-    numbered = df.select(nanos.alias("t"), line.alias("line"), F.monotonically_increasing_id().alias("id"))
-    numbered = numbered.where(F.col("line") != "")
-    slot = F.col("id").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
-    grouped = numbered.groupBy(
-        F.shiftright("id", _ROW_BITS).alias("partition"), F.floor(slot / size).alias("batch"),
-    ).agg(F.array_sort(F.collect_list(F.struct("id", "t", "line"))).alias("rows"))
-    values = F.transform("rows", lambda r: F.array(r["t"], r["line"]))
+    nanos, line = (F.unix_micros(time) * 1000).cast("string"), trim(F.col("raw"))
+    entries = df.select(nanos.alias("t"), line.alias("line")).where(F.col("line") != "").select(
+        F.to_json(F.array("t", "line")).alias("entry"))
     named = clean_labels(labels)
-    stream = F.create_map(*(F.lit(x) for pair in sorted(named.items()) for x in pair)) if named else \
-        F.lit(None).cast("map<string,string>")
-    body = F.struct(F.array(F.struct(stream.alias("stream"), values.alias("values"))).alias("streams"))
-    return grouped.select("partition", "batch", F.size("rows").alias("lines"), F.to_json(body).alias("payload"))
+    stream = f'"stream":{json.dumps(named, ensure_ascii=False, separators=(',', ':'), sort_keys=True)},' if named else ""
+    head, tail = f'{{"streams":[{{{stream}"values":['.encode(), b"]}]}"
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, used = [], 0
+
+        def body() -> pa.RecordBatch:
+            payload = head + b",".join(held) + tail
+            return pa.RecordBatch.from_arrays(
+                [pa.array([hashlib.sha256(payload).hexdigest()[:32]]), pa.array([len(held)], pa.int32()),
+                 pa.array([payload], pa.binary()).cast(pa.string())], names=["batch_id", "lines", "payload"])
+
+        for batch in batches:
+            for entry in batch.column(0).cast(pa.binary()).to_pylist():
+                if held and (len(held) == size or used + len(entry) + 1 > max_bytes):
+                    yield body()
+                    held.clear()
+                if not held:
+                    used = len(head) + len(tail) - 1
+                held.append(entry)
+                used += len(entry) + 1
+        if held:
+            yield body()
+
+    return entries.mapInArrow(fill, "batch_id string, lines int, payload string")
 
 
 def otlp_records(events: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:

@@ -478,6 +478,19 @@ def test_options_and_payloads(spark, events):
     assert json.loads(bodies[0].payload)["streams"][0]["stream"] == {"app": "x"}
 
 
+def test_push_bodies_are_bounded_and_repeatable(events):
+    texts = ['say "é"\n', " ", "x" * 500, *(f"line {n}" for n in range(40)), "y" * 90]
+    at = F.lit(START).cast("timestamp")
+    made = push_payloads.loki_batches(events(*texts), {}, at, size=7, max_bytes=300)
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString().replace("Coalesce", "")
+    bodies = made.collect()
+    values = [v for b in bodies for v in json.loads(b.payload)["streams"][0]["values"]]
+    assert sorted(line for _, line in values) == sorted(t.strip() for t in texts if t.strip())
+    assert {t for t, _ in values} == {str(int(START.timestamp()) * 10**9)}
+    assert all(b.lines <= 7 and (len(b.payload.encode()) <= 300 or b.lines == 1) for b in bodies)
+    assert [b.batch_id for b in made.collect()] == [b.batch_id for b in bodies] and len({b.batch_id for b in bodies}) == len(bodies)
+
+
 def test_read_only_sql(spark, events):
     assert is_read_only(" SELECT 1") and is_read_only("with a as (select 1) select * from a")
     assert not any(map(is_read_only, ("", "drop table t", "select 1; drop table t")))
