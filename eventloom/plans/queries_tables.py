@@ -6,6 +6,7 @@ from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame, functions as F
 
+from eventloom.functions.crypto import decrypt_column
 from eventloom.functions.paths import string_at
 from eventloom.operators.lifecycle import (
     delete_rows, event_rows, older_than, retain_by_age, retain_by_size, tenant_of, tenant_rows, user_rows,
@@ -18,7 +19,7 @@ from eventloom.plans.queries_events import ROW, objects
 from eventloom.plans.wide_events import OBJECTS_SQL, WIDE_SQL, wide_events
 from eventloom.session import scratch_path, staged
 from eventloom.sinks.layout import archive_key, with_layout
-from eventloom.sinks.tables import write_events_table
+from eventloom.sinks.tables import export_parquet, write_archive, write_events_table
 
 _NOW = datetime(2024, 1, 31, tzinfo=timezone.utc)
 
@@ -113,6 +114,64 @@ def rewrite_user(spark, sf_dir):
     return spark.read.parquet(path).select(*ROW, F.md5("raw").alias("digest"), F.concat_ws(" ", "date", "hour").alias("hour"))
 
 
+@query("deletion_report", f"""WITH {_STORED_SQL}
+SELECT 'by_tenant' AS type, count(*) AS deleted, 'request 1' AS reason FROM stored WHERE tenant_id = 't2'
+UNION ALL SELECT 'by_event_id', count(*), 'request 2' FROM stored WHERE event_id = 'evt_12' AND tenant_id IS DISTINCT FROM 't2'
+UNION ALL SELECT 'by_user', count(*), '' FROM stored WHERE tenant_id IS DISTINCT FROM 't2' AND user_id = 'u-7'
+  AND event_id IS DISTINCT FROM 'evt_12'""")
+def deletion_reports(spark, sf_dir):
+    """Audit lines of three deletions on one stored table, each after the one before."""
+    path, audit = stored_table(spark, sf_dir, "reported"), scratch_path(spark, "audit")
+    rewrite_without(spark, path, tenant_rows("t2"), "by_tenant", "request 1", audit)
+    rewrite_without(spark, path, event_rows("evt_12"), "by_event_id", "request 2", audit)
+    rewrite_without(spark, path, F.col("user_id") == "u-7", "by_user", "", audit)
+    return spark.read.parquet(audit).select("type", F.col("deleted").cast("long").alias("deleted"), "reason")
+
+
+@query("table_write", f"""WITH {OBJECTS_SQL}
+SELECT strftime(ts, '%Y-%m-%d') AS date, strftime(ts, '%H') AS hour, raw ->> '$.event_id' AS event_id, raw ->> '$.event' AS event_type,
+  CAST(raw ->> '$.http.status' AS INTEGER) AS status_code, CAST(raw ->> '$.duration_ms' AS DOUBLE) AS duration_ms, md5(raw) AS digest
+FROM objects""")
+def table_write(spark, sf_dir):
+    """The analytics table, written in two parts by hour and read back with its types."""
+    path = scratch_path(spark, "table")
+    typed = typed_projection(objects(spark, sf_dir), keep=("eid", "ts")).repartition(F.to_date("ts"))
+    for part in range(2):
+        rows = typed.where(F.pmod("eid", F.lit(2)) == part)
+        write_events_table(rows.drop("eid"), path, written=F.col("ts"))
+    return spark.read.parquet(path).select("date", "hour", "event_id", "event_type", "status_code", "duration_ms", F.md5("raw").alias("digest"))
+
+
+@query("archive_write", f"""WITH {OBJECTS_SQL}
+SELECT 'plain' AS form, 'wide_events' AS dataset, strftime(ts, '%Y-%m-%d') AS date, strftime(ts, '%H') AS hour, md5(raw) AS digest FROM objects
+UNION ALL SELECT 'sealed', 'wide_events', strftime(ts, '%Y-%m-%d'), strftime(ts, '%H'), md5(raw) FROM objects""")
+def archive_write(spark, sf_dir):
+    """The archive, plain and encrypted, written under its layout and read back line by line."""
+    rows, base = objects(spark, sf_dir).repartition(F.to_date("ts")), scratch_path(spark, "archive")
+
+    def back(form: str, passphrase: str) -> DataFrame:
+        write_archive(rows, base, f"/{form}/raw/", "wide.events", F.col("ts"), passphrase=passphrase, lines_per_file=100)
+        lines = spark.read.text(f"{base}/{form}/raw")
+        plain = decrypt_column(F.col("value"), passphrase)
+        sealed = F.startswith("value", F.lit("enc:")) == F.lit(bool(passphrase))
+        return lines.select(F.lit(form).alias("form"), "dataset", "date", "hour", F.when(sealed, F.md5(plain)).alias("digest"))
+
+    return back("plain", "").unionByName(back("sealed", "passphrase"))
+
+
+@query("export_hours", f"""WITH {_STORED_SQL}
+SELECT 'wide_events' AS "table", strftime(ts, '%Y-%m-%d') AS date, strftime(ts, '%H') AS hour, count(*) AS events,
+  CAST(sum(strlen(raw)) AS BIGINT) AS bytes FROM stored
+WHERE ts >= TIMESTAMP '2024-01-05 03:00:00' AND ts < TIMESTAMP '2024-01-09 20:00:00' GROUP BY 1, 2, 3""")
+def export_hours(spark, sf_dir):
+    """Hours exported in two runs that overlap: an hour is there once."""
+    path, out = stored_table(spark, sf_dir, "exported"), scratch_path(spark, "export")
+    for since, until in ((datetime(2024, 1, 5, 3), datetime(2024, 1, 8, 1)), (datetime(2024, 1, 7, 22), datetime(2024, 1, 9, 20))):
+        export_parquet(spark, path, out, "wide.events", since, until)
+    return spark.read.parquet(out).groupBy("table", "date", "hour").agg(
+        F.count("*").alias("events"), F.sum(F.octet_length("raw")).alias("bytes"))
+
+
 @query("retain_age_table", f"""WITH {_STORED_SQL}
 SELECT eid, copy FROM stored WHERE ts IS NULL OR ts >= TIMESTAMP '2024-01-20 12:30:00'""")
 def retention_by_age(spark, sf_dir):
