@@ -110,7 +110,7 @@ def shares(counts: np.ndarray, divisor: int) -> np.ndarray:
 def run_length_columns(kept: DataFrame, block_terms: int = BLOCK_TERMS) -> DataFrame:
     """``(lang, block, size, source, lengths, counts)``: per block and source, the counts of its terms as runs.
 
-    Terms are dealt out and sorted by their counts, so that equal ones stand together; a block holds consecutive terms of one
+    Terms are dealt out by their total and sorted by their counts, so that equal ones stand together; a block holds consecutive terms of one
     language.  A source without any of a block's terms has no column there.
     """
 
@@ -139,7 +139,9 @@ def run_length_columns(kept: DataFrame, block_terms: int = BLOCK_TERMS) -> DataF
                 names=["lang", "block", "size", "source", "lengths", "counts"])
             made += 1
 
-    clustered = kept.repartitionByRange("lang", "counts").sortWithinPartitions("lang", "counts")
+    # The driver samples what terms are dealt out by: two numbers, where the counts are as wide as a language has sources.
+    dealt = kept.repartitionByRange("lang", "n", F.xxhash64("counts"))
+    clustered = dealt.sortWithinPartitions("lang", "counts")
     return clustered.select("lang", "counts").mapInArrow(encode, _COLUMN)
 
 
