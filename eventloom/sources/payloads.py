@@ -44,19 +44,22 @@ def array_texts(text: Column, parsed: Column) -> Column:
     Should an element nest deeper than the pattern reaches, the tokens of the text are read one by one instead.
     """
     written = F.regexp_extract_all(_inside(text), F.lit(_ITEM), F.lit(1))
-    exact = F.size(written) == F.size(elements(parsed))
-    return F.when(exact, written).otherwise(tokens.children(F.when(~exact, text))["value"])
+    return tokens.let(written, lambda found: F.when(F.size(found) == F.size(elements(parsed)), found).otherwise(
+        tokens.children(text)["value"]))
 
 
 def _last_member(text: Column, name: str) -> Column:
     """The text of the last top-level member with that name, in any case."""
     keys = F.regexp_extract_all(_inside(text), F.lit(_MEMBER), F.lit(1))
     values = F.regexp_extract_all(_inside(text), F.lit(_MEMBER), F.lit(2))
-    pairs = F.zip_with(keys, values, lambda key, text: F.when(F.lower(key) == f'"{name}"', text))
-    # Values that nest deeper than the pattern reaches are read token by token.
-    deep = (jt.occurrences(text, "{[") > jt.MAX_PATTERN_DEPTH) & (jt.max_depth(text) > jt.MAX_PATTERN_DEPTH)
-    walked = F.transform(tokens.children(F.when(deep, text)), lambda c: F.when(F.lower(c["key"]) == name, c["value"]))
-    return F.try_element_at(F.array_compact(F.when(deep, walked).otherwise(pairs)), F.lit(-1))
+
+    def named(found: Column) -> Column:
+        pairs = F.zip_with(found, values, lambda key, value: F.when(F.lower(key) == f'"{name}"', value))
+        # The pattern ends at a value that nests deeper than it reaches; then the tokens are read one by one.
+        walked = F.transform(tokens.children(text), lambda c: F.when(F.lower(c["key"]) == name, c["value"]))
+        return F.when(F.size(F.array_distinct(found)) < F.size(F.json_object_keys(text)), walked).otherwise(pairs)
+
+    return F.try_element_at(F.array_compact(tokens.let(keys, named)), F.lit(-1))
 
 
 def _may_be(doc: Column, path: str, kind: str) -> Column:
