@@ -1,18 +1,17 @@
 """Fuzzy line dedup with DataFrame functions only.
 
-Lines are normalised (lower case, single spaces) and equal ones collapsed by a 128-bit hash.  Lines get a SimHash of their
-distinct words.  ``similar_groups`` finds pairs by least hashes of word triples, and short lines by leaving out a word; a wide
-SimHash distance sorts out chance pairs, and edit similarity verifies.  ``line_groups`` finds only pairs within three bits, by
-joins on pigeonhole blocks.  The first line of every connected group is kept.
-
-Lines are numbered in the order of the stored table.  Bits are counted by a plain aggregation over words, in generated code: the
-SimHash has 62 bits, and 31 sums hold two 31-bit counters each, more than any line has words.
+Lines are normalised (lower case, single spaces) and equal ones collapsed by a 128-bit hash.  Every distinct line gets a SimHash
+of five blocks, one for each fifth of its words: a word belongs to the block that its first character names, so a typo inside a
+word changes one block, another word two at most, and the others keep every bit.  Lines join on any two equal blocks, which by the
+pigeonhole principle finds all pairs with three changed blocks or fewer.  Edit similarity on characters verifies, and the first
+line of every connected group is kept.
+
+Lines are numbered in the order of the stored table.  Votes are counted by a plain aggregation over words, in generated code,
+several counters to a number.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from hashlib import sha256
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -20,20 +19,18 @@ from pyspark.sql import Column, DataFrame, functions as F
 from eventloom.llm.common import cut_lineage, with_row
 from eventloom.llm.components import connected_components
 
-SIMILARITY = 0.8
-DISTANCE = 3
-_LANES, _WIDTH = 2, 31
+SIMILARITY = 0.9
+# Lines of fewer words are taken by pairs of characters.
+FEW_WORDS = 4
+_BLOCKS, _BITS = 5, 15
+_PAIRS = tuple(combinations(range(_BLOCKS), 2))
+# Five counters of twelve bits to a number, for lines of so many words; longer lines get a number for each counter.
+_LANES, _WIDTH = 5, 12
 _ONES = sum(1 << (_WIDTH * k) for k in range(_LANES))
 _HIGH = 1 << (_WIDTH - 1)
-# With five blocks, three differing bits leave two blocks equal.  A key of two blocks has 24 to 26 bits.
-_BLOCKS = ((0, 13), (13, 13), (26, 12), (38, 12), (50, 12))
+_NARROW = _HIGH - 1
 # Places are sorted into so many buckets; that many numbers at most are broadcast.
 _BUCKETS = 1 << 20
-_PAIRS = tuple(combinations(range(len(_BLOCKS)), 2))
-# Recall at similarity 0.8 is measured in the tests: keys of ten orders, and a bit distance that few similar lines exceed.
-REACH = 22
-_MINIMA = 10
-_ORDERS = tuple(int.from_bytes(sha256(bytes([i])).digest()[:8], "little", signed=True) for i in range(_MINIMA))
 
 
 def normalise(line: Column) -> Column:
@@ -64,59 +61,104 @@ def _long(value: int) -> Column:
     return F.lit(value).cast("long")
 
 
-def measured_lines(lines: DataFrame) -> DataFrame:
-    """``(at, h1, h2, fp)`` of every line: its 128-bit hash and its SimHash.
+def features(text: Column) -> Column:
+    """The words of a normalised line, repeats included; of a line of few words its pairs of neighbouring characters."""
+    words, characters = F.split(text, " "), F.split(text, "")
+    pairs = F.transform(characters, lambda c, i: F.concat(c, F.coalesce(F.get(characters, i + 1), F.lit(""))))
+    return F.when(F.size(words) >= FEW_WORDS, words).otherwise(pairs)
 
-    A bit is set if over half of the distinct words' hashes have it.
-    """
-    # In two steps: what stands beside an explode is computed for every exploded row.
-    hashes = lines.select("_at", F.xxhash64("text").alias("h1"), F.xxhash64("text", F.lit(1)).alias("h2"),
-                          F.array_distinct(F.transform(F.split("text", " "), lambda w: F.xxhash64(w))).alias("words"))
-    words = hashes.select(F.col("_at").alias("at"), "h1", "h2", F.explode("words").alias("h"))
-    sums = [F.sum(F.shiftright("h", g).bitwiseAND(_long(_ONES))).alias(f"c{g}") for g in range(_WIDTH)]
-    counted = words.groupBy("at", "h1", "h2").agg(F.count("*").alias("n"), *sums)
+
+def _packed_votes(rows: DataFrame) -> DataFrame:
+    """Adds up the votes of lines of up to ``_NARROW`` words: three numbers a block, and one for all sizes."""
+    steps = range(_BITS // _LANES)
+    sums = [F.sum(F.when(F.col("g") == j, F.shiftright("h", s).bitwiseAND(_long(_ONES))).otherwise(_long(0))).alias(f"c{j}_{s}")
+            for j in range(_BLOCKS) for s in steps]
+    sizes = F.sum(F.expr(f"shiftleft(1L, {_WIDTH} * g)")).alias("sizes")
+    counted = rows.groupBy("at", "h1", "h2", "length").agg(sizes, *sums)
+    size = [F.shiftright("sizes", _WIDTH * j).bitwiseAND(_long((1 << _WIDTH) - 1)) for j in range(_BLOCKS)]
     # A counter above half the words carries into its top bit once that bit, less one and half the words, is added.
-    missing = (_long(_HIGH - 1) - F.floor(F.col("n") / 2)) * _long(_ONES)
-    fp = _long(0)
-    for g in range(_WIDTH):
-        carried = F.shiftrightunsigned(F.col(f"c{g}") + missing, _WIDTH - 1)
-        fp = fp.bitwiseOR(F.shiftleft(carried.bitwiseAND(_long(_ONES)), g))
-    return counted.select("at", "h1", "h2", fp.alias("fp"))
+    carried = [[F.shiftright(F.col(f"c{j}_{s}") + (_long(_HIGH - 1) - F.shiftright(size[j], 1)) * _long(_ONES), _WIDTH - 1)
+                .bitwiseAND(_long(_ONES)) for s in steps] for j in range(_BLOCKS)]
+
+    def block(j: int) -> Column:
+        value = _long(0)
+        for s in steps:
+            for k in range(_LANES):
+                value = value.bitwiseOR(F.shiftleft(F.shiftright(carried[j][s], _WIDTH * k).bitwiseAND(_long(1)), s * _LANES + k))
+        return value
+
+    return counted.select("at", "h1", "h2", "length", *(size[j].alias(f"n{j}") for j in range(_BLOCKS)),
+                          *(block(j).alias(f"b{j}") for j in range(_BLOCKS)))
+
+
+def _wide_votes(rows: DataFrame) -> DataFrame:
+    """The same for lines of any length, a row a block in between."""
+    places = [(s * _LANES + k, s + _WIDTH * k) for s in range(_BITS // _LANES) for k in range(_LANES)]
+    votes = [F.sum(F.shiftright("h", at).bitwiseAND(_long(1))).alias(f"v{bit}") for bit, at in places]
+    counted = rows.groupBy("at", "h1", "h2", "length", "g").agg(F.count("*").alias("n"), *votes)
+    value = sum((F.when(F.col(f"v{bit}") * 2 > F.col("n"), _long(1 << bit)).otherwise(_long(0)) for bit in range(_BITS)), _long(0))
+    blocks = counted.select("at", "h1", "h2", "length", "g", "n", value.alias("b"))
+    return blocks.groupBy("at", "h1", "h2", "length").agg(
+        *(F.coalesce(F.max(F.when(F.col("g") == j, F.col(c))), _long(0)).alias(f"{c}{j}") for c in "nb" for j in range(_BLOCKS)))
+
+
+def measured_lines(lines: DataFrame, narrow: int = _NARROW) -> DataFrame:
+    """``(at, h1, h2, fp, rest)`` of every line: its 128-bit hash and its SimHash.
+
+    A bit of a block is set if over half of the hashes of its words have it.  ``fp`` holds four blocks; ``rest`` the fifth, from bit
+    15 on which pairs of blocks are keys, and from bit 25 on the length.  A pair is a key if it holds two words or more, and at
+    least a quarter of the line's.  Lines of more than ``narrow`` words are counted apart.
+    """
+    hashed = lines.select(F.col("_at").alias("at"), F.xxhash64("text").alias("h1"), F.xxhash64("text", F.lit(1)).alias("h2"),
+                          F.length("text").alias("length"), "text")
+
+    def rows(some: DataFrame, wide: bool) -> DataFrame:
+        # In steps: what stands beside an explode is computed for every exploded row.  A filter on the number of words, and the
+        # one that Spark puts before an inner explode, would read the words twice.
+        words = some.select("at", "h1", "h2", "length", features(F.col("text")).alias("words"))
+        chosen = F.when((F.size("words") > narrow) if wide else (F.size("words") <= narrow), F.col("words"))
+        exploded = words.select("at", "h1", "h2", "length", chosen.alias("words")).select(
+            "at", "h1", "h2", "length", F.explode_outer("words").alias("word"))
+        return exploded.where(F.col("word").isNotNull()).select(
+            "at", "h1", "h2", "length", F.xxhash64("word").alias("h"),
+            F.pmod(F.xxhash64(F.substring("word", 1, 1)), F.lit(_BLOCKS)).cast("int").alias("g"))
+
+    # More words than ``narrow`` need as many characters.
+    counted = _packed_votes(rows(hashed, False)).unionByName(_wide_votes(rows(hashed.where(F.col("length") > narrow), True)))
+    total = sum((F.col(f"n{j}") for j in range(_BLOCKS)), _long(0))
+    fp, rest = _long(0), F.col("b4").bitwiseOR(F.shiftleft(F.col("length").cast("long"), 25))
+    for j in range(4):
+        fp = fp.bitwiseOR(F.shiftleft(F.col(f"b{j}"), _BITS * j))
+    for number, (i, j) in enumerate(_PAIRS):
+        held = F.col(f"n{i}") + F.col(f"n{j}")
+        rest = rest.bitwiseOR(F.when((held >= 2) & (held * 4 >= total), _long(1 << (_BITS + number))).otherwise(_long(0)))
+    return counted.select("at", "h1", "h2", fp.alias("fp"), rest.alias("rest"))
 
 
-def candidate_prints(lines: DataFrame) -> DataFrame:
-    """Pairs ``a < b`` of distinct SimHashes within three bits, each once: under the first pair of equal blocks."""
-    prints = lines.select("fp").distinct()
+def block_keys(distinct: DataFrame) -> DataFrame:
+    """``(key, at, length)`` of every line: one key for each pair of blocks with words enough."""
+    mask = _long((1 << _BITS) - 1)
 
-    def key(fp: Column, pair: tuple[int, int], number: int) -> Column:
-        (at, n), (at2, n2) = (_BLOCKS[k] for k in pair)
-        first, second = (F.shiftrightunsigned(fp, a).bitwiseAND(F.lit((1 << w) - 1)) for a, w in ((at, n), (at2, n2)))
-        return F.lit(number << 26).cast("long").bitwiseOR(F.shiftleft(first, 13)).bitwiseOR(second)
+    def block(j: int) -> Column:
+        return (F.shiftright("fp", _BITS * j) if j < 4 else F.col("rest")).bitwiseAND(mask)
 
-    index = prints.select("fp", F.explode(F.array(*(key(F.col("fp"), p, i) for i, p in enumerate(_PAIRS)))).alias("key"))
-    left, right = index.select("key", F.col("fp").alias("a")), index.select("key", F.col("fp").alias("b"))
-    differing = F.col("a").bitwiseXOR(F.col("b"))
-    own = F.lit(None).cast("int")
-    for number, pair in reversed(list(enumerate(_PAIRS))):
-        mask = sum(((1 << n) - 1) << at for at, n in (_BLOCKS[k] for k in pair))
-        own = F.when(differing.bitwiseAND(_long(mask)) == 0, number).otherwise(own)
-    return left.join(right, "key").where(
-        (F.col("a") < F.col("b")) & (F.bit_count(differing) <= DISTANCE) & (F.shiftright("key", 26) == own)).select("a", "b")
+    def key(number: int, i: int, j: int) -> Column:
+        value = _long(number << (2 * _BITS)).bitwiseOR(F.shiftleft(block(i), _BITS)).bitwiseOR(block(j))
+        return F.when(F.shiftright("rest", _BITS + number).bitwiseAND(_long(1)) == 1, value)
 
+    keys = F.array(*(key(number, i, j) for number, (i, j) in enumerate(_PAIRS)))
+    length = F.shiftright("rest", 25).cast("int").alias("length")
+    return distinct.select("at", length, F.explode(keys).alias("key")).where(F.col("key").isNotNull())
 
-def spelled(text: Column) -> Column:
-    """A line with one character per word: equal words get equal characters, others all but certainly different ones."""
-    def character(word: Column) -> Column:
-        code = F.lpad(F.hex(F.xxhash64(word)), 16, "0")
-        return F.concat(F.translate(F.substring(code, 13, 1), "0123456789ABCDEF", "4567894567894567"), F.substring(code, 14, 3))
 
-    return F.decode(F.unhex(F.array_join(F.transform(F.split(text, " "), character), "")), "UTF-16BE")
+def _allowed(longer: Column, similarity: float) -> Column:
+    return F.floor(longer * F.lit(round(1 - similarity, 9)) + 1e-9).cast("int")
 
 
 def similar(a: Column, b: Column, similarity: float = SIMILARITY) -> Column:
-    """True if 1 - word edits / words of the longer line is at least ``similarity``; lengths that cannot do are told first."""
+    """True if 1 - character edits / characters of the longer line is at least ``similarity``; lengths that cannot do are told first."""
     longer, shorter = F.greatest(F.length(a), F.length(b)), F.least(F.length(a), F.length(b))
-    allowed = F.floor(longer * F.lit(round(1 - similarity, 9)) + 1e-9).cast("int")
+    allowed = _allowed(longer, similarity)
     distance = F.call_function("levenshtein", a, b, allowed)
     return F.when(longer - shorter > allowed, False).otherwise((distance >= 0) & (distance <= allowed))
 
@@ -124,128 +166,58 @@ def similar(a: Column, b: Column, similarity: float = SIMILARITY) -> Column:
 def line_groups(lines: DataFrame, measured: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``(h1, h2, first)``: for every distinct line, the place of the first line of its connected group.
 
-    ``measured`` are the hashes of ``lines``.  A class is all distinct lines of one SimHash.  Lines are first compared with
-    the first line of their class, and first lines with those of classes within three bits; then lines of such classes that
-    are not in one group yet, with each other.  So no link is lost, and a large group of near copies is not compared pair by
-    pair.
+    ``measured`` are the hashes of ``lines``.  Lines are first compared with the first line of each key; then those of a key that
+    are not in one group yet, with each other.  So no link is lost, and a large group of near copies is not compared pair by pair.
     """
-    distinct = cut_lineage(measured.groupBy("h1", "h2").agg(F.min("at").alias("at"), F.max("fp").alias("fp")))
-    near = cut_lineage(candidate_prints(distinct))
-    shared = distinct.groupBy("fp").agg(F.min("at").alias("leader"), F.count("*").alias("size"))
-    touched = near.select(F.col("a").alias("fp")).union(near.select(F.col("b").alias("fp"))).distinct()
-    classes = cut_lineage(shared.join(touched.withColumn("near", F.lit(True)), "fp", "left").where(
-        (F.col("size") > 1) | F.col("near")).select("fp", "leader", "size"))
-    involved = cut_lineage(distinct.join(classes.select("fp", "leader"), "fp").select(F.col("at").alias("_at"), "fp", "leader"))
+    distinct = cut_lineage(measured.groupBy("h1", "h2").agg(
+        F.min("at").alias("at"), F.max("fp").alias("fp"), F.max("rest").alias("rest")))
+    # Dealt out by key once, for the counts and for the join.
+    index = block_keys(distinct).repartition("key")
+    first = F.min(F.struct("at", "length"))
+    shared = index.groupBy("key").agg(first.alias("first"), F.count("*").alias("n")).where(F.col("n") > 1)
+    members = cut_lineage(index.join(shared.select(
+        "key", F.col("first.at").alias("leader"), F.col("first.length").alias("length2")).hint("shuffle_hash"), "key"))
+
+    def fitting(pairs: DataFrame) -> DataFrame:
+        longer = F.greatest("length", "length2")
+        return pairs.where(longer - F.least("length", "length2") <= _allowed(longer, similarity)).select("at", "at2").distinct()
+
+    involved = members.select(F.col("at").alias("_at")).distinct()
     # Most lines are not involved; a bounded table of buckets tells so before their text moves.
     bucket = F.pmod(F.xxhash64("_at"), F.lit(_BUCKETS)).cast("int").alias("bucket")
     buckets = F.broadcast(involved.select(bucket).distinct())
     some = lines.select("_at", "text", bucket).join(buckets, "bucket", "left_semi").select("_at", "text")
-    texts = cut_lineage(some.join(involved.hint("shuffle_hash"), "_at").select(
-        F.col("_at").alias("at"), "fp", "leader", spelled(F.col("text")).alias("text")))
-
-    leaders = texts.where(F.col("at") == F.col("leader"))
-    own = texts.where(F.col("at") != F.col("leader")).select("fp", "at", "text").join(
-        leaders.select("fp", F.col("at").alias("at2"), F.col("text").alias("text2")), "fp")
-    a, b = (leaders.select(F.col("fp").alias(n), F.col("at").alias(f"at{m}"), F.col("text").alias(f"text{m}"))
-            for n, m in (("a", ""), ("b", "2")))
-    across = near.join(a, "a").join(b, "b")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        return pairs.where(similar(F.col("text"), F.col("text2"), similarity)).select("at", "at2")
-
-    links = cut_lineage(verified(own).unionByName(verified(across)))
-    groups = connected_components(links, "at", "at2")
-    named = cut_lineage(texts.join(groups, F.col("at") == F.col("node"), "left").select(
-        "fp", "at", "text", F.coalesce("component", "at").alias("group")))
-    # Classes whose lines are not all in one group, alone or together.
-    spread = named.groupBy("fp").agg(F.min("group").alias("low"), F.max("group").alias("high"))
-    low, high = (spread.select(F.col("fp").alias(n), F.col("low").alias(f"low_{n}"), F.col("high").alias(f"high_{n}")) for n in "ab")
-    divided = near.join(low, "a").join(high, "b").where(
-        F.least("low_a", "low_b") < F.greatest("high_a", "high_b")).select("a", "b")
-    both = divided.unionByName(spread.where(F.col("low") < F.col("high")).select(F.col("fp").alias("a"), F.col("fp").alias("b")))
-    one, two = (named.select(F.col("fp").alias(n), F.col("at").alias(f"at{m}"), F.col("text").alias(f"text{m}"),
-                             F.col("group").alias(f"group{m}")) for n, m in (("a", ""), ("b", "2")))
-    apart = (F.col("group") != F.col("group2")) & ((F.col("a") != F.col("b")) | (F.col("at") < F.col("at2")))
-    rest = cut_lineage(verified(both.join(one, "a").join(two, "b").where(apart)))
-    joined = groups.select(F.col("node").alias("at"), F.col("component").alias("at2"))
-    final = groups if rest.isEmpty() else connected_components(joined.unionByName(rest), "at", "at2")
-    return distinct.join(final, F.col("at") == F.col("node"), "left").select(
-        "h1", "h2", F.coalesce("component", "at").alias("first"))
-
-
-def search_keys(lines: DataFrame, distinct: DataFrame) -> DataFrame:
-    """``(at, key)`` of every distinct line of four words or more; lines with word edits within a fifth share a key, or most do.
-
-    Up to nine words a fifth is one edit: the line and the line less each word are keys, so no such pair is missed.  From
-    eight words on, the least hash of its word triples under each of ``_MINIMA`` orders is a key.
-    """
-    words = lines.select(F.col("_at").alias("at"), F.split("text", " ").alias("words"))
-    count = F.size("words")
-
-    def without(i: Column) -> Column:
-        return F.xxhash64(F.concat(F.slice("words", F.lit(1), i), F.slice("words", i + 2, count)))
-
-    short = words.where(count.between(4, 9)).join(distinct.select("at"), "at", "left_semi")
-    less = F.when(count > 4, F.transform(F.sequence(F.lit(0), count - 1), without)).otherwise(F.array().cast("array<bigint>"))
-    left_out = short.select("at", F.explode(F.array_distinct(F.concat(F.array(F.xxhash64("words")), less))).alias("key"))
-    # Zipped and hashed in generated code; the last two of the zipped rows are no triples.
-    rows = words.where(count >= 8).select("at", F.arrays_zip(
-        F.col("words").alias("a"), F.slice("words", F.lit(2), count).alias("b"), F.slice("words", F.lit(3), count).alias("c")).alias("rows"))
-    triples = rows.select("at", F.inline("rows").alias("a", "b", "c")).where(F.col("c").isNotNull()).select(
-        "at", F.xxhash64("a", "b", "c").alias("h"))
-    least = triples.groupBy("at").agg(*(F.min(F.col("h").bitwiseXOR(_long(c))).alias(f"m{i}") for i, c in enumerate(_ORDERS)))
-    # The number of the order takes the place of the last four bits.
-    own = F.explode(F.array(*(F.col(f"m{i}").bitwiseAND(_long(-16)).bitwiseOR(_long(i)) for i in range(_MINIMA))))
-    return left_out.unionByName(least.join(distinct.select("at"), "at", "left_semi").select("at", own.alias("key")))
-
-
-def similar_groups(lines: DataFrame, measured: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """``(h1, h2, first)`` as by ``line_groups``, for lines that share a search key and whose SimHashes are within ``REACH`` bits.
-
-    Lines are first compared with the first line of each key; then those of a key that are not in one group yet, with each other.
-    """
-    distinct = cut_lineage(measured.groupBy("h1", "h2").agg(F.min("at").alias("at"), F.max("fp").alias("fp")))
-    # Dealt out by key once, for the counts and for the join; the hashes of the few lines that share a key are fetched later.
-    index = search_keys(lines, distinct).repartition("key")
-    shared = index.groupBy("key").agg(F.min("at").alias("leader"), F.count("*").alias("n")).where(F.col("n") > 1).drop("n")
-    sharing = cut_lineage(index.join(shared.hint("shuffle_hash"), "key").select("key", "at", "leader"))
-    prints = distinct.select("at", "fp")
-    members = cut_lineage(sharing.join(prints, "at").join(
-        prints.select(F.col("at").alias("leader"), F.col("fp").alias("fp2")), "leader"))
-
-    def close(a: str, b: str) -> Column:
-        return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= REACH
-
-    involved = cut_lineage(members.select(F.col("at").alias("_at")).distinct())
-    texts = cut_lineage(lines.join(involved.hint("shuffle_hash"), "_at").select(
-        F.col("_at").alias("at"), spelled(F.col("text")).alias("text")))
+    texts = cut_lineage(some.join(involved.hint("shuffle_hash"), "_at", "left_semi").select(F.col("_at").alias("at"), "text"))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        both = pairs.distinct().join(texts, "at").join(texts.select(F.col("at").alias("at2"), F.col("text").alias("text2")), "at2")
+        both = pairs.join(texts, "at").join(texts.select(F.col("at").alias("at2"), F.col("text").alias("text2")), "at2")
         return cut_lineage(both.where(similar(F.col("text"), F.col("text2"), similarity)).select("at", "at2"))
 
-    found = verified(members.where((F.col("at") != F.col("leader")) & close("fp", "fp2")).select("at", F.col("leader").alias("at2")))
+    found = verified(fitting(members.where(F.col("at") != F.col("leader")).withColumnRenamed("leader", "at2")))
     groups = connected_components(found, "at", "at2")
     named = cut_lineage(members.join(groups, F.col("at") == F.col("node"), "left").select(
-        "key", "at", "fp", F.coalesce("component", "at").alias("group")))
+        "key", "at", "length", F.coalesce("component", "at").alias("group")))
     divided = named.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).where(F.col("low") < F.col("high"))
+    # Lines that are no first line themselves were compared with it; left are pairs of others, of two groups.
     one = named.join(divided.select("key"), "key")
-    two = one.select("key", F.col("at").alias("at2"), F.col("fp").alias("fp2"), F.col("group").alias("group2"))
-    rest = verified(one.join(two, "key").where((F.col("group") < F.col("group2")) & close("fp", "fp2")).select("at", "at2"))
+    two = one.select("key", F.col("at").alias("at2"), F.col("length").alias("length2"), F.col("group").alias("group2"))
+    rest = verified(fitting(one.join(two, "key").where(F.col("group") < F.col("group2"))))
     joined = groups.select(F.col("node").alias("at"), F.col("component").alias("at2"))
     final = groups if rest.isEmpty() else connected_components(joined.unionByName(rest), "at", "at2")
     return distinct.join(final, F.col("at") == F.col("node"), "left").select(
         "h1", "h2", F.coalesce("component", "at").alias("first"))
 
 
-def judge_lines(docs: DataFrame, similarity: float = SIMILARITY, groups: Callable = line_groups) -> DataFrame:
+def judge_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``(_id, _row, _line, group, kept)`` of every line with a word; ``docs`` has ``_id``, ``_row`` and ``text``.
 
-    ``groups`` is ``similar_groups``, or ``line_groups`` for lines within three bits only.
+    ``group`` is the number of the group's first line, which alone is kept.  Null and empty texts and lines without a word give no
+    row.  Repeated rows and null ids are documents of their own; of equal lines the first in the stored table is kept.  Other
+    columns of ``docs`` are not looked at.  An empty table gives an empty result.
     """
     lines = lines_of(docs)
     measured = cut_lineage(measured_lines(lines))
-    grouped = measured.join(groups(lines, measured, similarity), ["h1", "h2"]).select(F.col("at").alias("_at"), "first")
+    grouped = measured.join(line_groups(lines, measured, similarity), ["h1", "h2"]).select(F.col("at").alias("_at"), "first")
     return places_of(docs).drop("line").join(grouped, "_at").select(
         "_id", "_row", "_line", F.col("first").alias("group"), (F.col("_at") == F.col("first")).alias("kept"))
 
@@ -254,7 +226,7 @@ def numbered(docs: DataFrame, id_column: str = "doc_id", *columns: Column) -> Da
     return with_row(docs, F.col(id_column).alias("_id"), "text", *columns)
 
 
-def dedup_lines(docs: DataFrame, id_column: str = "doc_id", similarity: float = SIMILARITY, groups: Callable = line_groups) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_column: str = "doc_id", similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` without repeated lines; lines without a word stay, and so do documents that lose all lines.
 
     The first line of a group is that which comes first in the stored table.  Null texts stay null.  Repeated rows and
@@ -262,7 +234,7 @@ def dedup_lines(docs: DataFrame, id_column: str = "doc_id", similarity: float =
     columns stay as they are.  ``docs`` is read several times and must number its rows alike, as a stored table does.
     """
     everything = numbered(docs, id_column, F.struct(*docs.columns).alias("_all"))
-    judged = judge_lines(everything.select("_id", "_row", "text"), similarity, groups)
+    judged = judge_lines(everything.select("_id", "_row", "text"), similarity)
     dropped = judged.where(~F.col("kept")).groupBy("_row").agg(F.collect_set("_line").alias("dropped"))
     marked = everything.select("_row", "_all").join(dropped.hint("shuffle_hash"), "_row", "left")
     kept = F.array_join(F.filter(F.split("_all.text", "\n", -1), lambda _, i: ~F.array_contains("dropped", i)), "\n")
