@@ -2,9 +2,9 @@
 
 Lines are normalised (lower case, single spaces) and equal ones collapsed by a 128-bit hash.  Every distinct line gets a SimHash
 of five blocks, one for each fifth of its words: a word belongs to the block that its first character names, so a typo inside a
-word changes one block, another word two at most, and the others keep every bit.  Lines join on any two equal blocks, which by the
-pigeonhole principle finds all pairs with three changed blocks or fewer.  Edit similarity on characters verifies, and the first
-line of every connected group is kept.
+word changes one block, another word two at most, and the others keep every bit.  Lines join on any three equal blocks, which by the
+pigeonhole principle finds all pairs with two changed blocks or fewer.  Edit similarity verifies, on characters, or on words where
+the longer line has over ``LONG`` characters; the first line of every connected group is kept.
 
 Lines are numbered in the order of the stored table.  Votes are counted by a plain aggregation over words, in generated code,
 several counters to a number.
@@ -22,8 +22,9 @@ from eventloom.llm.components import connected_components
 SIMILARITY = 0.9
 # Lines of fewer words are taken by pairs of characters.
 FEW_WORDS = 4
+LONG = 4096
 _BLOCKS, _BITS = 5, 15
-_PAIRS = tuple(combinations(range(_BLOCKS), 2))
+_TRIPLES = tuple(combinations(range(_BLOCKS), 3))
 # Five counters of twelve bits to a number, for lines of so many words; longer lines get a number for each counter.
 _LANES, _WIDTH = 5, 12
 _ONES = sum(1 << (_WIDTH * k) for k in range(_LANES))
@@ -106,7 +107,7 @@ def measured_lines(lines: DataFrame, narrow: int = _NARROW) -> DataFrame:
     """``(at, h1, h2, fp, rest)`` of every line: its 128-bit hash and its SimHash.
 
     A bit of a block is set if over half of the hashes of its words have it.  ``fp`` holds four blocks; ``rest`` the fifth, from bit
-    15 on which pairs of blocks are keys, and from bit 25 on the length.  A pair is a key if it holds two words or more, and at
+    15 on which triples of blocks are keys, and from bit 25 on the length.  A triple is a key if it holds two words or more, and at
     least a quarter of the line's.  Lines of more than ``narrow`` words are counted apart.
     """
     hashed = lines.select(F.col("_at").alias("at"), F.xxhash64("text").alias("h1"), F.xxhash64("text", F.lit(1)).alias("h2"),
@@ -129,24 +130,24 @@ def measured_lines(lines: DataFrame, narrow: int = _NARROW) -> DataFrame:
     fp, rest = _long(0), F.col("b4").bitwiseOR(F.shiftleft(F.col("length").cast("long"), 25))
     for j in range(4):
         fp = fp.bitwiseOR(F.shiftleft(F.col(f"b{j}"), _BITS * j))
-    for number, (i, j) in enumerate(_PAIRS):
-        held = F.col(f"n{i}") + F.col(f"n{j}")
+    for number, (i, j, k) in enumerate(_TRIPLES):
+        held = F.col(f"n{i}") + F.col(f"n{j}") + F.col(f"n{k}")
         rest = rest.bitwiseOR(F.when((held >= 2) & (held * 4 >= total), _long(1 << (_BITS + number))).otherwise(_long(0)))
     return counted.select("at", "h1", "h2", fp.alias("fp"), rest.alias("rest"))
 
 
 def block_keys(distinct: DataFrame) -> DataFrame:
-    """``(key, at, length)`` of every line: one key for each pair of blocks with words enough."""
+    """``(key, at, length)`` of every line: one key for each triple of blocks with words enough."""
     mask = _long((1 << _BITS) - 1)
 
     def block(j: int) -> Column:
         return (F.shiftright("fp", _BITS * j) if j < 4 else F.col("rest")).bitwiseAND(mask)
 
-    def key(number: int, i: int, j: int) -> Column:
-        value = _long(number << (2 * _BITS)).bitwiseOR(F.shiftleft(block(i), _BITS)).bitwiseOR(block(j))
+    def key(number: int, i: int, j: int, k: int) -> Column:
+        value = _long(number << (3 * _BITS)).bitwiseOR(F.shiftleft(block(i), 2 * _BITS)).bitwiseOR(F.shiftleft(block(j), _BITS)).bitwiseOR(block(k))
         return F.when(F.shiftright("rest", _BITS + number).bitwiseAND(_long(1)) == 1, value)
 
-    keys = F.array(*(key(number, i, j) for number, (i, j) in enumerate(_PAIRS)))
+    keys = F.array(*(key(number, *triple) for number, triple in enumerate(_TRIPLES)))
     length = F.shiftright("rest", 25).cast("int").alias("length")
     return distinct.select("at", length, F.explode(keys).alias("key")).where(F.col("key").isNotNull())
 
@@ -155,8 +156,17 @@ def _allowed(longer: Column, similarity: float) -> Column:
     return F.floor(longer * F.lit(round(1 - similarity, 9)) + 1e-9).cast("int")
 
 
+def spelled(text: Column) -> Column:
+    """A line with one character per word: equal words get equal characters, others all but certainly different ones."""
+    def character(word: Column) -> Column:
+        code = F.lpad(F.hex(F.xxhash64(word)), 16, "0")
+        return F.concat(F.translate(F.substring(code, 13, 1), "0123456789ABCDEF", "4567894567894567"), F.substring(code, 14, 3))
+
+    return F.decode(F.unhex(F.array_join(F.transform(F.split(text, " "), character), "")), "UTF-16BE")
+
+
 def similar(a: Column, b: Column, similarity: float = SIMILARITY) -> Column:
-    """True if 1 - character edits / characters of the longer line is at least ``similarity``; lengths that cannot do are told first."""
+    """True if 1 - edits / characters of the longer is at least ``similarity``; lengths that cannot do are told first."""
     longer, shorter = F.greatest(F.length(a), F.length(b)), F.least(F.length(a), F.length(b))
     allowed = _allowed(longer, similarity)
     distance = F.call_function("levenshtein", a, b, allowed)
@@ -187,11 +197,19 @@ def line_groups(lines: DataFrame, measured: DataFrame, similarity: float = SIMIL
     bucket = F.pmod(F.xxhash64("_at"), F.lit(_BUCKETS)).cast("int").alias("bucket")
     buckets = F.broadcast(involved.select(bucket).distinct())
     some = lines.select("_at", "text", bucket).join(buckets, "bucket", "left_semi").select("_at", "text")
-    texts = cut_lineage(some.join(involved.hint("shuffle_hash"), "_at", "left_semi").select(F.col("_at").alias("at"), "text"))
+    texts = cut_lineage(some.join(involved.hint("shuffle_hash"), "_at", "left_semi").select(
+        # Lines that only go with longer ones than ``LONG`` need no characters, and those that go with none of them no words.
+        F.col("_at").alias("at"), F.length("text").alias("size"),
+        F.when(F.length("text") <= LONG / similarity + 1, F.col("text")).alias("text"),
+        F.when(F.length("text") >= LONG * similarity - 1, spelled(F.col("text"))).alias("words")))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(texts, "at").join(texts.select(F.col("at").alias("at2"), F.col("text").alias("text2")), "at2")
-        return cut_lineage(both.where(similar(F.col("text"), F.col("text2"), similarity)).select("at", "at2"))
+        both = pairs.join(texts, "at").join(texts.select(
+            F.col("at").alias("at2"), *(F.col(c).alias(f"{c}2") for c in ("size", "text", "words"))), "at2")
+        by_words = F.greatest("size", "size2") > LONG
+        one, two = (F.when(by_words, F.col(f"words{n}")).otherwise(F.col(f"text{n}")) for n in ("", "2"))
+        return cut_lineage(both.select("at", "at2", one.alias("one"), two.alias("two")).where(
+            similar(F.col("one"), F.col("two"), similarity)).select("at", "at2"))
 
     found = verified(fitting(members.where(F.col("at") != F.col("leader")).withColumnRenamed("leader", "at2")))
     groups = connected_components(found, "at", "at2")
