@@ -170,13 +170,18 @@ def test_recall_of_typos(spark, words, typos, least):
 
 
 @pytest.mark.xfail(reason="open: a changed character of a line of few words can change three blocks, and keys bear two")
-def test_short_lines_and_lines_without_spaces(spark):
-    """Lines of few words are taken by pairs of characters."""
-    rows = [(0, "internationalisation"), (1, "internationalisatiom"), (2, "a"), (3, "b"), (4, "\u8fd9" * 3000 + "\u662f\u4e00\u884c"),
-            (5, "\u8fd9" * 3000 + "\u662f\u4e8c\u884c"), (6, "A")]
+def test_typo_in_a_single_word(spark):
+    rows = [(0, "internationalisation"), (1, "internationalisatiom")]
     got = {r._id: r.group for r in judge_lines(numbered(stored(spark, rows, "lines-few"))).collect()}
-    assert got[0] == got[1] and got[4] == got[5] and got[2] == got[6]
-    assert len(set(got.values())) == 4
+    assert got[0] == got[1]
+
+
+def test_lines_without_spaces(spark):
+    """Lines of few words are taken by pairs of characters."""
+    rows = [(2, "a"), (3, "b"), (4, "\u8fd9" * 3000 + "\u662f\u4e00\u884c"), (5, "\u8fd9" * 3000 + "\u662f\u4e8c\u884c"), (6, "A")]
+    got = {r._id: r.group for r in judge_lines(numbered(stored(spark, rows, "lines-few2"))).collect()}
+    assert got[4] == got[5] and got[2] == got[6]
+    assert len(set(got.values())) == 3
 
 
 def test_hot_key_of_lines_that_are_not_similar(spark):
