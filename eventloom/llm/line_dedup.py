@@ -1,8 +1,9 @@
 """Fuzzy line dedup with DataFrame functions only.
 
 Lines are normalised (lower case, single spaces) and equal ones collapsed by a 128-bit hash.  Every distinct line gets a SimHash
-of five blocks, one for each fifth of its words: a word belongs to the block that its first character names, so a typo inside a
-word changes one block, another word two at most, and the others keep every bit.  Lines join on any three equal blocks, which by the
+of five blocks, one for each fifth of its different words: a word belongs to the block that its first character names, so a typo
+inside a word changes one block, another word two at most, and the others keep every bit.  Repeats do not count, or the bits of a
+block would be those of its most common word.  Lines join on any three equal blocks, which by the
 pigeonhole principle finds all pairs with two changed blocks or fewer.  Edit similarity verifies, on characters, or on words where
 the longer line has over ``LONG`` characters; the first line of every connected group is kept.
 
@@ -51,10 +52,13 @@ def places_of(docs: DataFrame) -> DataFrame:
     return lines.select("_id", "_row", "_line", F.monotonically_increasing_id().alias("_at"), "line")
 
 
-def lines_of(docs: DataFrame) -> DataFrame:
-    """``(_at, text)`` of every normalised line with a word."""
+def lines_of(docs: DataFrame, least: int = 0) -> DataFrame:
+    """``(_at, text)`` of every normalised line with a word; of long lines only, if ``least`` characters are asked for."""
     # A filter on the normalised text would be pushed down and normalise every line twice.
     worded = places_of(docs).where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
+    if least:
+        # Lower case may take more characters than the text had, up to three for one.
+        worded = worded.where(F.length("line") * 3 >= least)
     return worded.select("_at", normalise(F.col("line")).alias("text"))
 
 
@@ -63,10 +67,10 @@ def _long(value: int) -> Column:
 
 
 def features(text: Column) -> Column:
-    """The words of a normalised line, repeats included; of a line of few words its pairs of neighbouring characters."""
+    """The different words of a normalised line; of a line of few words its pairs of neighbouring characters, repeats included."""
     words, characters = F.split(text, " "), F.split(text, "")
     pairs = F.transform(characters, lambda c, i: F.concat(c, F.coalesce(F.get(characters, i + 1), F.lit(""))))
-    return F.when(F.size(words) >= FEW_WORDS, words).otherwise(pairs)
+    return F.when(F.size(words) >= FEW_WORDS, F.array_distinct(words)).otherwise(pairs)
 
 
 def _packed_votes(rows: DataFrame) -> DataFrame:
@@ -103,17 +107,18 @@ def _wide_votes(rows: DataFrame) -> DataFrame:
         *(F.coalesce(F.max(F.when(F.col("g") == j, F.col(c))), _long(0)).alias(f"{c}{j}") for c in "nb" for j in range(_BLOCKS)))
 
 
-def measured_lines(lines: DataFrame, narrow: int = _NARROW) -> DataFrame:
-    """``(at, h1, h2, fp, rest)`` of every line: its 128-bit hash and its SimHash.
+def measured_lines(docs: DataFrame, narrow: int = _NARROW) -> DataFrame:
+    """``(at, h1, h2, fp, rest)`` of every line of ``docs``: its 128-bit hash and its SimHash.
 
     A bit of a block is set if over half of the hashes of its words have it.  ``fp`` holds four blocks; ``rest`` the fifth, from bit
     15 on which triples of blocks are keys, and from bit 25 on the length.  A triple is a key if it holds two words or more, and at
     least a quarter of the line's.  Lines of more than ``narrow`` words are counted apart.
     """
-    hashed = lines.select(F.col("_at").alias("at"), F.xxhash64("text").alias("h1"), F.xxhash64("text", F.lit(1)).alias("h2"),
-                          F.length("text").alias("length"), "text")
-
-    def rows(some: DataFrame, wide: bool) -> DataFrame:
+    def rows(wide: bool) -> DataFrame:
+        # More words than ``narrow`` need as many characters.
+        some = lines_of(docs, narrow if wide else 0).select(
+            F.col("_at").alias("at"), F.xxhash64("text").alias("h1"), F.xxhash64("text", F.lit(1)).alias("h2"),
+            F.length("text").alias("length"), "text")
         # In steps: what stands beside an explode is computed for every exploded row.  A filter on the number of words, and the
         # one that Spark puts before an inner explode, would read the words twice.
         words = some.select("at", "h1", "h2", "length", features(F.col("text")).alias("words"))
@@ -124,8 +129,7 @@ def measured_lines(lines: DataFrame, narrow: int = _NARROW) -> DataFrame:
             "at", "h1", "h2", "length", F.xxhash64("word").alias("h"),
             F.pmod(F.xxhash64(F.substring("word", 1, 1)), F.lit(_BLOCKS)).cast("int").alias("g"))
 
-    # More words than ``narrow`` need as many characters.
-    counted = _packed_votes(rows(hashed, False)).unionByName(_wide_votes(rows(hashed.where(F.col("length") > narrow), True)))
+    counted = _packed_votes(rows(False)).unionByName(_wide_votes(rows(True)))
     total = sum((F.col(f"n{j}") for j in range(_BLOCKS)), _long(0))
     fp, rest = _long(0), F.col("b4").bitwiseOR(F.shiftleft(F.col("length").cast("long"), 25))
     for j in range(4):
@@ -173,6 +177,42 @@ def similar(a: Column, b: Column, similarity: float = SIMILARITY) -> Column:
     return F.when(longer - shorter > allowed, False).otherwise((distance >= 0) & (distance <= allowed))
 
 
+def similar_pairs(pairs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of ``pairs`` whose texts ``one`` and ``two`` are ``similar``, with few characters compared.
+
+    Lines of as many words are similar if the edits from word to word, which no shorter way exceeds, are few enough.  All others
+    are compared without the words that they have in common at both ends, which costs no edit.
+    """
+    longer, shorter = F.greatest(F.length("one"), F.length("two")), F.least(F.length("one"), F.length("two"))
+    near = pairs.withColumn("allowed", _allowed(longer, similarity)).where(longer - shorter <= F.col("allowed"))
+    # Each step is a projection of its own, so that no split is done again for every use.
+    words = near.withColumn("a", F.split("one", " ")).withColumn("b", F.split("two", " "))
+
+    def common(a: Column, b: Column) -> Column:
+        at = F.array_position(F.zip_with(a, b, lambda x, y: ~x.eqNullSafe(y)), True)
+        return F.when(at == 0, F.size(a)).otherwise(at - 1).cast("int")
+
+    head = words.withColumn("head", common(F.col("a"), F.col("b")))
+    tail = head.withColumn("tail", F.least(common(F.reverse("a"), F.reverse("b")), F.least(F.size("a"), F.size("b")) - F.col("head")))
+
+    def middle(c: str) -> Column:
+        return F.slice(c, F.col("head") + 1, F.size(c) - F.col("head") - F.col("tail"))
+
+    cut = tail.withColumn("a", middle("a")).withColumn("b", middle("b"))
+    by_word = F.aggregate(F.zip_with("a", "b", lambda x, y: F.when(x == y, 0).otherwise(F.levenshtein(x, y))), F.lit(0),
+                          lambda total, edits: total + edits)
+    one, two = F.array_join("a", " "), F.array_join("b", " ")
+    # A bound by words is worth its price only where it is no comparison of all characters.
+    many = (F.size("a") == F.size("b")) & (F.size("a") >= FEW_WORDS)
+    # What is cut off may leave or take a space, where one text has no words left between.
+    exact = (F.size("a") > 0) & (F.size("b") > 0)
+    distance = F.call_function("levenshtein", F.when(exact, one).otherwise(F.col("one")), F.when(exact, two).otherwise(F.col("two")),
+                               F.col("allowed"))
+    verdict = F.when(F.col("one") == F.col("two"), True).when(many & (by_word <= F.col("allowed")), True).otherwise(
+        (distance >= 0) & (distance <= F.col("allowed")))
+    return cut.where(verdict).select(*pairs.columns)
+
+
 def line_groups(lines: DataFrame, measured: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``(h1, h2, first)``: for every distinct line, the place of the first line of its connected group.
 
@@ -208,18 +248,20 @@ def line_groups(lines: DataFrame, measured: DataFrame, similarity: float = SIMIL
             F.col("at").alias("at2"), *(F.col(c).alias(f"{c}2") for c in ("size", "text", "words"))), "at2")
         by_words = F.greatest("size", "size2") > LONG
         one, two = (F.when(by_words, F.col(f"words{n}")).otherwise(F.col(f"text{n}")) for n in ("", "2"))
-        return cut_lineage(both.select("at", "at2", one.alias("one"), two.alias("two")).where(
-            similar(F.col("one"), F.col("two"), similarity)).select("at", "at2"))
+        return cut_lineage(similar_pairs(both.select("at", "at2", one.alias("one"), two.alias("two")), similarity).select("at", "at2"))
 
     found = verified(fitting(members.where(F.col("at") != F.col("leader")).withColumnRenamed("leader", "at2")))
     groups = connected_components(found, "at", "at2")
     named = cut_lineage(members.join(groups, F.col("at") == F.col("node"), "left").select(
-        "key", "at", "length", F.coalesce("component", "at").alias("group")))
-    divided = named.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).where(F.col("low") < F.col("high"))
-    # Lines that are no first line themselves were compared with it; left are pairs of others, of two groups.
-    one = named.join(divided.select("key"), "key")
-    two = one.select("key", F.col("at").alias("at2"), F.col("length").alias("length2"), F.col("group").alias("group2"))
-    rest = verified(fitting(one.join(two, "key").where(F.col("group") < F.col("group2"))))
+        "key", "at", "length", "leader", F.coalesce("component", "at").alias("group")))
+    main = F.max(F.when(F.col("at") == F.col("leader"), F.col("group"))).alias("main")
+    divided = named.groupBy("key").agg(main, F.min("group").alias("low"), F.max("group").alias("high")).where(F.col("low") < F.col("high"))
+    # Left are pairs of two groups.  One of the two lines is outside the group of the first line, which may be a large one, and
+    # that first line was compared with all.
+    one = named.join(divided.select("key", "main"), "key").where(F.col("at") != F.col("leader"))
+    two = one.where(F.col("group") != F.col("main")).select(
+        "key", F.col("at").alias("at2"), F.col("length").alias("length2"), F.col("group").alias("group2"))
+    rest = verified(fitting(one.join(two, "key").where((F.col("group") == F.col("main")) | (F.col("group") < F.col("group2")))))
     joined = groups.select(F.col("node").alias("at"), F.col("component").alias("at2"))
     final = groups if rest.isEmpty() else connected_components(joined.unionByName(rest), "at", "at2")
     return distinct.join(final, F.col("at") == F.col("node"), "left").select(
@@ -234,7 +276,7 @@ def judge_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     columns of ``docs`` are not looked at.  An empty table gives an empty result.
     """
     lines = lines_of(docs)
-    measured = cut_lineage(measured_lines(lines))
+    measured = cut_lineage(measured_lines(docs))
     grouped = measured.join(line_groups(lines, measured, similarity), ["h1", "h2"]).select(F.col("at").alias("_at"), "first")
     return places_of(docs).drop("line").join(grouped, "_at").select(
         "_id", "_row", "_line", F.col("first").alias("group"), (F.col("_at") == F.col("first")).alias("kept"))

@@ -7,7 +7,7 @@ from itertools import combinations
 import pytest
 import xxhash
 
-from eventloom.llm.line_dedup import dedup_lines, judge_lines, lines_of, measured_lines, numbered
+from eventloom.llm.line_dedup import dedup_lines, judge_lines, lines_of, measured_lines, numbered, similar_pairs
 from eventloom.session import shared_folder
 
 
@@ -18,7 +18,7 @@ def words_of(line):
 def features(line):
     text = " ".join(words_of(line))
     words = text.split(" ")
-    return words if len(words) >= 4 else [text[i:i + 2] for i in range(len(text))]
+    return list(dict.fromkeys(words)) if len(words) >= 4 else [text[i:i + 2] for i in range(len(text))]
 
 
 def signed(value):
@@ -104,7 +104,7 @@ def documents():
 def test_prints(spark, documents, narrow):
     docs = numbered(stored(spark, documents, f"lines-a{narrow}"))
     lines = lines_of(docs)
-    got = {r.at: (r.fp, r.rest) for r in measured_lines(lines, narrow).collect()}
+    got = {r.at: (r.fp, r.rest) for r in measured_lines(docs, narrow).collect()}
     text = {r._at: r.text for r in lines.collect()}
     assert set(got) == set(text)
     for at, (fp, rest) in got.items():
@@ -192,3 +192,20 @@ def test_hot_key_of_lines_that_are_not_similar(spark):
     rows += [(200 + i, rows[i][1] + "s") for i in range(0, 200, 2)]
     got = {r._id: r.group for r in judge_lines(numbered(stored(spark, rows, "lines-hot"))).collect()}
     assert all(got[200 + i] == got[i] for i in range(0, 200, 2)) and len(set(got.values())) == 200
+
+
+def test_pairs_by_words(spark):
+    """Bounds by words and common ends change no verdict."""
+    rng = random.Random(8)
+    pairs = [("", ""), ("a", "a"), ("a b", "a"), ("a a a a a a a a a a a", "a a a a a a a a a a"), ("x" * 40, "x" * 39), ("a b c d", "b c d a")]
+    for _ in range(600):
+        line = ["".join(rng.choice("abc") for _ in range(rng.randint(1, 6))) for _ in range(rng.randint(1, 30))]
+        other = list(line)
+        for _ in range(rng.choice((0, 1, 1, 2, 3))):
+            at = rng.randrange(len(other))
+            other[at:at + 1] = rng.choice(([typo(rng, other[at]) or "b"], [other[at]] * 2, [other[at] + "c"], [], [other[at], "ab"])) or other[at + 1:at + 2] or ["a"]
+        pairs.append((" ".join(line), " ".join(other)))
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, one string, two string")
+    got = {r.i for r in similar_pairs(df).collect()}
+    want = {i for i, (a, b) in enumerate(pairs) if similar_texts(a, b)}
+    assert got == want and 100 < len(want) < 500
