@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from eventloom.llm.common import cut_lineage, with_row
 from eventloom.llm.components import connected_components
+from eventloom.operators.settle import settle
 
 SIMILARITY = 0.9
 # Lines of fewer words are taken by pairs of characters.
@@ -169,48 +170,41 @@ def spelled(text: Column) -> Column:
     return F.decode(F.unhex(F.array_join(F.transform(F.split(text, " "), character), "")), "UTF-16BE")
 
 
-def similar(a: Column, b: Column, similarity: float = SIMILARITY) -> Column:
-    """True if 1 - edits / characters of the longer is at least ``similarity``; lengths that cannot do are told first."""
-    longer, shorter = F.greatest(F.length(a), F.length(b)), F.least(F.length(a), F.length(b))
-    allowed = _allowed(longer, similarity)
-    distance = F.call_function("levenshtein", a, b, allowed)
-    return F.when(longer - shorter > allowed, False).otherwise((distance >= 0) & (distance <= allowed))
-
-
 def similar_pairs(pairs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of ``pairs`` whose texts ``one`` and ``two`` are ``similar``, with few characters compared.
+    """The rows of ``pairs`` with 1 - edits / characters of the longer of ``one`` and ``two`` at least ``similarity``.
 
-    Lines of as many words are similar if the edits from word to word, which no shorter way exceeds, are few enough.  All others
-    are compared without the words that they have in common at both ends, which costs no edit.
+    Lengths that cannot do are told first.  Lines of as many words are similar if the edits from word to word are few enough, as the
+    edits of the lines are no more.  All others are compared without the words common to both ends, which changes no distance.
     """
     longer, shorter = F.greatest(F.length("one"), F.length("two")), F.least(F.length("one"), F.length("two"))
     near = pairs.withColumn("allowed", _allowed(longer, similarity)).where(longer - shorter <= F.col("allowed"))
     # Each step is a projection of its own, so that no split is done again for every use.
     words = near.withColumn("a", F.split("one", " ")).withColumn("b", F.split("two", " "))
+    by_word = F.aggregate(F.zip_with("a", "b", lambda x, y: F.when(x == y, 0).otherwise(F.levenshtein(x, y))), F.lit(0),
+                          lambda total, edits: total + edits)
+    # A bound by words is worth its price only where it is no comparison of all characters.
+    many = (F.size("a") == F.size("b")) & (F.size("a") >= FEW_WORDS)
+    told = words.withColumn("sure", (F.col("one") == F.col("two")) | F.when(many, by_word <= F.col("allowed")).otherwise(False))
+    left = told.select(*pairs.columns, "allowed", "sure", *(F.when(~F.col("sure"), F.col(c)).alias(c) for c in "ab"))
 
     def common(a: Column, b: Column) -> Column:
         at = F.array_position(F.zip_with(a, b, lambda x, y: ~x.eqNullSafe(y)), True)
         return F.when(at == 0, F.size(a)).otherwise(at - 1).cast("int")
 
-    head = words.withColumn("head", common(F.col("a"), F.col("b")))
+    head = left.withColumn("head", common(F.col("a"), F.col("b")))
     tail = head.withColumn("tail", F.least(common(F.reverse("a"), F.reverse("b")), F.least(F.size("a"), F.size("b")) - F.col("head")))
 
     def middle(c: str) -> Column:
         return F.slice(c, F.col("head") + 1, F.size(c) - F.col("head") - F.col("tail"))
 
     cut = tail.withColumn("a", middle("a")).withColumn("b", middle("b"))
-    by_word = F.aggregate(F.zip_with("a", "b", lambda x, y: F.when(x == y, 0).otherwise(F.levenshtein(x, y))), F.lit(0),
-                          lambda total, edits: total + edits)
-    one, two = F.array_join("a", " "), F.array_join("b", " ")
-    # A bound by words is worth its price only where it is no comparison of all characters.
-    many = (F.size("a") == F.size("b")) & (F.size("a") >= FEW_WORDS)
-    # What is cut off may leave or take a space, where one text has no words left between.
-    exact = (F.size("a") > 0) & (F.size("b") > 0)
-    distance = F.call_function("levenshtein", F.when(exact, one).otherwise(F.col("one")), F.when(exact, two).otherwise(F.col("two")),
+    # Where one text has no words left between, a space goes or stays with the words of the other.
+    whole = (F.size("a") == 0) | (F.size("b") == 0)
+    distance = F.call_function("levenshtein", *(F.when(whole, F.col(text)).otherwise(F.array_join(c, " ")) for text, c in (("one", "a"), ("two", "b"))),
                                F.col("allowed"))
-    verdict = F.when(F.col("one") == F.col("two"), True).when(many & (by_word <= F.col("allowed")), True).otherwise(
-        (distance >= 0) & (distance <= F.col("allowed")))
-    return cut.where(verdict).select(*pairs.columns)
+    # A filter on the verdict itself would be pushed down and repeat all steps for every use.
+    judged = settle(cut.withColumn("same", F.when(F.col("sure"), True).otherwise(distance >= 0)), "same")
+    return judged.where("same").select(*pairs.columns)
 
 
 def line_groups(lines: DataFrame, measured: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
