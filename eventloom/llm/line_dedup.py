@@ -53,13 +53,21 @@ def places_of(docs: DataFrame) -> DataFrame:
     return lines.select("_id", "_row", "_line", F.monotonically_increasing_id().alias("_at"), "line")
 
 
+def numbers_of(docs: DataFrame) -> DataFrame:
+    """``places_of`` without the texts: lines are counted, not cut."""
+    breaks = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit("")))
+    lines = docs.select("_id", "_row", F.explode(F.sequence(F.lit(0), breaks)).alias("_line"))
+    return lines.select("_id", "_row", "_line", F.monotonically_increasing_id().alias("_at"))
+
+
 def lines_of(docs: DataFrame, least: int = 0) -> DataFrame:
     """``(_at, text)`` of every normalised line with a word; of long lines only, if ``least`` characters are asked for."""
     # A filter on the normalised text would be pushed down and normalise every line twice.
-    worded = places_of(docs).where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
+    places = places_of(docs)
     if least:
         # Lower case may take more characters than the text had, up to three for one.
-        worded = worded.where(F.length("line") * 3 >= least)
+        places = places.where(F.length("line") * 3 >= least)
+    worded = places.where(F.btrim("line", F.lit(" \t\n\x0b\x0c\r")) != "")
     return worded.select("_at", normalise(F.col("line")).alias("text"))
 
 
@@ -272,7 +280,7 @@ def judge_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     lines = lines_of(docs)
     measured = cut_lineage(measured_lines(docs))
     grouped = measured.join(line_groups(lines, measured, similarity), ["h1", "h2"]).select(F.col("at").alias("_at"), "first")
-    return places_of(docs).drop("line").join(grouped, "_at").select(
+    return numbers_of(docs).join(grouped, "_at").select(
         "_id", "_row", "_line", F.col("first").alias("group"), (F.col("_at") == F.col("first")).alias("kept"))
 
 
