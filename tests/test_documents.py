@@ -173,3 +173,16 @@ def test_redaction_audit(events):
     rows = events('{"email":1,"ssn":2,"name":3,"password":{"email":4}}')
     found = redaction_audit(rows, Privacy(blocklist=("email", "ssn", "password")), ("n",)).collect()
     assert sorted(r.field for r in found) == ["email", "password", "ssn"]
+
+
+def test_outline_does_not_grow_with_members(events):
+    wide = "{" + ",".join(f'"k{i}":"a,{{\\"[{i}"' for i in range(600)) + ',"d":{"e":[[],{}]}}'
+    rows = events(wide, "5", "{}", '{"a":{}}', '[{},{"b":1}]')
+    got = {r.n: (r.o, r.d) for r in rows.select("n", jt.outline(F.col("raw")).alias("o"), jt.max_depth(F.col("raw")).alias("d")).collect()}
+    assert got == {0: ("((}((}((}(}(}}}}", 4), 1: ("(}", 1), 2: ("(}", 1), 3: ("((}(}}", 2), 4: ("((}(}((}}}", 3)}
+
+
+def test_spaces_are_trimmed_around_events(events):
+    got = gov.parse_events(events('{"a":1}', '\u2003{"a":1}', '{"a":1}\u00a0\n', '{"a":1} x', None, "")).select("n", "raw", F.to_json("doc").alias("d"))
+    assert {r.n: (r.raw, r.d) for r in got.collect()} == {
+        0: ('{"a":1}',) * 2, 1: ('{"a":1}',) * 2, 2: ('{"a":1}',) * 2, 3: ('{"a":1} x', None), 4: (None, None), 5: ("", None)}
