@@ -32,8 +32,8 @@ _LANES, _WIDTH = 5, 12
 _ONES = sum(1 << (_WIDTH * k) for k in range(_LANES))
 _HIGH = 1 << (_WIDTH - 1)
 _NARROW = _HIGH - 1
-# Places are sorted into so many buckets; that many numbers at most are broadcast.
-_BUCKETS = 1 << 20
+# Places are told by one bit each, so many powers of two to a number.
+_PLACE_BITS = 6
 
 
 def normalise(line: Column) -> Column:
@@ -56,20 +56,22 @@ def places_of(docs: DataFrame) -> DataFrame:
 def lines_of(docs: DataFrame, least: int = 0) -> DataFrame:
     """``(_at, text)`` of every normalised line with a word; of long lines only, if ``least`` characters are asked for."""
     # A filter on the normalised text would be pushed down and normalise every line twice.
-    worded = places_of(docs).where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
+    places = places_of(docs)
     if least:
-        # Lower case may take more characters than the text had, up to three for one.
-        worded = worded.where(F.length("line") * 3 >= least)
-    return worded.select("_at", normalise(F.col("line")).alias("text"))
+        # Lower case may take more bytes than the text had, up to three for one; the number of bytes is known unread.
+        places = places.where(F.octet_length("line") * 3 >= least)
+    # Most lines begin with a word.
+    worded = (F.ascii("line") > 32) | F.col("line").rlike(r"[^\x20\x09-\x0D]")
+    return places.where(worded).select("_at", normalise(F.col("line")).alias("text"))
 
 
 def _long(value: int) -> Column:
     return F.lit(value).cast("long")
 
 
-def features(text: Column) -> Column:
-    """The different words of a normalised line; of a line of few words its pairs of neighbouring characters, repeats included."""
-    words, characters = F.split(text, " "), F.split(text, "")
+def features(text: Column, words: Column) -> Column:
+    """The different ``words`` of a normalised line; of a line of few words its pairs of neighbouring characters, repeats included."""
+    characters = F.split(text, "")
     pairs = F.transform(characters, lambda c, i: F.concat(c, F.coalesce(F.get(characters, i + 1), F.lit(""))))
     return F.when(F.size(words) >= FEW_WORDS, F.array_distinct(words)).otherwise(pairs)
 
@@ -89,11 +91,16 @@ def _packed_votes(rows: DataFrame) -> DataFrame:
     def block(j: int) -> Column:
         value = _long(0)
         for s in steps:
-            for k in range(_LANES):
-                value = value.bitwiseOR(F.shiftleft(F.shiftright(carried[j][s], _WIDTH * k).bitwiseAND(_long(1)), s * _LANES + k))
+            # Bit k is at _WIDTH * k; shifts that bring all of them down at once, as code of one step a bit is too long for the JVM to compile.
+            low = carried[j][s]
+            for k in range(1, _LANES):
+                low = low.bitwiseOR(F.shiftright(carried[j][s], (_WIDTH - 1) * k))
+            value = value.bitwiseOR(F.shiftleft(low.bitwiseAND(_long((1 << _LANES) - 1)), s * _LANES))
         return value
 
-    return counted.select("at", "h1", "h2", "length", *(size[j].alias(f"n{j}") for j in range(_BLOCKS)),
+    # Lines that are counted apart have no votes here.
+    apart = F.col("sizes").isNull().alias("apart")
+    return counted.select(apart, "at", "h1", "h2", "length", *(size[j].alias(f"n{j}") for j in range(_BLOCKS)),
                           *(block(j).alias(f"b{j}") for j in range(_BLOCKS)))
 
 
@@ -113,24 +120,24 @@ def measured_lines(docs: DataFrame, narrow: int = _NARROW) -> DataFrame:
 
     A bit of a block is set if over half of the hashes of its words have it.  ``fp`` holds four blocks; ``rest`` the fifth, from bit
     15 on which triples of blocks are keys, and from bit 25 on the length.  A triple is a key if it holds two words or more, and at
-    least a quarter of the line's.  Lines of more than ``narrow`` words are counted apart.
+    least a quarter of the line's.  Lines of more than ``narrow`` words are counted apart.  The votes are checkpointed.
     """
     def rows(wide: bool) -> DataFrame:
         # More words than ``narrow`` need as many characters.
         some = lines_of(docs, narrow if wide else 0).select(
             F.col("_at").alias("at"), F.xxhash64("text").alias("h1"), F.xxhash64("text", F.lit(1)).alias("h2"),
-            F.length("text").alias("length"), "text")
+            F.length("text").alias("length"), "text", F.split("text", " ").alias("words"))
         # In steps: what stands beside an explode is computed for every exploded row.  A filter on the number of words, and the
         # one that Spark puts before an inner explode, would read the words twice.
-        words = some.select("at", "h1", "h2", "length", features(F.col("text")).alias("words"))
+        words = some.select("at", "h1", "h2", "length", features(F.col("text"), F.col("words")).alias("words"))
         chosen = F.when((F.size("words") > narrow) if wide else (F.size("words") <= narrow), F.col("words"))
         exploded = words.select("at", "h1", "h2", "length", chosen.alias("words")).select(
             "at", "h1", "h2", "length", F.explode_outer("words").alias("word"))
-        return exploded.where(F.col("word").isNotNull()).select(
+        # A line that is counted apart stays as one row without a word.
+        return (exploded.where(F.col("word").isNotNull()) if wide else exploded).select(
             "at", "h1", "h2", "length", F.xxhash64("word").alias("h"),
-            F.pmod(F.xxhash64(F.substring("word", 1, 1)), F.lit(_BLOCKS)).cast("int").alias("g"))
+            F.when(F.col("word").isNotNull(), F.pmod(F.xxhash64(F.substring("word", 1, 1)), F.lit(_BLOCKS)).cast("int")).alias("g"))
 
-    counted = _packed_votes(rows(False)).unionByName(_wide_votes(rows(True)))
     total = sum((F.col(f"n{j}") for j in range(_BLOCKS)), _long(0))
     fp, rest = _long(0), F.col("b4").bitwiseOR(F.shiftleft(F.col("length").cast("long"), 25))
     for j in range(4):
@@ -138,7 +145,13 @@ def measured_lines(docs: DataFrame, narrow: int = _NARROW) -> DataFrame:
     for number, (i, j, k) in enumerate(_TRIPLES):
         held = F.col(f"n{i}") + F.col(f"n{j}") + F.col(f"n{k}")
         rest = rest.bitwiseOR(F.when((held >= 2) & (held * 4 >= total), _long(1 << (_BITS + number))).otherwise(_long(0)))
-    return counted.select("at", "h1", "h2", fp.alias("fp"), rest.alias("rest"))
+    fields = ("at", "h1", "h2", fp.alias("fp"), rest.alias("rest"))
+    packed = cut_lineage(_packed_votes(rows(False)).select("apart", *fields))
+    told = packed.where("NOT apart").drop("apart")
+    # Lines are read again only where some are counted apart.
+    if packed.where("apart").isEmpty():
+        return told
+    return told.unionByName(cut_lineage(_wide_votes(rows(True)).select(*fields)))
 
 
 def block_keys(distinct: DataFrame) -> DataFrame:
@@ -226,12 +239,12 @@ def line_groups(lines: DataFrame, measured: DataFrame, similarity: float = SIMIL
         longer = F.greatest("length", "length2")
         return pairs.where(longer - F.least("length", "length2") <= _allowed(longer, similarity)).select("at", "at2").distinct()
 
-    involved = members.select(F.col("at").alias("_at")).distinct()
-    # Most lines are not involved; a bounded table of buckets tells so before their text moves.
-    bucket = F.pmod(F.xxhash64("_at"), F.lit(_BUCKETS)).cast("int").alias("bucket")
-    buckets = F.broadcast(involved.select(bucket).distinct())
-    some = lines.select("_at", "text", bucket).join(buckets, "bucket", "left_semi").select("_at", "text")
-    texts = cut_lineage(some.join(involved.hint("shuffle_hash"), "_at", "left_semi").select(
+    # Most lines are not involved; a bit for each of 64 places tells so before any text is normalised or moves.
+    bits = members.select("at").groupBy(F.shiftright("at", _PLACE_BITS).alias("places")).agg(
+        F.expr(f"bit_or(shiftleft(1L, CAST(at & {(1 << _PLACE_BITS) - 1} AS INT)))").alias("bits"))
+    held = F.expr(f"shiftright(bits, CAST(_at & {(1 << _PLACE_BITS) - 1} AS INT)) & 1L") == 1
+    some = lines.join(F.broadcast(bits), (F.shiftright("_at", _PLACE_BITS) == F.col("places")) & held, "left_semi")
+    texts = cut_lineage(some.select(
         # Lines that only go with longer ones than ``LONG`` need no characters, and those that go with none of them no words.
         F.col("_at").alias("at"), F.length("text").alias("size"),
         F.when(F.length("text") <= LONG / similarity + 1, F.col("text")).alias("text"),
@@ -270,7 +283,7 @@ def judge_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     columns of ``docs`` are not looked at.  An empty table gives an empty result.
     """
     lines = lines_of(docs)
-    measured = cut_lineage(measured_lines(docs))
+    measured = measured_lines(docs)
     grouped = measured.join(line_groups(lines, measured, similarity), ["h1", "h2"]).select(F.col("at").alias("_at"), "first")
     return places_of(docs).drop("line").join(grouped, "_at").select(
         "_id", "_row", "_line", F.col("first").alias("group"), (F.col("_at") == F.col("first")).alias("kept"))

@@ -7,6 +7,7 @@ from itertools import combinations
 import pytest
 import xxhash
 
+from eventloom.llm import line_dedup
 from eventloom.llm.line_dedup import dedup_lines, judge_lines, lines_of, measured_lines, numbered, similar_pairs
 from eventloom.session import shared_folder
 
@@ -209,3 +210,19 @@ def test_pairs_by_words(spark):
     got = {r.i for r in similar_pairs(df).collect()}
     want = {i for i, (a, b) in enumerate(pairs) if similar_texts(a, b)}
     assert got == want and 100 < len(want) < 500
+
+
+def test_votes_are_compiled_and_read_once(spark, monkeypatch):
+    docs = numbered(stored(spark, [(0, "one two three four five"), (1, "one two three four fife"), (2, "x")], "lines-code"))
+    cut, kept = line_dedup.cut_lineage, []
+    monkeypatch.setattr(line_dedup, "cut_lineage", lambda df: (kept.append(df), cut(df))[1])
+    monkeypatch.setattr(line_dedup, "_wide_votes", lambda rows: pytest.fail("no line has so many words"))
+    assert len(judge_lines(docs).collect()) == 3
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    code = measured_lines(docs) and kept[-1]._jdf.queryExecution().debug().codegenToSeq()
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    # The JVM leaves longer methods to its interpreter.
+    assert max(code.apply(i)._3().maxMethodCodeSize() for i in range(code.size())) < 8000
+    texts = [df for df in kept if "words" in df.columns]
+    # Lines are told exactly, so no join makes rows that a second one has to drop.
+    assert texts and all(df._jdf.queryExecution().optimizedPlan().toString().count("LeftSemi") == 1 for df in texts)
