@@ -81,7 +81,8 @@ def links(prints: DataFrame) -> DataFrame:
 
     own = F.when(F.bit_count(low) <= 1, place(low)).otherwise(place(high) + 32)
     verified = (F.bit_count(differing) <= DISTANCE) & (F.shiftrightunsigned("key", 32) == own)
-    return left.join(right, "key").where((F.col("a") < F.col("b")) & verified).select("a", "b")
+    # Spark takes the 64 variants to be as small as the fingerprints they come from, and would broadcast them.
+    return left.join(right.hint("merge"), "key").where((F.col("a") < F.col("b")) & verified).select("a", "b")
 
 
 def _rooted(docs: DataFrame, id_column: str, columns: list[str]) -> DataFrame:
