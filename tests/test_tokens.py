@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from eventloom.config import Privacy
 from eventloom.functions import tokens
-from eventloom.operators import governance as gov
+from eventloom.operators import governance as gov, redaction
 from eventloom.operators.nodes import json_nodes
 from eventloom.operators.redaction import redact_processor
 from eventloom.sources.payloads import parse_payloads
@@ -107,6 +107,25 @@ def test_masks_are_spliced(events, documents):
     assert any(r.m.paths for r in rows)
 
 
+def test_plain_rule_says_what_the_columns_say(events, documents):
+    odd = ['{"a":[[{"b":{"c":[]}}]],"B" : [ { "x.b":1 } ] , "":{"a":{"":2},"b":[]}}', '[[{"a":{"b":[1]}}],{"c":[[{"b":{}}]]}]  ', "[]", "3", "{}",
+           '{"x":{"a":[{"n":{"b":"}]"}}]},"k":{"a.b":{"c":1}}}', '{"\\u0061":1,"b":{"é":2}}']
+    rows = events(*documents[1], *odd)
+    for rules in (Privacy(allowlist=("a", "b.*", "x.a", "*0")), Privacy(blocklist=("B", "a.c", "e.*", "*.n"))):
+        place, plain = redaction._place_rule(rules), redaction._plain_rule(rules)
+        both = rows.select("n", tokens.mask_members(F.col("raw"), place, '"#"').alias("a"),
+                           tokens.mask_members(F.col("raw"), place, '"#"', plain).alias("b")).collect()
+        assert [r.a for r in both] == [r.b for r in both] and any(r.a.paths for r in both)
+
+
+def test_plain_rule_judges_a_path_once():
+    seen = []
+    masker = tokens._Masker(lambda path, name: seen.append(path) or name == "s", '"#"')
+    text = '{"a":' * 500 + '{"s":[{"t":1}]}' + "}" * 500
+    assert [masker.masked(text) for _ in range(3)][2] == (text.replace('[{"t":1}]', '"#"'), ["a." * 500 + "s"])
+    assert len(seen) == 501
+
+
 def test_repeated_keys_count_once(events):
     rows = events('{"a":{"x":1},"a":[true],"id":{"id":1}}', '{"\\u0061":1,"a":{"b":2}}', '{"id":{"id":1.50}}', "[1,1]")
     paths = {}
