@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from eventloom.config import Privacy
-from eventloom.functions import tokens
+from eventloom.functions import jsontext as jt, tokens
 from eventloom.operators import governance as gov, redaction
 from eventloom.operators.nodes import json_nodes
 from eventloom.operators.redaction import redact_processor
@@ -85,6 +85,21 @@ def test_check(events, documents):
             assert (r.c.fields, r.c.depth) == (walker.count(doc), walker.depth(doc))
 
 
+def test_check_of_runs(events):
+    texts = ['[ [ {"a" : [ { "b":{"c" : [ ] } } ] } , {} ] , 1 ] ', '{"a":}', '[{"a":]}', '{"a":{"b":1}]', "[[1]]]", "[[1]", '{"a":{"b":[}}}', '{"a" "b":1}',
+             '[{"a":"\\q"}]', '["\x01","b"]', '["a" , {"b":{"c":{}}} , [[[]]]]', "{{}}", '{["a"]}', "[,[]]", '{,"a":1}', '[{"a":1,}]', '[{"a":1 "b":2}]', "[]{}", '{"a":"b":1}',
+             '{"a":' * 9_999 + "[]" + "}" * 9_999, '{"a":' * 9_999 + "[1]" + "}" * 9_999, '{"a":' * 9_999 + "[[]]" + "}" * 9_999, '{"a":' * 9_999 + "1" + "}" * 9_999]
+    rows = events(*texts).select("n", tokens.check(F.col("raw")).alias("c"))
+    assert [r.n for r in rows.collect() if r.c.valid] == [0, 10, 19, 22]
+    assert [(r.c.fields, r.c.depth) for r in rows.where("n in (0, 10, 19, 22)").orderBy("n").collect()] == [(3, 7), (2, 4), (9_999, 10_000), (9_999, 10_000)]
+
+
+def test_deep_texts_are_checked_in_few_steps(events):
+    pieces = F.size(F.regexp_extract_all(F.regexp_replace("raw", tokens._EXACT_STRING, '""'), F.lit(tokens._EXACT), F.lit(0)))
+    rows = events('{"a":[' * 600 + "]}" * 600, "[" * 900 + "{}" + "]" * 900)
+    assert [tuple(r) for r in rows.orderBy("n").select(pieces, jt.max_depth(F.col("raw"))).collect()] == [(2, 1200), (2, 901)]
+
+
 def test_masks_are_spliced(events, documents):
     docs, texts = documents
 
