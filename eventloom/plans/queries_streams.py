@@ -189,8 +189,9 @@ def dlq_redeliver(spark, sf_dir):
     """Dead letters the whole way again with the limits off, twice under the same number, and what the sink has then."""
     base = scratch_path(spark, "redelivered")
     failed = govern(wide_events(spark, sf_dir)).where(F.col("code").isNotNull())
-    records = dlq_rows(dlq_records(failed.withColumn("first_error", F.col("code")), F.col("ts")).select(
-        F.to_json(F.struct("timestamp", "error", "raw")).alias("value")))
+    # Governed and taken apart once, for both replays.
+    records = staged(dlq_rows(dlq_records(failed.withColumn("first_error", F.col("code")), F.col("ts")).select(
+        F.to_json(F.struct("timestamp", "error", "raw")).alias("value"))).select("dlq_id", "raw_event"), "to-replay")
     settings = Settings(limits=Limits(enabled=False), privacy=Privacy(mode="off"))
     sinks = (Sink("primary", "primary", parquet_sink(f"{base}/primary", lambda rows: rows.select("raw"))),)
     for _ in range(2):

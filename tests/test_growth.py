@@ -1,6 +1,7 @@
 """What keeps tasks, state and broadcasts small as tables grow."""
 
 import random
+from collections import Counter
 from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from eventloom.plans import catalog
 from eventloom.plans.queries_streams import in_parts
 from eventloom.plans.wide_events import TASK_ROWS, read_table
 from eventloom.streaming import dedupe
+from eventloom.streaming.jobs import redeliver
 
 START = datetime(2024, 1, 1, tzinfo=timezone.utc)
 
@@ -71,6 +73,17 @@ def test_keys_of_one_bucket_are_judged_apart(spark, tmp_path, monkeypatch):
     assert got == {0: False, 1: False, 2: True, 3: False, 4: False, 5: False, 6: True}
 
 
+def test_replayed_dead_letters_are_governed_once(spark, tmp_path, monkeypatch):
+    from eventloom.plans import queries_streams
+
+    seen = []
+    monkeypatch.setattr(queries_streams, "redeliver", lambda records, *a, **b: seen.append(plan(records)) or redeliver(records, *a, **b))
+    counts = queries_streams.dlq_redeliver(spark, event_table(spark, tmp_path)).first()
+    # Of 40 events, two each have no version, too many fields, too much nesting, a long string, or are no object.
+    assert tuple(counts)[:3] == (6, 10, 6)
+    assert len(seen) == 2 and not any("events.parquet" in p for p in seen)
+
+
 def test_tokens_are_read_outside_a_fold(spark, events):
     text = ' {"a" : {"s":[1,{"s":2}]}, "s" : {"x":[{}]} , "\\ud800":[{"s":"q\\"}"}], "":{"s":null}} '
     hidden = tokens.mask_members(F.col("raw"), lambda path, name, value: (name == "s") | F.endswith(value, F.lit('}"')), '"#"')
