@@ -73,6 +73,24 @@ def test_keys_of_one_bucket_are_judged_apart(spark, tmp_path, monkeypatch):
     assert got == {0: False, 1: False, 2: True, 3: False, 4: False, 5: False, 6: True}
 
 
+def test_rows_with_and_without_a_key_are_computed_once(spark, tmp_path):
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    rows = [("a", START, 1), ("a", START, 2**60 + 1), (None, START, None), (" ", START, 2**60 + 3), ("b", None, None), ("b", START, 6)]
+    spark.createDataFrame(rows, "k string, ts timestamp, n long").coalesce(1).write.parquet(source)
+    judged = dedupe.dedupe_stream(spark.readStream.schema("k string, ts timestamp, n long").parquet(source), "k", "ts", ("n",), timedelta(hours=24))
+    done = []
+
+    def keep(batch, batch_id):
+        done.append(spark.streams.active[0]._jsq.explainInternal(False))
+        batch.write.mode("append").parquet(out)
+
+    judged.writeStream.foreachBatch(keep).option("checkpointLocation", str(tmp_path / "log")).trigger(availableNow=True).start().awaitTermination()
+    assert done[0].count("ReusedExchange") == 1 and done[0].count("Scan parquet") == 1
+    got = Counter((r.k, r.ts is None, r.n, r.duplicate) for r in spark.read.parquet(out).collect())
+    assert got == Counter([("a", False, 1, False), ("a", False, 2**60 + 1, True), (None, False, None, False), (" ", False, 2**60 + 3, False),
+                           ("b", True, None, False), ("b", False, 6, False)])
+
+
 def test_replayed_dead_letters_are_governed_once(spark, tmp_path, monkeypatch):
     from eventloom.plans import queries_streams
 
