@@ -26,6 +26,10 @@ from eventloom.streaming.delivery import Sink, fanout_writer, parquet_sink, read
 from eventloom.streaming.jobs import delivery_stream, read_backlog, redeliver
 
 
+# So many tasks of the table write one file of a backlog, or a consumer that takes a few files at a time would take thousands of batches.
+FILE_TASKS = 32
+
+
 def event_stream(spark, sf_dir) -> DataFrame:
     """The events table as a stream of wide events."""
     schema = read_table(spark, sf_dir, "events").schema
@@ -166,8 +170,9 @@ def backlog_twice(spark, sf_dir):
             availableNow=True).start().awaitTermination()
 
     rows = wide_events(spark, sf_dir)
+    files = max(spark.sparkContext.defaultParallelism, rows.rdd.getNumPartitions() // FILE_TASKS)
     for part in range(2):
-        rows.where(F.pmod("eid", F.lit(2)) == part).select("raw").write.text(f"{base}/lines/part={part}")
+        rows.where(F.pmod("eid", F.lit(2)) == part).select("raw").coalesce(files).write.text(f"{base}/lines/part={part}")
         for _ in range(2):
             consume("sinks", f"{base}/bad")
         if part:

@@ -12,7 +12,8 @@ from eventloom.plans import catalog
 from eventloom.plans.queries_streams import in_parts
 from eventloom.plans.wide_events import TASK_ROWS, read_table
 from eventloom.streaming import dedupe
-from eventloom.streaming.jobs import redeliver
+from eventloom.sources.backlog import consume_backlog
+from eventloom.streaming.jobs import read_backlog, redeliver
 
 START = datetime(2024, 1, 1, tzinfo=timezone.utc)
 
@@ -102,6 +103,33 @@ def test_replayed_dead_letters_are_governed_once(spark, tmp_path, monkeypatch):
     assert len(seen) == 2 and not any("events.parquet" in p for p in seen)
 
 
+def test_backlog_lines_are_parsed_once_a_batch(spark, tmp_path):
+    base, seen = str(tmp_path), []
+    lines = ['{"a":1}', "{bad", "", " \u2003", ' {"b":2}\u00a0', "[3]", "{} x", '{"a":1}']
+    spark.createDataFrame([(t,) for t in lines], "value string").coalesce(1).write.text(f"{base}/lines")
+
+    def write(good, batch_id):
+        seen.append((sorted(r.raw for r in good.collect()), good._jdf.queryExecution().optimizedPlan().toString()))
+
+    consume_backlog(read_backlog(spark, f"{base}/lines"), f"{base}/position", write, f"{base}/bad").trigger(availableNow=True).start().awaitTermination()
+    (good, plan_of_good), = seen
+    # What is kept has the verdict; above it, no line is parsed.
+    assert good == ['[3]', '{"a":1}', '{"a":1}', '{"b":2}'] and "parseJson" not in plan_of_good.split("InMemoryRelation")[0]
+    assert sorted(r.raw for r in spark.read.json(f"{base}/bad").collect()) == ["{bad", "{} x"]
+
+
+def test_backlog_files_grow_with_the_table(spark, tmp_path, monkeypatch):
+    from eventloom.plans import queries_streams, wide_events
+
+    sf_dir, written = event_table(spark, tmp_path, 80), []
+    monkeypatch.setattr(wide_events, "TASK_ROWS", 2)
+    monkeypatch.setattr(queries_streams, "FILE_TASKS", 4)
+    monkeypatch.setattr(queries_streams, "read_backlog", lambda s, path, n: written.append(len(s.read.text(path).inputFiles())) or read_backlog(s, path, n))
+    assert queries_streams.backlog_twice(spark, sf_dir).count() == 3
+    # Forty tasks, a file for four of them or for each core; in the end, two parts.
+    assert max(written) <= 2 * max(10, spark.sparkContext.defaultParallelism)
+
+
 def test_tokens_are_read_outside_a_fold(spark, events):
     text = ' {"a" : {"s":[1,{"s":2}]}, "s" : {"x":[{}]} , "\\ud800":[{"s":"q\\"}"}], "":{"s":null}} '
     hidden = tokens.mask_members(F.col("raw"), lambda path, name, value: (name == "s") | F.endswith(value, F.lit('}"')), '"#"')
