@@ -12,6 +12,7 @@ from eventloom.plans import catalog
 from eventloom.plans.queries_streams import in_parts
 from eventloom.plans.wide_events import TASK_ROWS, read_table
 from eventloom.streaming import dedupe
+from eventloom.sinks.tables import write_archive
 from eventloom.sources.backlog import consume_backlog
 from eventloom.streaming.jobs import read_backlog, redeliver
 
@@ -130,6 +131,15 @@ def test_backlog_files_grow_with_the_table(spark, tmp_path, monkeypatch):
     assert max(written) <= 2 * max(10, spark.sparkContext.defaultParallelism)
 
 
+def test_archives_shuffle_no_texts(spark, tmp_path, monkeypatch):
+    from eventloom.plans import queries_tables
+
+    seen = []
+    monkeypatch.setattr(queries_tables, "write_archive", lambda rows, *a, **b: seen.append(plan(rows)) or write_archive(rows, *a, **b))
+    assert queries_tables.archive_write(spark, event_table(spark, tmp_path)).count() == 2 * 42
+    assert len(seen) == 2 and all("rangepartitioning(ts" in p and "hashpartitioning" not in p for p in seen)
+
+
 def test_tokens_are_read_outside_a_fold(spark, events):
     text = ' {"a" : {"s":[1,{"s":2}]}, "s" : {"x":[{}]} , "\\ud800":[{"s":"q\\"}"}], "":{"s":null}} '
     hidden = tokens.mask_members(F.col("raw"), lambda path, name, value: (name == "s") | F.endswith(value, F.lit('}"')), '"#"')
